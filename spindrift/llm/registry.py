@@ -5,7 +5,10 @@ from __future__ import annotations
 import importlib
 
 #: Module and query function of each operator; a module may hold ORACLE_SQL.
-MODULES = {"op1_url_filter": "url_filter"}
+MODULES = {
+    "op1_url_filter": "url_filter",
+    "op7_bpe": "bpe",
+}
 
 
 def queries() -> dict:
