@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_url_filter": "url_filter",
     "op7_bpe": "bpe",
+    "op10_packing": "packing",
 }
 
 
