@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_url_filter": "url_filter",
     "op3_quality": "quality",
+    "op4_near_dedup": "near_dedup",
     "op5_language": "language",
     "op7_bpe": "bpe",
     "op10_packing": "packing",
