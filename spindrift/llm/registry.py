@@ -11,6 +11,7 @@ MODULES = {
     "op4_near_dedup": "near_dedup",
     "op5_language": "language",
     "op7_bpe": "bpe",
+    "op9_top_k": "topk",
     "op10_packing": "packing",
 }
 
