@@ -10,6 +10,7 @@ MODULES = {
     "op3_quality": "quality",
     "op4_near_dedup": "near_dedup",
     "op5_language": "language",
+    "op6_simhash": "simhash",
     "op7_bpe": "bpe",
     "op9_top_k": "topk",
     "op10_packing": "packing",
