@@ -12,6 +12,7 @@ MODULES = {
     "op5_language": "language",
     "op6_simhash": "simhash",
     "op7_bpe": "bpe",
+    "op8_pii": "pii",
     "op9_top_k": "topk",
     "op10_packing": "packing",
 }
