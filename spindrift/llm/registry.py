@@ -7,6 +7,7 @@ import importlib
 #: Module and query function of each operator; a module may hold ORACLE_SQL.
 MODULES = {
     "op1_url_filter": "url_filter",
+    "op2_line_dedup": "line_dedup",
     "op3_quality": "quality",
     "op4_near_dedup": "near_dedup",
     "op5_language": "language",
