@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.orbit import altitude_bin
-from .operators import compare, stats
+from .operators import compare, insights, search, stats
 from .plans.fixture import NOW_MS, ORACLE_CATALOG, catalog
 from .plans.lens import PRESETS, Lens
 
@@ -209,3 +209,68 @@ def orbit_derive(spark: SparkSession, d: str) -> DataFrame:
 @query("name_rules", "select id, name, constellation, mission, sector, bloc from cat")
 def name_rules(spark: SparkSession, d: str) -> DataFrame:
     return catalog(spark, d).select("id", "name", "constellation", "mission", "sector", "bloc")
+
+
+def _entry_rows() -> str:
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({text(k)}, {text(i)}, [{', '.join(text(t) for t in terms)}], {at})" for at, (k, i, _, _, terms) in enumerate(search.fixed_entries()))
+
+
+_KEYS = " union all ".join(f"select '{k}' as kind, {k} as key, id from cat where {k} is not null" for k in search.FIELDS)
+_ENTRIES = (
+    f"k as (select kind, key, count(*) as n, min(id) as first from ({_KEYS}) group by kind, key), f as (select * from (values {_entry_rows()}) as t(kind, key, terms, place)), "
+    "e as (select f.kind, f.key, f.terms, coalesce(k.n, 0) as n, case when f.kind in ('constellation', 'country') then k.first else f.place end as pos "
+    "from f left join k on k.kind = f.kind and k.key = f.key where f.kind not in ('constellation', 'country') or k.n is not null "
+    "union all select kind, key, [lower(key)], n, first from k where kind = 'operator'), "
+    "t as (select kind, key, n, pos, list_max(list_transform(terms, lambda t: case when t = 'star' then 2.0 when starts_with(t, 'star') then 1.6 "
+    "when len(list_filter(regexp_split_to_array(t, '[\\s·()/,-]+'), lambda w: starts_with(w, 'star'))) > 0 then 1.3 when contains(t, 'star') then 0.9 else 0.0 end))::double as best from e), "
+    "g as (select kind, key, nullif(n, 0) as count, best * case kind when 'preset' then 1.15 when 'constellation' then 1.2 else 1.05 end + log10(1 + n) * 0.08 as score, "
+    "list_position(['preset', 'constellation', 'operator', 'country', 'bloc', 'mission', 'regime'], kind) as kk, pos from t where best > 0 order by score desc, kk, pos limit 12)"
+)
+
+
+@query("search_groups", "select kind, key, count, score::double as score from g", _ENTRIES)
+def search_groups(spark: SparkSession, d: str) -> DataFrame:
+    return search.search_groups(catalog(spark, d), "Star").select("kind", "key", "count", "score")
+
+
+_NAMED = (
+    "q as (select id, name, case when name = 'COSMOS 2' then 2.2 when starts_with(name, 'COSMOS 2') then 1.6 - least(0.5, length(name) / 200e0) when contains(name, 'COSMOS 2') then 1.0 else 0.0 end::double as score from cat), "
+    "w as (select * from q where score > 0 order by score desc, length(name), id limit 8)"
+)
+
+
+@query("search_satellites", "select id, name, score from w", _NAMED)
+def search_satellites(spark: SparkSession, d: str) -> DataFrame:
+    return search.search_satellites(catalog(spark, d), "cosmos 2")
+
+
+@query("search_merged")
+def search_merged(spark: SparkSession, d: str) -> DataFrame:
+    return search.search(catalog(spark, d), "star")
+
+
+_SHARE = "floor(100 * {0} / n + 0.5)::int"
+
+
+@query(
+    "scope_insights",
+    "select * from (select 1 as ord, 'leo-share' as id, (" + _SHARE.format("leo") + ")::varchar || '%' as value, 'of satellites in total fly in low Earth orbit (< 2,000 km)' as label, '{\"regimes\": [\"LEO\"]}' as lens from x where leo > 0 "
+    "union all select 2, 'top-constellation', (" + _SHARE.format("c") + ")::varchar || '%', 'belong to ' || l || ' (' || format('{:,}', c) || ')', '{\"constellations\": [\"' || k || '\"]}' from x, tc where " + _SHARE.format("c") + " >= 5 "
+    "union all select 3, 'densest-band', format('{:,}', (case when lo < 1000 then floor(lo / 10 + 0.5) * 10 when lo < 10000 then floor(lo / 100 + 0.5) * 100 else floor(lo / 500 + 0.5) * 500 end)::bigint) || '–' || format('{:,}', (case when hi < 1000 then floor(hi / 10 + 0.5) * 10 when hi < 10000 then floor(hi / 100 + 0.5) * 100 else floor(hi / 500 + 0.5) * 500 end)::bigint) || ' km', 'most congested altitude band: ' || format('{:,}', p) || ' satellites', '{\"altitude\": [' || floor(lo)::bigint || ', ' || ceil(hi)::bigint || ']}' from db where p >= 10 "
+    "union all select 4, 'korea', format('{:,}', kr), 'South Korean satellites in total', '{\"countries\": [\"KR\"]}' from x where kr > 0 "
+    "union all select 5, 'new', (" + _SHARE.format("y") + ")::varchar || '%', 'launched in the last 12 months (' || format('{:,}', y) || ')', '{\"launchedWithinDays\": 365}' from x where y >= 10 "
+    "union all select 6, 'new-30', '+' || format('{:,}', m), 'new satellites in total launched in the last 30 days', '{\"launchedWithinDays\": 30}' from x where m > 0 "
+    "union all select 7, 'geo', format('{:,}', geo), 'geostationary satellites parked on the GEO belt', '{\"regimes\": [\"GEO\"]}' from x where geo >= 5)",
+    f"x as (select count(*) as n, count(*) filter (where regime = 'LEO') as leo, count(*) filter (where regime = 'GEO') as geo, count(*) filter (where bloc = 'KR') as kr, count(*) filter (where launch_ms >= {NOW_MS} - 365 * 86400000::bigint) as y, count(*) filter (where launch_ms >= {NOW_MS} - 30 * 86400000::bigint) as m from cat), "
+    "tc as (select constellation as k, count(*) as c, case constellation when 'oneweb' then 'OneWeb' when 'starlink' then 'Starlink' when 'stations' then 'Space station modules' when 'gps' then 'GPS' when 'glonass' then 'GLONASS' when 'spire' then 'Spire Lemur' when 'yaogan' then 'Yaogan' else 'Qianfan (Thousand Sails)' end as l from cat where constellation is not null group by 1 order by c desc, min(id) limit 1), "
+    f"b as (select unnest(range(72)) as b), h as (select b.b, count(c.x) as n from b left join (select {_BIN} as x from cat) c on c.x = b.b group by 1), "
+    "db as (select 150 * pow(300, b / 72e0) as lo, 150 * pow(300, (b + 2) / 72e0) as hi, p from (select b, n + lead(n) over (order by b) as p from h) where p > 0 order by p desc, b limit 1)",
+)
+def scope_insights(spark: SparkSession, d: str) -> DataFrame:
+    return insights.scope_insights(catalog(spark, d), NOW_MS)
+
+
+@query("lens_insights")
+def lens_insights(spark: SparkSession, d: str) -> DataFrame:
+    return insights.lens_insights(catalog(spark, d), Lens(missions=("nav",)), NOW_MS)
