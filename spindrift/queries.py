@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.orbit import altitude_bin
-from .operators import compare, insights, search, stats
+from .functions import format as fmt
+from .functions import frames
+from .operators import compare, insights, motion, search, stats, view
 from .plans.fixture import NOW_MS, ORACLE_CATALOG, catalog
 from .plans.lens import PRESETS, Lens
+from .streaming import ticks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -274,3 +277,113 @@ def scope_insights(spark: SparkSession, d: str) -> DataFrame:
 @query("lens_insights")
 def lens_insights(spark: SparkSession, d: str) -> DataFrame:
     return insights.lens_insights(catalog(spark, d), Lens(missions=("nav",)), NOW_MS)
+
+
+#: Synthetic positions: a circle of each row's own, the same SQL on both engines.
+_POSITIONS = "select id, cos(id * 0.37e0) * r * cos(inclination / 57.29577951308232e0) as x, sin(inclination / 57.29577951308232e0) * r as y, -sin(id * 0.37e0) * r * cos(inclination / 57.29577951308232e0) as z from (select id, inclination, 1 + mean_alt_km::double / 6371e0 as r from cat)"
+_CAMERA = view.Camera.looking_at_centre(4.0, 3.0, 5.0, 1.6)
+
+
+def _positions(spark: SparkSession, d: str) -> DataFrame:
+    rows = catalog(spark, d).select("id", "inclination", (1 + F.col("mean_alt_km").cast("double") / 6371.0).alias("r"))
+    a, b = F.col("id") * 0.37, F.col("inclination") / 57.29577951308232
+    return rows.select("id", (F.cos(a) * F.col("r") * F.cos(b)).alias("x"), (F.sin(b) * F.col("r")).alias("y"), (-F.sin(a) * F.col("r") * F.cos(b)).alias("z"))
+
+
+def _clip_sql(row: int) -> str:
+    m = _CAMERA.matrix[row]
+    return f"(({m[0]!r})::double * x + ({m[1]!r})::double * y + ({m[2]!r})::double * z + ({m[3]!r})::double)"
+
+
+_C = f"{_CAMERA.x!r}::double", f"{_CAMERA.y!r}::double", f"{_CAMERA.z!r}::double"
+_SEEN = (
+    f"p as ({_POSITIONS}), c as (select *, {_clip_sql(0)} as cx, {_clip_sql(1)} as cy, {_clip_sql(3)} as cw, x - {_C[0]} as dx, y - {_C[1]} as dy, z - {_C[2]} as dz from p), "
+    f"o as (select *, dx * dx + dy * dy + dz * dz as qa, 2 * ({_C[0]} * dx + {_C[1]} * dy + {_C[2]} * dz) as qb from c), "
+    f"q as (select *, qb * qb - 4 * qa * ({_CAMERA.x**2 + _CAMERA.y**2 + _CAMERA.z**2 - 1!r})::double as disc from o), "
+    "s as (select *, disc > 0 and (-qb - sqrt(greatest(disc, 0e0))) / (2 * qa) > 0 and (-qb - sqrt(greatest(disc, 0e0))) / (2 * qa) < 1 as hid from q)"
+)
+
+
+@query("in_view", "select id from s where cw > 0 and abs(cx / cw) <= 1 and abs(cy / cw) <= 1 and not hid", _SEEN)
+def in_view(spark: SparkSession, d: str) -> DataFrame:
+    return view.in_view(_positions(spark, d), _CAMERA).select("id")
+
+
+@query(
+    "pick",
+    "select id, score from (select id, d2 + case when id % 3 = 0 then 120 when id % 3 = 1 then -40 else 0 end as score from (select id, ((cx / cw + 1) * 0.5 * 1600 - 800) ** 2 + ((1 - cy / cw) * 0.5 * 1000 - 400) ** 2 as d2 from s where cw > 0 and not hid) where d2 <= 24 ** 2) order by score, id limit 1",
+    _SEEN,
+)
+def pick(spark: SparkSession, d: str) -> DataFrame:
+    style = F.when(F.col("id") % 3 == 0, compare.GHOST).when(F.col("id") % 3 == 1, compare.FOCUS).otherwise(compare.BASE)
+    return view.pick(_positions(spark, d).withColumn("style", style), _CAMERA, 800, 400, 1600, 1000, view.TOUCH_RADIUS).select("id", "score")
+
+
+@query("label_anchors", "select id, (cx / cw * 0.5 + 0.5) * 1600 as sx, (0.5 - cy / cw * 0.5) * 1000 as sy, abs(cx / cw) < 1.05 and abs(cy / cw) < 1.05 and not hid as visible from s where id % 50 = 1", _SEEN)
+def label_anchors(spark: SparkSession, d: str) -> DataFrame:
+    return view.anchors(_positions(spark, d).filter("id % 50 = 1"), _CAMERA, 1600, 1000)
+
+
+@query("interpolate", "select id, x + (y - x) * 0.25 as x, y + (z - y) * 0.25 as y, z + (x - z) * 0.25 as z from p", f"p as ({_POSITIONS})")
+def interpolate(spark: SparkSession, d: str) -> DataFrame:
+    a = _positions(spark, d)
+    return view.interpolate(a, a.select("id", F.col("y").alias("x"), F.col("z").alias("y"), F.col("x").alias("z")), 0, 1000, 250)
+
+
+@query("frames_roundtrip", "select id, 90 - inclination as lat, case when l > 180 then l - 360 else l end as lon, 2e0 as r from (select id, inclination, (id * 7.3e0) % 360 as l from cat)")
+def frames_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    ms = F.lit(float(NOW_MS))
+    rows = catalog(spark, d).select("id", F.struct((90 - F.col("inclination")).alias("lat"), ((F.col("id") * 7.3) % 360).alias("lon")).alias("g"))
+    x, y, z = frames.scene_from_lat_lon(F.col("g.lat"), F.col("g.lon"), F.lit(2.0), ms)
+    lat, lon, r = frames.lat_lon_from_scene(F.col("x"), F.col("y"), F.col("z"), ms)
+    out = rows.select("id", x.alias("x"), y.alias("y"), z.alias("z")).select("id", lat.alias("lat"), lon.alias("lon"), r.alias("r"))
+    return out.select("id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("r", 6).alias("r"))
+
+
+@query("sun_and_sidereal_time", "select event_id, round(s - floor(s / 6.283185307179586e0) * 6.283185307179586e0, 4) as gmst from (select event_id, (-6.2e-6 * t * t * t + 0.093104 * t * t + (876600e0 * 3600 + 8640184.812866e0) * t + 67310.54841e0) * 0.017453292519943295e0 / 240 as s from (select event_id, ((epoch_ms(ts) / 86400000e0 + 2440587.5e0) - 2451545e0) / 36525 as t from events where event_id % 20 = 0))")
+def sun_and_sidereal_time(spark: SparkSession, d: str) -> DataFrame:
+    events = spark.read.parquet(f"{d}/events.parquet").filter("event_id % 20 = 0")
+    return events.select("event_id", F.round(frames.gmst(F.unix_millis(F.col("ts").cast("timestamp")).cast("double")), 4).alias("gmst"))
+
+
+def _orbits(spark: SparkSession, d: str) -> DataFrame:
+    degrees = lambda k: (F.col("id") * k) % 360.0
+    return catalog(spark, d).select("id", "mean_motion", "eccentricity", "inclination", degrees(3.1).alias("raan"), degrees(5.7).alias("arg_pericenter"), degrees(11.3).alias("mean_anomaly"), F.lit(1e-5).alias("bstar"), F.lit(NOW_MS).alias("epoch_ms"))
+
+
+@query("sgp4_positions")
+def sgp4_positions(spark: SparkSession, d: str) -> DataFrame:
+    return motion.positions(_orbits(spark, d), NOW_MS + 3_600_000.0)
+
+
+@query("sgp4_states")
+def sgp4_states(spark: SparkSession, d: str) -> DataFrame:
+    return motion.state_at(_orbits(spark, d), NOW_MS + 3_600_000.0)
+
+
+@query("orbit_path")
+def orbit_path(spark: SparkSession, d: str) -> DataFrame:
+    return motion.orbit_path(_orbits(spark, d).filter("id <= 40"), NOW_MS, 96)
+
+
+@query("ground_track")
+def ground_track(spark: SparkSession, d: str) -> DataFrame:
+    return motion.ground_track(_orbits(spark, d).filter("id <= 40"), NOW_MS)
+
+
+@query("event_windows", "select date_trunc('hour', ts) as start, event_type, count(*) as n, sum(value) as total from events group by all")
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    return ticks.windowed_events(spark.read.parquet(f"{d}/events.parquet")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("display_formats", "select c_custkey as id, format('{:,}', floor(c_acctbal + 0.5)::bigint) as n, case when c_acctbal < 1000 then floor(c_acctbal / 10 + 0.5) * 10 else floor(c_acctbal / 100 + 0.5) * 100 end as alt, case when c_nationkey > 90 then 'retrograde' when c_nationkey < 1 then 'equatorial' else 'prograde' end as kind from customer")
+def display_formats(spark: SparkSession, d: str) -> DataFrame:
+    bal = F.col("c_acctbal")
+    return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("id"), fmt.fmt_int(bal).alias("n"), fmt.round_altitude(bal).cast("double").alias("alt"), fmt.inclination_kind(F.col("c_nationkey")).alias("kind"))
+
+
+@query("dictionary_encode", "select v as value, row_number() over (order by first) - 1 as code from (select operator as v, min(id) as first from cat group by 1)")
+def dictionary_encode(spark: SparkSession, d: str) -> DataFrame:
+    firsts = stats.top_entries(catalog(spark, d), "operator", 1 << 30)
+    listed = firsts.agg(F.transform(F.array_sort(F.collect_list(F.struct("first_id", "key"))), lambda x: x["key"]).alias("v"))  # a dictionary
+    return listed.select(F.posexplode("v").alias("code", "value")).select("value", F.col("code").cast("long").alias("code"))
