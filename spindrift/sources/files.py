@@ -171,6 +171,6 @@ def write_payload(catalog: DataFrame, source: dict[str, str], generated_at: str)
     fields = [x.split(" ")[0] for x in _SOURCE.split(", ")]
     return one.select(
         F.lit(1).alias("version"), F.lit(generated_at).alias("generatedAt"), F.struct(*[F.lit(source.get(f)).cast("string").alias(f) for f in fields]).alias("source"), F.size("r").alias("count"),
-        F.struct("operators", "countries", "constellations").alias("dict"), F.struct(*[F.transform("r", lambda x, c=c: x[f"_{c}"]).alias(c) for c in _PAYLOAD]).alias("cols"),
+        F.struct("operators", "countries", "constellations").alias("dict"), F.struct(*[F.col(f"r._{c}").alias(c) for c in _PAYLOAD]).alias("cols"),
     )
 
