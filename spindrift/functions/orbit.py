@@ -12,7 +12,7 @@ GEO_ALTITUDE_KM, LEO_CEILING_KM = 35786.0, 2000.0
 #: Bins of the altitude histogram, even in the logarithm.
 ALT_BINS, ALT_MIN, ALT_MAX = 72, 150.0, 45_000.0
 _LOG_MIN, _LOG_SPAN = math.log10(ALT_MIN), math.log10(ALT_MAX) - math.log10(ALT_MIN)
-#: Altitudes of the reference rings in km, and their radii in scene units.
+#: Altitudes of the rings that are drawn, in km, and their radii in scene units.
 RING_ALTITUDES = (2000, 20200, 35786)
 RING_RADII = tuple(1 + km / SCENE_UNIT_KM for km in RING_ALTITUDES)
 

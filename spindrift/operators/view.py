@@ -134,3 +134,28 @@ class SimClock:
 def window_span(warp: float) -> float:
     """Milliseconds between two snapshots that are interpolated."""
     return min(max(warp, 1.0) * 1000, 60_000.0)
+
+
+@dataclass(frozen=True)
+class Window:
+    """Two snapshots that positions are interpolated between, and the next one. Times are in simulated milliseconds."""
+
+    t_a: float
+    t_b: float
+    clock_epoch: int
+    prefetched: float | None = None
+
+    @staticmethod
+    def opened(now: float, clock: SimClock) -> Window:
+        return Window(now, now + window_span(clock.warp), clock.epoch)
+
+    def advanced(self, now: float, clock: SimClock) -> Window:
+        """The window to use at `now`: a new one after a jump or far behind, the next one when this has passed, else this."""
+        span = window_span(clock.warp)
+        if clock.epoch != self.clock_epoch:
+            return Window.opened(now, clock)
+        ahead = self if self.prefetched is not None or clock.paused else replace(self, prefetched=self.t_b + span)
+        if now < self.t_b or ahead.prefetched is None:
+            return ahead
+        moved = Window(self.t_b, ahead.prefetched, self.clock_epoch)
+        return Window.opened(now, clock) if now > moved.t_b + span else moved

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.orbit import altitude_bin
 from .functions import format as fmt
 from .functions import frames
-from .operators import compare, insights, motion, search, stats, view
+from .operators import card, compare, insights, motion, search, stats, view
 from .plans.fixture import NOW_MS, ORACLE_CATALOG, catalog
 from .plans.lens import PRESETS, Lens
 from .streaming import ticks
@@ -387,3 +387,9 @@ def dictionary_encode(spark: SparkSession, d: str) -> DataFrame:
     firsts = stats.top_entries(catalog(spark, d), "operator", 1 << 30)
     listed = firsts.agg(F.transform(F.array_sort(F.collect_list(F.struct("first_id", "key"))), lambda x: x["key"]).alias("v"))  # a dictionary
     return listed.select(F.posexplode("v").alias("code", "value")).select("value", F.col("code").cast("long").alias("code"))
+
+
+@query("satellite_card")
+def satellite_card(spark: SparkSession, d: str) -> DataFrame:
+    rows = catalog(spark, d).join(_orbits(spark, d).select("id", "raan", "arg_pericenter", "mean_anomaly", "bstar", "epoch_ms"), "id")
+    return card.satellite_card(rows, 37, NOW_MS + 60_000.0, NOW_MS)

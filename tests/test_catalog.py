@@ -232,3 +232,6 @@ def test_view(spark):
     assert view.interpolate(points, points, 0, 10, 5).filter("x is null").count() == 1
     clock = view.SimClock(0, 0, 10)
     assert clock.now(5) == 50 and clock.pause(5).now(99) == 50 and clock.set_warp(1, 5).now(6) == 51 and clock.go_live(1e9).is_live(1e9) and view.window_span(0.1) == 1000
+    w = view.Window.opened(0, view.SimClock(0, 0))
+    assert w.advanced(10, view.SimClock(0, 0)).prefetched == 2000 and w.advanced(1500, view.SimClock(0, 0)).t_b == 2000 and w.advanced(9000, view.SimClock(0, 0)).t_a == 9000
+    assert w.advanced(10, view.SimClock(5, 0, epoch=1)).clock_epoch == 1
