@@ -1,7 +1,7 @@
 """Near-duplicate documents by a chosen-path set similarity join on minwise tokens.
 
 Every distinct shingle set is represented by one document and a sketch of K minwise tokens. In each of TREES independent
-trees, sets branch by a selected token of their sketch. Nodes of up to LEAF sets are compared exhaustively; larger ones
+trees, sets branch by a selected token of their sketch, then by STEP of them at once. Nodes of up to LEAF sets are compared exhaustively; larger ones
 branch again, by as many selected tokens as leave a pair at the threshold one common child on average, so that pairs at
 the threshold keep meeting at every depth while others part. Nodes that hold the same sets in several trees count once.
 
@@ -27,7 +27,7 @@ from .components import components
 SHINGLE = 5
 #: A link takes 100 * intersection >= PERCENT * union.
 PERCENT = 85
-K, TREES, LEAF, MAX_DEPTH = 128, 24, 300, 12
+K, TREES, STEP, LEAF, MAX_DEPTH = 128, 12, 2, 300, 8
 #: Pairs are candidates from this share of equal minwise tokens on: 4 standard deviations below the threshold.
 CANDIDATE = PERCENT / 100 - 4 * (PERCENT / 100 * (1 - PERCENT / 100) / K) ** 0.5
 _rng = np.random.default_rng(20260)
@@ -70,10 +70,6 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
 def sketch(s: np.ndarray) -> np.ndarray:
     """K minwise tokens of a set, 32 bits each."""
     least = np.full(K, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -94,16 +90,15 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sketches, pa.list_(pa.int32()))], ["doc_id", "n", "h1", "h2", "sketch"])
 
 
-def _coordinates(node: Column) -> Column:
-    """The tokens that a node selects: one, and with the probability that makes 1 / threshold on average, another."""
-    first = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(K))
-    more = F.pmod(F.xxhash64(node, F.lit(2)), F.lit(10_000)) < int(10_000 * (100 / PERCENT - 1))
-    second = F.pmod(first + 1 + F.pmod(F.xxhash64(node, F.lit(3)), F.lit(K - 1)), F.lit(K))
-    return F.when(more, F.array(first, second)).otherwise(F.array(first))
-
-
 def _children(node: Column) -> Column:
-    return F.transform(_coordinates(node), lambda c: F.xxhash64(node, c, F.get("sketch", c.cast("int"))))
+    """Keys of the children that a set goes to. Each is named by STEP tokens that the node selects.
+
+    A node selects one child and, with the probability that makes 1 / threshold ** STEP on average, another.
+    """
+    at = lambda i: F.pmod(F.xxhash64(node, F.lit(i)), F.lit(K)).cast("int")
+    child = lambda j: F.xxhash64(node, *[F.struct(at(i), F.get("sketch", at(i))) for i in range(j * STEP, (j + 1) * STEP)])
+    more = F.pmod(F.xxhash64(node, F.lit(-1)), F.lit(10_000)) < int(10_000 * ((100 / PERCENT) ** STEP - 1))
+    return F.when(more, F.array(child(0), child(1))).otherwise(F.array(child(0)))
 
 
 def _nodes(reps: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
