@@ -44,11 +44,12 @@ def cover_tree(points: np.ndarray) -> tuple[Node, np.ndarray]:
         node = Node(center, float(far.max(initial=0.0)), first, last)
         if last - first <= LEAF or node.radius == 0.0:
             return node
-        # Centres of the children: points farther than half the radius from those before, the farthest first.
+        # Centres of the children: points farther than half the radius from those before, the farthest first. Where
+        # distances hardly differ, half the radius takes nearly every point; then there are as many as leaves are needed.
         near, child = np.full(len(own), np.inf), np.zeros(len(own), dtype=np.int64)
         centers: list[np.ndarray] = []
         at = int(far.argmin())
-        while not centers or near[at] > node.radius / 2:
+        while not centers or (near[at] > node.radius / 2 and len(centers) < max(2, 2 * len(own) // LEAF)):
             centers.append(points[own[at]])
             away = np.sqrt(((points[own] - centers[-1]) ** 2).sum(1))
             closer = away < near
@@ -92,7 +93,9 @@ def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids
             continue
         if not a.children and not b.children:
             scores = q[a.first : a.last] @ r[b.first : b.last].T
-            for i, line in zip(range(a.first, a.last), scores):
+            # Queries that have fewer than k rows so far have the worst score of minus infinity.
+            for at in np.flatnonzero(scores.max(axis=1) >= worst[a.first : a.last]):
+                i, line = a.first + int(at), scores[at]
                 found = np.flatnonzero(line >= worst[i]) if len(best[i]) == k else range(len(line))
                 for j in found:
                     if r_ids[b.first + j] == q_ids[i]:
