@@ -152,6 +152,23 @@ def test_near_dedup_against_brute_force(spark, monkeypatch):
     assert got.filter("kept <> (doc_id = component_id)").count() == 0
 
 
+def test_near_dedup_pairs_at_the_threshold_meet_in_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LEAF", 2)  # all nodes of the group branch to the last depth
+    rng = np.random.default_rng(11)
+    sketches = []
+    for _ in range(300):  # sets 2 i and 2 i + 1 have 109 of 128 tokens in common, and most of them with all others
+        a = (rng.random(near_dedup.K) < 0.12).astype(int)
+        b = a.copy()
+        b[rng.choice(near_dedup.K, 19, replace=False)] ^= 1
+        sketches += [a.tolist(), b.tolist()]
+    small, large = near_dedup._nodes(spark.createDataFrame(list(enumerate(sketches)), "id long, sketch array<int>"))
+    nodes = {}
+    for rows in [*small, *[large] * (large is not None)]:
+        for r in rows.select("key", "id").collect():
+            nodes.setdefault(r["id"], set()).add(r["key"])
+    assert [i for i in range(0, 600, 2) if not nodes.get(i, set()) & nodes.get(i + 1, set())] == []
+
+
 def test_near_dedup_odd_rows(spark):
     got = near_dedup.link_documents(odd_docs(spark)).collect()
     assert len(got) == 10 and all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
