@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from spindrift.llm import line_dedup, near_dedup, packing, pii, quality
 from spindrift.llm.common import stash
 
+#: Documents whose five-word shingles are this similar (in hundredths) are near copies.
+NEAR_PERCENT = 80
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -38,7 +40,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.."""
-    judged = near_dedup.link_documents(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
+    judged = near_dedup.link_documents(docs, percent=NEAR_PERCENT).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(judged, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
 
 

@@ -25,17 +25,20 @@ from .common import stash
 from .components import components
 
 SHINGLE = 5
-#: A link takes 100 * intersection >= PERCENT * union.
+#: A link takes 100 * intersection >= percent * union; this is op4's percent.
 PERCENT = 85
 K, TREES, LEAF, MAX_DEPTH = 128, 24, 300, 8
-#: Pairs are candidates from this share of equal minwise tokens on: 4 standard deviations below the threshold.
-CANDIDATE = PERCENT / 100 - 4 * (PERCENT / 100 * (1 - PERCENT / 100) / K) ** 0.5
 _rng = np.random.default_rng(20260)
 _A = _rng.integers(0, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**64, K, dtype=np.uint64)
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _candidate(percent: int) -> float:
+    """Pairs are candidates from this number of equal minwise tokens on: 4 standard deviations below the threshold."""
+    return percent / 100 * K - 4 * (percent / 100 * (1 - percent / 100) * K) ** 0.5
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit over all."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -90,19 +93,19 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sketches, pa.list_(pa.int32()))], ["doc_id", "n", "h1", "h2", "sketch"])
 
 
-def _coordinates(node: Column) -> Column:
+def _coordinates(node: Column, percent: int) -> Column:
     """The tokens that a node selects: one, and with the probability that makes 1 / threshold on average, another."""
     first = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(K))
-    more = F.pmod(F.xxhash64(node, F.lit(2)), F.lit(10_000)) < int(10_000 * (100 / PERCENT - 1))
+    more = F.pmod(F.xxhash64(node, F.lit(2)), F.lit(10_000)) < int(10_000 * (100 / percent - 1))
     second = F.pmod(first + 1 + F.pmod(F.xxhash64(node, F.lit(3)), F.lit(K - 1)), F.lit(K))
     return F.when(more, F.array(first, second)).otherwise(F.array(first))
 
 
-def _children(node: Column) -> Column:
-    return F.transform(_coordinates(node), lambda c: F.xxhash64(node, c, F.get("sketch", c.cast("int"))))
+def _children(node: Column, percent: int) -> Column:
+    return F.transform(_coordinates(node, percent), lambda c: F.xxhash64(node, c, F.get("sketch", c.cast("int"))))
 
 
-def _nodes(reps: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+def _nodes(reps: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, list[DataFrame]]:
     """Rows (key, id) of the nodes to compare, and those of nodes that stay too large, each stored."""
     roots = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.get("sketch", F.pmod(F.xxhash64(t, F.lit(0)), F.lit(K)).cast("int"))))
     rows = reps.select("id", F.explode(roots).alias("key"))
@@ -117,7 +120,7 @@ def _nodes(reps: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             return small, None
         large = stash(rows.join(sizes.filter(F.col("size") > LEAF).select("key", "size"), "key").select("key", "id", "size"))
         if depth < MAX_DEPTH:
-            rows = large.select("key", "id").join(reps.select("id", "sketch"), "id").select("id", F.explode(_children(F.col("key"))).alias("key"))
+            rows = large.select("key", "id").join(reps.select("id", "sketch"), "id").select("id", F.explode(_children(F.col("key"), percent)).alias("key"))
     return small, large
 
 
@@ -144,14 +147,14 @@ def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return table.column("id").to_numpy(), table.column("n").to_numpy(), values
 
 
-def _equal(row: np.ndarray, n: int, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def _equal(row: np.ndarray, n: int, rows: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
     """Equal tokens of a set and of others; 0 where the sizes alone rule a link out."""
-    return np.where(100 * np.minimum(n, sizes) >= PERCENT * np.maximum(n, sizes), (rows == row).sum(axis=1), 0)
+    return np.where(100 * np.minimum(n, sizes) >= percent * np.maximum(n, sizes), (rows == row).sum(axis=1), 0)
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forest(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """For each node, pairs that join all its candidates: of each set, the one with the most equal tokens (Prim's rule)."""
-    least = CANDIDATE * K
+    least = _candidate(percent)
     for table in _groups(batches):
         ids, n, tokens = _matrix(table)
         todo = np.ones(len(ids), dtype=bool)
@@ -163,30 +166,30 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if best[at] >= least:
                 u.append(ids[at])
                 v.append(ids[source[at]])
-            equal = _equal(tokens[at], n[at], tokens, n)
+            equal = _equal(tokens[at], n[at], tokens, n, percent)
             nearer = todo & (equal > best)
             best[nearer], source[nearer] = equal[nearer], at
         if u:
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _crossing(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """For each task, all candidate pairs of a set outside the node's largest component with sets of other components."""
     for table in _groups(batches):
         ids, n, tokens = _matrix(table)
         label, minor = table.column("label").to_numpy(), table.column("minor").to_numpy(zero_copy_only=False)
         others = np.flatnonzero(~minor)
         for at in np.flatnonzero(minor):
-            equal = _equal(tokens[at], n[at], tokens[others], n[others])
-            found = others[(equal >= CANDIDATE * K) & (label[others] != label[at])]
+            equal = _equal(tokens[at], n[at], tokens[others], n[others], percent)
+            found = others[(equal >= _candidate(percent)) & (label[others] != label[at])]
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), ids[at])), pa.array(ids[found])], ["u", "v"])
 
 
-def _compare(rows: DataFrame, reps: DataFrame, how, *more: str) -> DataFrame:
+def _compare(rows: DataFrame, reps: DataFrame, how, percent: int, *more: str) -> DataFrame:
     """Distinct candidate pairs (u > v); `rows`: task, id and more columns."""
     dealt = rows.join(reps.select("id", "n", "sketch"), "id").select("task", "id", "n", "sketch", *more)
-    pairs = dealt.repartition("task").sortWithinPartitions("task").mapInArrow(how, "u long, v long")
+    pairs = dealt.repartition("task").sortWithinPartitions("task").mapInArrow(lambda batches: how(batches, percent), "u long, v long")
     return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
 
 
@@ -210,7 +213,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x.as_py()).tobytes() for x in batch.column(1)], pa.binary())], ["id", "items"])
 
 
-def _confirm_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm_rows(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for x, y in zip(batch.column(2), batch.column(3)):
@@ -218,26 +221,27 @@ def _confirm_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             both = np.concatenate([a, b])
             both.sort()
             common = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * common >= PERCENT * (len(a) + len(b) - common))
+            keep.append(100 * common >= percent * (len(a) + len(b) - common))
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that are linked by their full sets."""
     a, b = sets.select(F.col("id").alias("u"), F.col("items").alias("x")), sets.select(F.col("id").alias("v"), F.col("items").alias("y"))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(_confirm_rows, "u long, v long")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(lambda batches: _confirm_rows(batches, percent), "u long, v long")
 
 
-def link_documents(docs: DataFrame, text: str = "text") -> DataFrame:
+def link_documents(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of `docs`; other columns are left out.
 
+    percent: the least similarity of linked sets, in hundredths.
     Null texts and texts without words have an empty set and are linked with nothing. Rows that share a doc_id
     but not a text are linked through either. A row with a null doc_id is never linked: its component_id is null, and it is kept.
     """
     rows = stash(docs.select("doc_id", text).mapInArrow(_sketch_rows, "doc_id long, n long, h1 long, h2 long, sketch array<int>"))
     real = rows.filter("n > 0 and doc_id is not null")
     reps = stash(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")))
-    small, large = _nodes(reps)
+    small, large = _nodes(reps, percent)
     nodes = small[0]
     for more in small[1:]:
         nodes = nodes.unionByName(more)
@@ -246,23 +250,23 @@ def link_documents(docs: DataFrame, text: str = "text") -> DataFrame:
         block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / (LEAF // 2)))
         whole = whole.unionByName(large.select(F.xxhash64("key", block).alias("task"), "id"))
         nodes = nodes.unionByName(large.select("key", "id"))
-    first = stash(_compare(whole, reps, _forest))
+    first = stash(_compare(whole, reps, _forest, percent))
     wanted = first.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
     # Every set with a candidate is in the forest, so these are all the sets that confirmations need.
     texts = docs.select("doc_id", text).join(wanted, "doc_id")
     sets = stash(texts.mapInArrow(_set_rows, "id long, items binary").dropDuplicates(["id", "items"]))
-    links = stash(_confirm(first, sets))
+    links = stash(_confirm(first, sets, percent))
     linked = components(links)
-    second = stash(_compare(_crossing_tasks(nodes, linked), reps, _crossing, "label", "minor"))
+    second = stash(_compare(_crossing_tasks(nodes, linked), reps, _crossing, percent, "label", "minor"))
     if second.head(1):
-        linked = components(links.unionByName(_confirm(second, sets)))
+        linked = components(links.unionByName(_confirm(second, sets, percent)))
     classes = reps.join(linked, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component_id"))
     found = rows.join(classes, ["h1", "h2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))))
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return link_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=PERCENT)
 
 
 ORACLE_SQL = r"""

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -169,6 +170,15 @@ def test_near_dedup_pairs_at_the_threshold_meet_in_large_groups(spark, monkeypat
     assert [i for i in range(0, 600, 2) if not nodes.get(i, set()) & nodes.get(i + 1, set())] == []
 
 
+def test_near_dedup_stage_links_from_80_on(spark):
+    words = [f"w{k}" for k in range(100)]
+    near = [f"x{k}" if k in (30, 60) else w for k, w in enumerate(words)]  # 86 of 106 shingles in common: 0.81
+    far = [f"y{k}" if k in (30, 50, 70) else w for k, w in enumerate(words)]  # 81 of 111, and 76 of 116 with near
+    docs = spark.createDataFrame([(1, " ".join(words), "en", 0.0), (2, " ".join(near), "en", 0.0), (3, " ".join(far), "en", 0.0)], DOCS)
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {1, 3}
+    assert all(r["kept"] for r in near_dedup.link_documents(docs).collect())
+
+
 def test_near_dedup_odd_rows(spark):
     got = near_dedup.link_documents(odd_docs(spark)).collect()
     assert len(got) == 10 and all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
