@@ -4,7 +4,8 @@ Lines are compared in a normal form (lower case, single blanks). Two of them are
 changed) apart if one variant of both is equal: the line without its i-th character, or the line parted before it. Each
 variant is a hashed key, and those equal keys are joined. As a line has as many variants as characters, only the part of
 it that can differ is varied: a line is cut in four, each part is left out in turn, and the rest is a key; where no other
-line has a key, no line differs in that part alone. This is done twice, so that a part is a sixteenth of its line.
+line has a key, no line differs in that part alone. This is done twice, so that a part is a sixteenth of its line, and
+more often for lines of which a sixteenth is still long.
 
 All steps are aggregations by hashed keys with partial sums before the shuffle, so a line which a third of all documents
 hold costs no task more than others.
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
-#: Lines whose normal form has fewer characters always stay, longer ones than the second number only go if equal.
-SHORTEST, LONGEST_EDITED = 20, 100_000
+#: Lines whose normal form has fewer characters always stay. Parts that are longer than the second number are cut again.
+SHORTEST, LONGEST_PART = 20, 25_000
 #: Keys that a broadcast takes at most (8 bytes each); with more, the same join shuffles.
 BROADCAST_KEYS = 500_000
 _PLACES = 10**10
@@ -72,11 +73,17 @@ def _earliest(rows: DataFrame) -> DataFrame:
 
 def near_lines(lines: DataFrame) -> DataFrame:
     """Hashes h of the lines that are one edit from another one with an earlier place."""
-    parts = _parts(lines.filter(F.col("n") <= LONGEST_EDITED).select(F.lit(0).cast("long").alias("key"), "h", "at", "norm", "n"))
+    parts = _parts(lines.select(F.lit(0).cast("long").alias("key"), "h", "at", "norm", "n"))
     keys = stash(_shared(parts))
     few = keys.count() <= BROADCAST_KEYS
     first = stash(_earliest(parts.join(F.broadcast(keys) if few else keys, "key")))
-    again = _parts(first)
+    rows, long = first.filter(F.col("n") <= LONGEST_PART), first
+    while (long.agg(F.max("n")).first()[0] or 0) > LONGEST_PART:
+        # Both parts of a pair go the same way, as a part of just that length goes both ways.
+        cut = _parts(long.filter(F.col("n") >= LONGEST_PART))
+        long = stash(_earliest(cut.join(_shared(cut), "key")))
+        rows = rows.unionByName(long.filter(F.col("n") <= LONGEST_PART))
+    again = _parts(rows)
     second = stash(_earliest(again.join(_shared(again), "key")))
     n = F.col("n")
     left = lambda i: F.substring("norm", F.lit(1), i)

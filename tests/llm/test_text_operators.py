@@ -85,6 +85,25 @@ def test_lines_against_brute_force(spark):
     assert gone == brute_lines(docs) and len(gone) > 50
 
 
+def test_lines_of_over_100_000_characters(spark):
+    rng = np.random.default_rng(6)
+    base = "".join(rng.choice(list("abcdef"), 120_000))
+    texts = [base, base[:70_000] + "x" + base[70_001:], base[:9] + base[10:], base + "x", base[:5] + "x" + base[6:90_000] + "x" + base[90_001:]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in line_dedup.removed_lines(docs).collect()) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("n", [103, 401])
+def test_long_parts_are_cut_again(spark, monkeypatch, n):
+    monkeypatch.setattr(line_dedup, "LONGEST_PART", 25)
+    rng = np.random.default_rng(n)
+    base = "".join(rng.choice(list("abcdef"), n))
+    texts = [base, *[base[:i] + "x" + base[i + 1 :] for i in (0, n // 2, n - 1)], *[base[:i] + "y" + base[i:] for i in (0, n // 3, n)], *[base[:i] + base[i + 1 :] for i in (1, n // 2, n - 1)], base[:2] + "zz" + base[4:]]
+    docs = list(enumerate(texts))
+    gone = {(r["doc_id"], k) for r in line_dedup.removed_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect() for k in r["lines"]}
+    assert gone == brute_lines(docs)
+
+
 def test_lines_odd_rows(spark):
     out = line_dedup.dedup_lines(odd_docs(spark), count="score")
     by = {(r["doc_id"], i): r for i, r in enumerate(sorted(out.collect(), key=lambda r: str(r["doc_id"])))}
