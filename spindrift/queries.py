@@ -363,12 +363,12 @@ def sgp4_states(spark: SparkSession, d: str) -> DataFrame:
 
 @query("orbit_path")
 def orbit_path(spark: SparkSession, d: str) -> DataFrame:
-    return motion.orbit_path(_orbits(spark, d).filter("id <= 40"), NOW_MS, 96)
+    return motion.orbit_path(_orbits(spark, d), NOW_MS)
 
 
 @query("ground_track")
 def ground_track(spark: SparkSession, d: str) -> DataFrame:
-    return motion.ground_track(_orbits(spark, d).filter("id <= 40"), NOW_MS)
+    return motion.ground_track(_orbits(spark, d), NOW_MS)
 
 
 @query("event_windows", "select date_trunc('hour', ts) as start, event_type, count(*) as n, sum(value) as total from events group by all")
