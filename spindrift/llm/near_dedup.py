@@ -1,14 +1,18 @@
 """Near-duplicate documents by a chosen-path set similarity join on minwise tokens.
 
-Every distinct shingle set is represented by one document and a sketch of K minwise tokens. In each of TREES independent
-trees, sets branch by a selected token of their sketch. Nodes of up to LEAF sets are compared exhaustively; larger ones
-branch again, by as many selected tokens as leave a pair at the threshold one common child on average, so that pairs at
-the threshold keep meeting at every depth while others part. Nodes that hold the same sets in several trees count once.
-
-A node's comparison on sketches gives candidate pairs. Of these, a forest that joins all candidates of the node is
-confirmed on the full sets first; what is confirmed makes components. Then all candidate pairs are confirmed that still
-lie between components. No link that could join two components is left out, and a group of thousands of near copies
-costs a few confirmations per set, not one per pair. A node that stays above LEAF at the last depth is dealt to blocks.
+Every distinct shingle set is represented by one document and a sketch of K minwise tokens. In each of a number of
+independent trees, sets branch by a selected token of their sketch. Nodes of up to LEAF sets are compared exhaustively;
+larger ones branch again, by as many selected tokens as leave a pair at the threshold one common child on average, so that
+pairs at the threshold keep meeting at every depth while others part. The number of trees follows from the target recall.
+
+A node's comparison on sketches splits it into bundles: what its candidate pairs join. The full sets of a bundle meet in
+one task, where every pair is counted exactly and the links that join its sets are given out: one less than sets, however
+many pairs there are. Bundles with the same sets, as small groups have in every tree, count once.
+
+Before large nodes branch, those of a few trees are dealt to blocks and linked within these, which joins most of a large
+group of near copies. Then only nodes with sets of several components branch on, and only pairs of different components
+count. A node in which few sets lie outside the largest component, or which stays large at the last depth, is dealt to
+tasks of these sets against all of its sets: no pair of a node is left out.
 """
 
 from __future__ import annotations
@@ -27,7 +31,11 @@ from .components import components
 SHINGLE = 5
 #: A link takes 100 * intersection >= percent * union; this is op4's percent.
 PERCENT = 85
-K, TREES, LEAF, MAX_DEPTH = 128, 24, 300, 8
+K, LEAF, MAX_DEPTH = 128, 300, 12
+#: The least probability that a pair at the threshold meets in a node at the last depth, where most pairs meet before.
+RECALL = 0.99998
+#: Trees whose large nodes are linked within blocks before any branches; items of the sets of a task.
+FIRST_TREES, TASK_ITEMS = 4, 4_000_000
 _rng = np.random.default_rng(20260)
 _A = _rng.integers(0, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**64, K, dtype=np.uint64)
@@ -93,6 +101,19 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sketches, pa.list_(pa.int32()))], ["doc_id", "n", "h1", "h2", "sketch"])
 
 
+def trees_for(recall: float, percent: int) -> int:
+    """Trees in which a pair at the threshold shares a node at the last depth at least once with the probability `recall`.
+
+    The pair's common nodes are a branching process: a node has one token, or two with the probability 1 / threshold - 1,
+    and each is common with the probability of the threshold.
+    """
+    s = percent / 100
+    two, meet = 1 / s - 1, s
+    for _ in range(MAX_DEPTH - 1):
+        meet = (1 - two) * s * meet + two * (1 - (1 - s * meet) ** 2)
+    return max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - meet))))
+
+
 def _coordinates(node: Column, percent: int) -> Column:
     """The tokens that a node selects: one, and with the probability that makes 1 / threshold on average, another."""
     first = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(K))
@@ -105,33 +126,62 @@ def _children(node: Column, percent: int) -> Column:
     return F.transform(_coordinates(node, percent), lambda c: F.xxhash64(node, c, F.get("sketch", c.cast("int"))))
 
 
-def _nodes(reps: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, list[DataFrame]]:
-    """Rows (key, id) of the nodes to compare, and those of nodes that stay too large, each stored."""
-    roots = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.get("sketch", F.pmod(F.xxhash64(t, F.lit(0)), F.lit(K)).cast("int"))))
-    rows = reps.select("id", F.explode(roots).alias("key"))
-    small, large = [], None
-    for depth in range(1, MAX_DEPTH + 1):
-        rows = stash(rows) if depth > 1 else rows
-        sizes = stash(rows.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members")).filter("size > 1"))
-        # One of the nodes with the same members will do.
-        keep = sizes.filter(F.col("size") <= LEAF).groupBy("size", "members").agg(F.min("key").alias("key")).select("key")
-        small.append(stash(rows.join(keep, "key").select("key", "id")))
-        if not sizes.filter(F.col("size") > LEAF).head(1):
-            return small, None
-        large = stash(rows.join(sizes.filter(F.col("size") > LEAF).select("key", "size"), "key").select("key", "id", "size"))
-        if depth < MAX_DEPTH:
-            rows = large.select("key", "id").join(reps.select("id", "sketch"), "id").select("id", F.explode(_children(F.col("key"), percent)).alias("key"))
-    return small, large
+def _roots(reps: DataFrame, trees: int) -> DataFrame:
+    """Rows (tree, key, id, label) of the nodes at the first depth; each set is its own component."""
+    roots = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.get("sketch", F.pmod(F.xxhash64(t, F.lit(0)), F.lit(K)).cast("int"))))
+    return reps.select("id", F.posexplode(roots).alias("tree", "key"), F.col("id").alias("label"))
+
+
+def _level(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of nodes to compare, and those of larger nodes, both stored; nodes of one component are left out."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
+    sizes = stash(sizes.filter("size > 1 and low < high").select("key", "size", "members"))
+    # One of the nodes with the same members will do.
+    keep = sizes.filter(F.col("size") <= LEAF).groupBy("size", "members").agg(F.min("key").alias("key")).select("key")
+    small, above = stash(rows.join(keep, "key").select("key", "id", "label")), sizes.filter(F.col("size") > LEAF).select("key", "size")
+    return small, stash(rows.join(above, "key")) if above.head(1) else None
+
+
+def _shares(large: DataFrame) -> DataFrame:
+    """key, major (the largest component), blocks and minors (blocks of the other sets) of nodes with several components."""
+    by = large.groupBy("key", "label").agg(F.count("*").alias("c"))
+    nodes = by.groupBy("key").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("top")).filter("size > top.c")
+    return nodes.select("key", F.col("top.label").alias("major"), F.ceil(F.col("size") / (LEAF // 2)).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("top.c")) / (LEAF // 2)).cast("int").alias("minors"))
+
+
+def _nodes(reps: DataFrame, percent: int = PERCENT, rows: DataFrame | None = None) -> tuple[list[DataFrame], DataFrame | None]:
+    """Rows (key, id, label) of the nodes to compare, and of those to be dealt to tasks, each stored.
+
+    rows: the nodes to begin with (columns key, id, label), all of which branch; none: the roots.
+    """
+    small, dealt = [], None
+    for depth in range(1 if rows is None else 2, MAX_DEPTH + 1):
+        if depth == 1:
+            rows = _roots(reps, trees_for(RECALL, percent)).select("key", "id", "label")
+        else:
+            rows = stash(rows.join(reps.select("id", "sketch"), "id").select("id", "label", F.explode(_children(F.col("key"), percent)).alias("key")))
+        found, large = _level(rows)
+        small.append(found)
+        if large is None:
+            return small, dealt
+        large = large.select("key", "id", "label")
+        shares = stash(_shares(large).select("key", ((F.col("minors") == 1) | (F.lit(depth) == MAX_DEPTH)).alias("deal")))
+        ready = stash(large.join(shares.filter("deal").select("key"), "key"))
+        dealt = ready if dealt is None else dealt.unionByName(ready)
+        if not shares.filter("not deal").head(1):
+            return small, dealt
+        rows = large.join(shares.filter("not deal").select("key"), "key")
+    return small, dealt
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each task key (first column) of sorted batches; a group is at most some LEAFs long."""
+    """The rows of each task key (first column) of sorted batches."""
     rest: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         rest.append(batch)
-        joined = pa.Table.from_batches(rest).combine_chunks()
+        joined = pa.Table.from_batches(rest)
         keys = joined.column(0).to_numpy()
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         for a, b in zip(starts[:-1], starts[1:]):
@@ -141,71 +191,39 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest)
 
 
-def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    flat = table.column("sketch").combine_chunks()
-    values = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(table), K)
-    return table.column("id").to_numpy(), table.column("n").to_numpy(), values
-
-
-def _equal(row: np.ndarray, n: int, rows: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Equal tokens of a set and of others; 0 where the sizes alone rule a link out."""
-    return np.where(100 * np.minimum(n, sizes) >= percent * np.maximum(n, sizes), (rows == row).sum(axis=1), 0)
-
-
-def _forest(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """For each node, pairs that join all its candidates: of each set, the one with the most equal tokens (Prim's rule)."""
+def _bundles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """For each task, the sets that candidate pairs of different components join: (bundle, id), a hash of the members first."""
     least = _candidate(percent)
     for table in _groups(batches):
-        ids, n, tokens = _matrix(table)
+        ids, at = np.unique(table.column("id").to_numpy(), return_index=True)
+        n, label = table.column("n").to_numpy()[at], table.column("label").to_numpy()[at]
+        tokens = table.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), K)[at]
         todo = np.ones(len(ids), dtype=bool)
-        best, source = np.full(len(ids), -1.0), np.zeros(len(ids), dtype=np.int64)
-        u, v = [], []
-        for _ in range(len(ids)):
-            at = int(np.where(todo, best, -2.0).argmax())
-            todo[at] = False
-            if best[at] >= least:
-                u.append(ids[at])
-                v.append(ids[source[at]])
-            equal = _equal(tokens[at], n[at], tokens, n, percent)
-            nearer = todo & (equal > best)
-            best[nearer], source[nearer] = equal[nearer], at
-        if u:
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-
-def _crossing(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """For each task, all candidate pairs of a set outside the node's largest component with sets of other components."""
-    for table in _groups(batches):
-        ids, n, tokens = _matrix(table)
-        label, minor = table.column("label").to_numpy(), table.column("minor").to_numpy(zero_copy_only=False)
-        others = np.flatnonzero(~minor)
-        for at in np.flatnonzero(minor):
-            equal = _equal(tokens[at], n[at], tokens[others], n[others], percent)
-            found = others[(equal >= _candidate(percent)) & (label[others] != label[at])]
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), ids[at])), pa.array(ids[found])], ["u", "v"])
-
-
-def _compare(rows: DataFrame, reps: DataFrame, how, percent: int, *more: str) -> DataFrame:
-    """Distinct candidate pairs (u > v); `rows`: task, id and more columns."""
-    dealt = rows.join(reps.select("id", "n", "sketch"), "id").select("task", "id", "n", "sketch", *more)
-    pairs = dealt.repartition("task").sortWithinPartitions("task").mapInArrow(lambda batches: how(batches, percent), "u long, v long")
-    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-
-
-def _crossing_tasks(rows: DataFrame, linked: DataFrame) -> DataFrame:
-    """Nodes with several components, cut in tasks (minor block, block): minor sets against all sets of the node."""
-    label = F.coalesce("component", "id")
-    rows = stash(rows.join(linked, "id", "left").select("key", "id", label.alias("label")))
-    by = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
-    nodes = by.groupBy("key").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("top")).filter("size > top.c")
-    half = LEAF // 2
-    nodes = nodes.select("key", F.col("top.label").alias("major"), F.ceil(F.col("size") / half).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("top.c")) / half).cast("int").alias("minors"))
-    dealt = rows.join(nodes, "key")
+        bundles, members = [], []
+        while todo.any():
+            own, new = [], [int(todo.argmax())]
+            todo[new] = False
+            while new:
+                own.append(k := new.pop())
+                rest = np.flatnonzero(todo & (label != label[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k])))
+                near = rest[(tokens[rest] == tokens[k]).sum(axis=1) >= least]
+                todo[near] = False
+                new.extend(near.tolist())
+            if len(own) > 1:
+                found = np.sort(ids[own])
+                members.append(found)
+                bundles.append(np.full(len(found), np.uint64(xxhash.xxh3_64_intdigest(found.tobytes()))).view(np.int64))
+        if members:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bundles)), pa.array(np.concatenate(members))], ["bundle", "id"])
+
+
+def _blocks(large: DataFrame, shares: DataFrame) -> DataFrame:
+    """Nodes dealt to tasks (block of sets outside the largest component, block of all): columns task, id, label."""
+    dealt = large.join(shares, "key")
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = dealt.select("key", "id", "label", F.lit(False).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("minors") - 1)).alias("i"), block("blocks").alias("j"))
-    minor = dealt.filter("label <> major").select("key", "id", "label", F.lit(True).alias("minor"), block("minors").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    return every.unionByName(minor).select(F.xxhash64("key", "i", "j").alias("task"), "id", "label", "minor")
+    every = dealt.select("key", "id", "label", F.explode(F.sequence(F.lit(0), F.col("minors") - 1)).alias("i"), block("blocks").alias("j"))
+    minor = dealt.filter("label <> major").select("key", "id", "label", block("minors").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    return every.unionByName(minor).select(F.xxhash64("key", "i", "j").alias("task"), "id", "label")
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,53 +231,98 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x.as_py()).tobytes() for x in batch.column(1)], pa.binary())], ["id", "items"])
 
 
-def _confirm_rows(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            both = np.concatenate([a, b])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * common >= percent * (len(a) + len(b) - common))
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """The numbers of items that each two of the sets (sorted, distinct items) have in common."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    items = np.concatenate(sets)
+    order = np.argsort(items, kind="stable")
+    items, owner = items[order], owner[order]
+    first = np.r_[True, items[1:] != items[:-1]]
+    column = np.cumsum(first) - 1
+    often = np.bincount(column) > 1  # what only one set has is common to no pair
+    keep = often[column]
+    owner, column = owner[keep], (np.cumsum(often) - 1)[column[keep]]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float64)
+    width = 4096
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [start, start + width])
+        has = np.zeros((len(sets), width), dtype=np.float32)
+        has[owner[a:b], column[a:b] - start] = 1.0
+        out += has @ has.T  # at most `width`, which these floats hold exactly
+    return out
+
+
+def _link_rows(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """For each task, links that join those of its sets which links join, and no other."""
+    for table in _groups(batches):
+        ids = table.column("id").to_numpy()
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("items")]
+        n = np.array([len(x) for x in sets], dtype=np.float64)
+        common = _shared(sets)
+        linked = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+        todo, u, v = np.ones(len(ids), dtype=bool), [], []
+        while todo.any():
+            new = [int(todo.argmax())]
+            todo[new] = False
+            while new:
+                at = new.pop()
+                near = np.flatnonzero(todo & linked[at])
+                todo[near] = False
+                u += ids[near].tolist()
+                v += [int(ids[at])] * len(near)
+                new.extend(near.tolist())
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that are linked by their full sets."""
-    a, b = sets.select(F.col("id").alias("u"), F.col("items").alias("x")), sets.select(F.col("id").alias("v"), F.col("items").alias("y"))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(lambda batches: _confirm_rows(batches, percent), "u long, v long")
+def _links(tasks: DataFrame, reps: DataFrame, docs: DataFrame, text: str, percent: int) -> DataFrame:
+    """Links (u, v) that join whatever links of the tasks (columns task, id, label) join; between components alone."""
+    dealt = tasks.join(reps.select("id", "n", "sketch"), "id").select("task", "id", "n", "sketch", "label")
+    bundles = stash(dealt.repartition("task").sortWithinPartitions("task").mapInArrow(lambda batches: _bundles(batches, percent), "bundle long, id long").distinct())
+    # A bundle whose sets are too much for a task is dealt to tasks for each two blocks of it.
+    weights = bundles.join(reps.select("id", "n"), "id").groupBy("bundle").agg(F.ceil(F.sum("n") * 2 / TASK_ITEMS).cast("int").alias("blocks"))
+    of = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, of).alias("i"), F.greatest(k, of).alias("j")))
+    whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+    rows = bundles.join(weights, "bundle").select("id", "bundle", F.explode(F.when(F.col("blocks") > 2, pairs).otherwise(whole)).alias("t"))
+    rows = rows.select("id", F.xxhash64("bundle", "t.i", "t.j").alias("task"))
+    texts = docs.select("doc_id", text).join(bundles.select(F.col("id").alias("doc_id")).distinct(), "doc_id")
+    sets = stash(texts.mapInArrow(_set_rows, "id long, items binary").dropDuplicates(["id", "items"]))
+    met = rows.join(sets, "id").select("task", "id", "items").repartition("task").sortWithinPartitions("task")
+    return stash(met.mapInArrow(lambda batches: _link_rows(batches, percent), "u long, v long"))
 
 
-def link_documents(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
+def link_documents(docs: DataFrame, text: str = "text", percent: int = PERCENT, recall: float = RECALL) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of `docs`; other columns are left out.
 
-    percent: the least similarity of linked sets, in hundredths.
+    percent: the least similarity of linked sets, in hundredths. recall: see `trees_for`. Sketches let pairs pass from 4
+    standard deviations below the threshold on, so a link at the threshold is no candidate with a probability of 0.00003.
+    Texts of any length count whole; repeated rows come out as often as they went in; an empty table gives an empty one.
     Null texts and texts without words have an empty set and are linked with nothing. Rows that share a doc_id
     but not a text are linked through either. A row with a null doc_id is never linked: its component_id is null, and it is kept.
     """
     rows = stash(docs.select("doc_id", text).mapInArrow(_sketch_rows, "doc_id long, n long, h1 long, h2 long, sketch array<int>"))
     real = rows.filter("n > 0 and doc_id is not null")
     reps = stash(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")))
-    small, large = _nodes(reps, percent)
-    nodes = small[0]
-    for more in small[1:]:
-        nodes = nodes.unionByName(more)
-    whole = nodes.select(F.col("key").alias("task"), "id")
+    roots = _roots(reps, trees_for(recall, percent))
+    small, large = _level(roots)
+    tasks = small.select(F.col("key").alias("task"), "id", "label")
     if large is not None:
         block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / (LEAF // 2)))
-        whole = whole.unionByName(large.select(F.xxhash64("key", block).alias("task"), "id"))
-        nodes = nodes.unionByName(large.select("key", "id"))
-    first = stash(_compare(whole, reps, _forest, percent))
-    wanted = first.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    # Every set with a candidate is in the forest, so these are all the sets that confirmations need.
-    texts = docs.select("doc_id", text).join(wanted, "doc_id")
-    sets = stash(texts.mapInArrow(_set_rows, "id long, items binary").dropDuplicates(["id", "items"]))
-    links = stash(_confirm(first, sets, percent))
+        tasks = tasks.unionByName(large.filter(F.col("tree") < FIRST_TREES).select(F.xxhash64("key", block).alias("task"), "id", "label"))
+    links = _links(tasks, reps, docs, text, percent)
     linked = components(links)
-    second = stash(_compare(_crossing_tasks(nodes, linked), reps, _crossing, percent, "label", "minor"))
-    if second.head(1):
-        linked = components(links.unionByName(_confirm(second, sets, percent)))
+    if large is not None:
+        large = stash(large.drop("label").join(linked, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label")))
+        shares = stash(_shares(large))
+        few = large.join(shares.filter("minors = 1").select("key"), "key")
+        small, dealt = _nodes(reps, percent, large.join(shares.filter("minors > 1").select("key"), "key"))
+        dealt = few if dealt is None else few.unionByName(dealt)
+        tasks = _blocks(dealt, _shares(dealt))
+        for level in small:
+            tasks = tasks.unionByName(level.select(F.col("key").alias("task"), "id", "label"))
+        links = links.unionByName(_links(tasks, reps, docs, text, percent))
+        linked = components(links)
     classes = reps.join(linked, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component_id"))
     found = rows.join(classes, ["h1", "h2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))))
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
