@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import shuffle_width, stash
+
+EDGES_PER_FILE = 100_000
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,11 +28,13 @@ def components(edges: DataFrame) -> DataFrame:
     Loops and repeated edges are allowed. The steps needed grow with the logarithm of the longest path.
     """
     current = stash(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
+    state, width = None, shuffle_width(edges.sparkSession)
     while True:
         # A sum of hashes tells whether anything changed.
         now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or now[0] == 0:
             return current.select(F.col("u").alias("id"), F.col("v").alias("component"))
         state = now
-        current = stash(_small_star(stash(_large_star(current).distinct())).distinct())
+        # A few edges need no more files than tasks to write them.
+        files = min(width, 8 + now[0] // EDGES_PER_FILE)
+        current = stash(_small_star(stash(_large_star(current).distinct().coalesce(files))).distinct().coalesce(files))

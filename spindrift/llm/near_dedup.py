@@ -9,15 +9,16 @@ A node's comparison on sketches splits it into bundles: what its candidate pairs
 one task, where every pair is counted exactly and the links that join its sets are given out: one less than sets, however
 many pairs there are. Bundles with the same sets, as small groups have in every tree, count once.
 
-Before large nodes branch, those of a few trees are dealt to blocks and linked within these, which joins most of a large
-group of near copies. Then only nodes with sets of several components branch on, and only pairs of different components
-count. A node in which few sets lie outside the largest component, or which stays large at the last depth, is dealt to
-tasks of these sets against all of its sets: no pair of a node is left out.
+Of nodes that are large after the first levels, one in some is dealt to blocks and linked within these, which joins most
+of a large group of near copies. Then only nodes with sets of several components branch on, and only pairs of different
+components count. A node in which few sets lie outside the largest component, or which stays large at the last depth, is
+dealt to tasks of these sets against all of its sets: no pair of a node is left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,11 @@ from .components import components
 SHINGLE = 5
 #: A link takes 100 * intersection >= percent * union; this is op4's percent.
 PERCENT = 85
-K, LEAF, MAX_DEPTH = 128, 300, 12
+K, LEAF, MAX_DEPTH = 128, 1000, 12
 #: The least probability that a pair at the threshold meets in a node at the last depth, where most pairs meet before.
 RECALL = 0.99998
-#: Trees whose large nodes are linked within blocks before any branches; items of the sets of a task.
-FIRST_TREES, TASK_ITEMS = 4, 4_000_000
+#: Levels after which large nodes, one in the second number, are linked within blocks; items of the sets of a task.
+FIRST_DEPTH, FIRST_NODES, TASK_ITEMS = 3, 6, 4_000_000
 _rng = np.random.default_rng(20260)
 _A = _rng.integers(0, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**64, K, dtype=np.uint64)
@@ -127,19 +128,19 @@ def _children(node: Column, percent: int) -> Column:
 
 
 def _roots(reps: DataFrame, trees: int) -> DataFrame:
-    """Rows (tree, key, id, label) of the nodes at the first depth; each set is its own component."""
+    """Rows (key, id, label) of the nodes at the first depth; each set is its own component."""
     roots = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.get("sketch", F.pmod(F.xxhash64(t, F.lit(0)), F.lit(K)).cast("int"))))
-    return reps.select("id", F.posexplode(roots).alias("tree", "key"), F.col("id").alias("label"))
+    return reps.select("id", F.explode(roots).alias("key"), F.col("id").alias("label"))
 
 
 def _level(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """The rows of nodes to compare, and those of larger nodes, both stored; nodes of one component are left out."""
+    """The rows of nodes to compare, and those of larger nodes; nodes of one component are left out. `rows` is computed often."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
     sizes = stash(sizes.filter("size > 1 and low < high").select("key", "size", "members"))
     # One of the nodes with the same members will do.
     keep = sizes.filter(F.col("size") <= LEAF).groupBy("size", "members").agg(F.min("key").alias("key")).select("key")
-    small, above = stash(rows.join(keep, "key").select("key", "id", "label")), sizes.filter(F.col("size") > LEAF).select("key", "size")
-    return small, stash(rows.join(above, "key")) if above.head(1) else None
+    small, above = rows.join(keep, "key").select("key", "id", "label"), sizes.filter(F.col("size") > LEAF).select("key", "size")
+    return small, rows.join(above, "key") if above.head(1) else None
 
 
 def _shares(large: DataFrame) -> DataFrame:
@@ -149,31 +150,43 @@ def _shares(large: DataFrame) -> DataFrame:
     return nodes.select("key", F.col("top.label").alias("major"), F.ceil(F.col("size") / (LEAF // 2)).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("top.c")) / (LEAF // 2)).cast("int").alias("minors"))
 
 
-def _nodes(reps: DataFrame, percent: int = PERCENT, rows: DataFrame | None = None) -> tuple[list[DataFrame], DataFrame | None]:
-    """Rows (key, id, label) of the nodes to compare, and of those to be dealt to tasks, each stored.
+def _branched(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The rows of the children of nodes."""
+    return stash(rows.join(reps.select("id", "sketch"), "id").select("id", "label", F.explode(_children(F.col("key"), percent)).alias("key")))
 
-    rows: the nodes to begin with (columns key, id, label), all of which branch; none: the roots.
-    """
-    small, dealt = [], None
-    for depth in range(1 if rows is None else 2, MAX_DEPTH + 1):
-        if depth == 1:
-            rows = _roots(reps, trees_for(RECALL, percent)).select("key", "id", "label")
-        else:
-            rows = stash(rows.join(reps.select("id", "sketch"), "id").select("id", "label", F.explode(_children(F.col("key"), percent)).alias("key")))
-        found, large = _level(rows)
+
+def _first_nodes(reps: DataFrame, percent: int, recall: float, depths: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Rows (key, id, label) of the nodes to compare in the first levels, and those of larger nodes at the last of them."""
+    small, rows = [], _roots(reps, trees_for(recall, percent))
+    for depth in range(depths):
+        found, large = _level(_branched(large, reps, percent) if depth else rows)
         small.append(found)
         if large is None:
-            return small, dealt
-        large = large.select("key", "id", "label")
+            break
+    return small, large
+
+
+def _mixed_nodes(large: DataFrame, reps: DataFrame, percent: int) -> tuple[list[DataFrame], DataFrame]:
+    """Of large nodes with several components, which branch on: rows to compare, and those of nodes to be dealt to tasks."""
+    small, dealt = [], large.limit(0)
+    for depth in range(FIRST_DEPTH, MAX_DEPTH + 1):
         shares = stash(_shares(large).select("key", ((F.col("minors") == 1) | (F.lit(depth) == MAX_DEPTH)).alias("deal")))
-        ready = stash(large.join(shares.filter("deal").select("key"), "key"))
-        dealt = ready if dealt is None else dealt.unionByName(ready)
+        dealt = dealt.unionByName(large.join(shares.filter("deal").select("key"), "key"))
         if not shares.filter("not deal").head(1):
-            return small, dealt
-        rows = large.join(shares.filter("not deal").select("key"), "key")
+            break
+        found, large = _level(_branched(large.join(shares.filter("not deal").select("key"), "key"), reps, percent))
+        small.append(found)
+        if large is None:
+            break
+        large = large.drop("size")
     return small, dealt
 
 
+def _nodes(reps: DataFrame, percent: int = PERCENT) -> tuple[list[DataFrame], DataFrame | None]:
+    """All nodes down to the last depth, as `_first_nodes` gives them."""
+    return _first_nodes(reps, percent, RECALL, MAX_DEPTH)
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of each task key (first column) of sorted batches."""
     rest: list[pa.RecordBatch] = []
@@ -261,15 +274,16 @@ def _link_rows(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         common = _shared(sets)
         linked = 100 * common >= percent * (n[:, None] + n[None, :] - common)
         todo, u, v = np.ones(len(ids), dtype=bool), [], []
-        while todo.any():
-            new = [int(todo.argmax())]
-            todo[new] = False
+        for first in np.argsort(ids):  # a class is a star around its smallest id
+            if not todo[first]:
+                continue
+            new = [int(first)]
+            todo[first] = False
             while new:
-                at = new.pop()
-                near = np.flatnonzero(todo & linked[at])
+                near = np.flatnonzero(todo & linked[new.pop()])
                 todo[near] = False
                 u += ids[near].tolist()
-                v += [int(ids[at])] * len(near)
+                v += [int(ids[first])] * len(near)
                 new.extend(near.tolist())
         if u:
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
@@ -304,24 +318,18 @@ def link_documents(docs: DataFrame, text: str = "text", percent: int = PERCENT,
     rows = stash(docs.select("doc_id", text).mapInArrow(_sketch_rows, "doc_id long, n long, h1 long, h2 long, sketch array<int>"))
     real = rows.filter("n > 0 and doc_id is not null")
     reps = stash(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")))
-    roots = _roots(reps, trees_for(recall, percent))
-    small, large = _level(roots)
-    tasks = small.select(F.col("key").alias("task"), "id", "label")
+    small, large = _first_nodes(reps, percent, recall, FIRST_DEPTH)
+    tasks = [level.select(F.col("key").alias("task"), "id", "label") for level in small]
     if large is not None:
         block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / (LEAF // 2)))
-        tasks = tasks.unionByName(large.filter(F.col("tree") < FIRST_TREES).select(F.xxhash64("key", block).alias("task"), "id", "label"))
-    links = _links(tasks, reps, docs, text, percent)
+        tasks.append(large.filter(F.pmod("key", F.lit(FIRST_NODES)) == 0).select(F.xxhash64("key", block).alias("task"), "id", "label"))
+    links = _links(reduce(DataFrame.unionByName, tasks), reps, docs, text, percent)
     linked = components(links)
     if large is not None:
-        large = stash(large.drop("label").join(linked, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label")))
-        shares = stash(_shares(large))
-        few = large.join(shares.filter("minors = 1").select("key"), "key")
-        small, dealt = _nodes(reps, percent, large.join(shares.filter("minors > 1").select("key"), "key"))
-        dealt = few if dealt is None else few.unionByName(dealt)
-        tasks = _blocks(dealt, _shares(dealt))
-        for level in small:
-            tasks = tasks.unionByName(level.select(F.col("key").alias("task"), "id", "label"))
-        links = links.unionByName(_links(tasks, reps, docs, text, percent))
+        large = stash(large.join(linked, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label")))
+        small, dealt = _mixed_nodes(large, reps, percent)
+        tasks = [_blocks(dealt, _shares(dealt)), *(level.select(F.col("key").alias("task"), "id", "label") for level in small)]
+        links = links.unionByName(_links(reduce(DataFrame.unionByName, tasks), reps, docs, text, percent))
         linked = components(links)
     classes = reps.join(linked, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component_id"))
     found = rows.join(classes, ["h1", "h2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))))
