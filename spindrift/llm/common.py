@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -12,9 +13,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; a private one only where the setting is unset, as in tests."""
+    """The folder of `spark.checkpoint.dir`; a private one only where the setting is unset and Spark runs in one process,
+    as in tests: executors elsewhere would not see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spindrift-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{folder}")
@@ -29,6 +33,17 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of `df` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -39,7 +54,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def bucket_of(key: Column, splits: list) -> Column:
-    """Number of `splits` (sorted, bounded in number by the caller) that are at most `key`."""
+    """Number of `splits` (sorted, bounded in number by the caller) that are at most `key`.
+
+    A binary search: the splits are one constant of the plan, of which a row looks at as many as their number has bits.
+    """
     if not splits:
         return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(s) for s in splits]), lambda s: s <= key))
+    table = F.lit(splits)
+    size, found = len(splits), F.lit(0)
+    step = 1 << (size.bit_length() - 1)
+    while step:
+        # `found` splits are known to be at most the key; are `step` more?
+        ahead = found + step
+        found = F.when(F.coalesce(F.get(table, ahead - 1) <= key, F.lit(False)), ahead).otherwise(found)
+        step >>= 1
+    return found

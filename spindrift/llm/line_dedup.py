@@ -7,8 +7,9 @@ it that can differ is varied: a line is cut in four, each part is left out in tu
 line has a key, no line differs in that part alone. This is done twice, so that a part is a sixteenth of its line, and
 more often for lines of which a sixteenth is still long.
 
-All steps are aggregations by hashed keys with partial sums before the shuffle, so a line which a third of all documents
-hold costs no task more than others.
+The texts are split once: hashes and keys of all lines make a stored table that holds no text, and the few lines that
+share a key are read again. All steps are aggregations by hashed keys with partial sums before the shuffle, so a line
+which a third of all documents hold costs no task more than others.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import fresh, stash
 
-#: Lines whose normal form has fewer characters always stay. Parts that are longer than the second number are cut again.
+#: Lines whose normal form has fewer characters always stay, if nothing else is asked for. Parts that are longer than the
+#: second number are cut again.
 SHORTEST, LONGEST_PART = 20, 25_000
 #: Keys that a broadcast takes at most (8 bytes each); with more, the same join shuffles.
 BROADCAST_KEYS = 500_000
@@ -34,17 +36,32 @@ def normal_form(text: Column) -> Column:
     return F.lower(F.when(odd, F.regexp_replace(text, r"[ \t\r\x0B\x0C]+", " ")).otherwise(text))
 
 
-def _lines(docs: DataFrame, text: str) -> DataFrame:
+def _lines(docs: DataFrame, text: str, shortest: int) -> DataFrame:
     """Lines to judge: doc_id, line (its number), norm, n (its length), h and c (hashes), and at (the order of places; no id
     comes last)."""
     # What is generated is a column: neither the form nor its length is computed again by filters and projections above.
-    forms = F.transform(F.split(normal_form(F.col(text)), "\n", -1), lambda x: F.struct(F.trim(x).alias("norm"), F.length(F.trim(x)).alias("n")))
-    each = docs.select("doc_id", F.posexplode(forms).alias("line", "l")).filter(F.col("l.n") >= SHORTEST)
+    forms = F.transform(F.split(normal_form(F.col(f"`{text}`")), "\n", -1), lambda x: F.struct(F.trim(x).alias("norm"), F.length(F.trim(x)).alias("n")))
+    each = docs.select("doc_id", F.posexplode(forms).alias("line", "l")).filter(F.col("l.n") >= shortest)
     place = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(2**63)).cast("decimal(20,0)")) * F.lit(_PLACES).cast("decimal(11,0)") + F.col("line").cast("decimal(10,0)")
     norm = F.col("l.norm")
     return each.select("doc_id", "line", norm.alias("norm"), F.col("l.n").alias("n"), F.xxhash64(norm).alias("h"), F.crc32(norm).alias("c"), place.cast("decimal(32,0)").alias("at"))
 
 
+def _keyed(lines: DataFrame) -> DataFrame:
+    """`lines` with keys, the hashes of a line without each of its parts as `_parts` cuts it, from hashes of its quarters.
+
+    A line whose length is one of two comes twice, the second time with main = false.
+    """
+    norm, n, base = F.col("norm"), F.col("n"), F.col("base")
+    bases = F.when((n % 8 == 0) & (n > 0), F.array(n, n - 8)).otherwise(F.array(n - n % 8))
+    w = F.floor(base / 4).cast("int")
+    left = lambda k: F.xxhash64(F.substring(norm, k * w + 1, w))
+    right = lambda k: F.xxhash64(F.substring(norm, n - k * w + 1, w))
+    rests = ([right(3), right(2), right(1)], [left(0), right(2), right(1)], [left(0), left(1), right(1)], [left(0), left(1), left(2)])
+    keys = F.array(*[F.xxhash64(base, F.lit(i), *rest) for i, rest in enumerate(rests)])
+    return lines.select("*", F.posexplode(bases).alias("nth", "base")).select(*[c for c in lines.columns if c not in ("norm", "n")], (F.col("nth") == 0).alias("main"), keys.alias("keys"))
+
+
 def _parts(rows: DataFrame) -> DataFrame:
     """Each text (columns key, h, at, norm, n) without each of its parts: key is that of the rest, norm the part.
 
@@ -72,11 +89,9 @@ def _earliest(rows: DataFrame) -> DataFrame:
 
 
 def near_lines(lines: DataFrame) -> DataFrame:
-    """Hashes h of the lines that are one edit from another one with an earlier place."""
+    """Hashes h of the lines (columns h, at, norm and n; distinct) that are one edit from another one with an earlier place."""
     parts = _parts(lines.select(F.lit(0).cast("long").alias("key"), "h", "at", "norm", "n"))
-    keys = stash(_shared(parts))
-    few = keys.count() <= BROADCAST_KEYS
-    first = stash(_earliest(parts.join(F.broadcast(keys) if few else keys, "key")))
+    first = stash(_earliest(parts.join(_shared(parts), "key")))
     rows, long = first.filter(F.col("n") <= LONGEST_PART), first
     while (long.agg(F.max("n")).first()[0] or 0) > LONGEST_PART:
         # Both parts of a pair go the same way, as a part of just that length goes both ways.
@@ -95,39 +110,57 @@ def near_lines(lines: DataFrame) -> DataFrame:
     return pairs.filter(F.levenshtein("norm", "first.norm", 1) >= 0).select("h").distinct()
 
 
-def removed_lines(docs: DataFrame, text: str = "text", near: bool = True) -> DataFrame:
+def _candidates(docs: DataFrame, text: str, shortest: int, table: DataFrame) -> DataFrame:
+    """The lines that share a key with another line, each once, at its earliest place; with their text."""
+    keyed = table.select("h", F.explode("keys").alias("key"))
+    keys = stash(_shared(keyed))
+    few = keys.count() <= BROADCAST_KEYS
+    lines = keyed.join(F.broadcast(keys) if few else keys, "key").select("h").distinct()
+    places = stash(table.join(lines, "h").groupBy("h").agg(F.min("at").alias("at"), F.min_by("doc_id", "at").alias("doc_id")))
+    ids = places.select(F.col("doc_id").alias("id")).distinct()
+    own = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("id")), "left_semi")
+    return stash(_lines(own, text, shortest).join(places.select("h", "at"), ["h", "at"]).select("h", "at", "norm", "n").dropDuplicates(["h"]))
+
+
+def removed_lines(docs: DataFrame, text: str = "text", near: bool = True, shortest: int = SHORTEST) -> DataFrame:
     """doc_id and lines (numbers, from 0) that an earlier equal or near line makes superfluous; only documents with some.
 
     Earlier: by doc_id (none: last), then line number. A line goes if any earlier one is within the bound, whether that
     one stays or not. Rows that share a doc_id count as one document: at the same number, equal lines are one line.
+    Lines of any length are judged, those of fewer than `shortest` characters aside.
     """
-    lines = _lines(docs, text)
-    distinct = lines.groupBy("h", "c").agg(F.min("at").alias("first"), F.count("*").alias("times"))
+    lines = _lines(docs, text, shortest)
+    keyed = stash(_keyed(lines) if near else lines.drop("norm", "n"))
+    table = keyed.filter("main") if near else keyed
+    distinct = table.groupBy("h", "c").agg(F.min("at").alias("first"), F.count("*").alias("times"))
     if near:
-        distinct = distinct.join(near_lines(lines).withColumn("near", F.lit(True)), "h", "left")
+        distinct = distinct.join(near_lines(_candidates(docs, text, shortest, keyed)).withColumn("near", F.lit(True)), "h", "left")
     else:
         distinct = distinct.withColumn("near", F.lit(None).cast("boolean"))
     known = stash(distinct.filter("times > 1 or near").select("h", "c", "first", "near"))
     # A line may have a third of all places: an equi-join of two exchanges, which adaptive execution splits.
-    gone = lines.select("doc_id", "line", "h", "c", "at").join(known, ["h", "c"]).filter("near or at > first")
+    gone = table.select("doc_id", "line", "h", "c", "at").join(known, ["h", "c"]).filter("near or at > first")
     return gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", near: bool = True, count: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", near: bool = True, count: str | None = None, shortest: int = SHORTEST) -> DataFrame:
     """`docs` without superfluous lines in `text`; all other lines stay as they are, in order. No row goes.
 
-    count: name of a column for the number of lines that went. Null texts stay null. Lines shorter than SHORTEST, blank
-    ones too, always stay. A text that loses all lines is empty.
+    count: name of a column for the number of lines that went; it replaces one of that name. shortest: lines whose normal
+    form has fewer characters, blank ones too, always stay. Null texts stay null, and a text that loses all lines is empty.
+    A document may be one very long line. Repeated rows lose the same lines each; a null doc_id comes last. Other columns,
+    whatever their names, stay as they are. An empty table gives an empty one.
     """
-    gone = removed_lines(docs, text, near).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__gone"))
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")), "left")
-    lines = F.split(text, "\n", -1)
+    own, gone_lines, kept_lines = fresh(docs, "id", "gone", "kept")
+    gone = removed_lines(docs, text, near, shortest).select(F.col("doc_id").alias(own), F.col("lines").alias(gone_lines))
+    out = docs.join(gone, docs["doc_id"].eqNullSafe(F.col(own)), "left")
+    lines = F.split(f"`{text}`", "\n", -1)
     # Rows that share an id may differ: from each go only lines that it has and that are long enough.
-    kept = F.filter(lines, lambda x, i: ~(F.array_contains("__gone", i) & (F.length(F.trim(normal_form(x))) >= SHORTEST)))
-    out = out.withColumn("__kept", F.when(F.col("__gone").isNotNull(), kept))
-    out = out.withColumn("__n", F.coalesce(F.size(lines) - F.size("__kept"), F.lit(0)).cast("long"))
-    out = out.withColumn(text, F.when(F.col("__kept").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col(text)))
-    return out.select(*[c for c in docs.columns if c != count], *([F.col("__n").alias(count)] if count else []))
+    kept = F.filter(lines, lambda x, i: ~(F.array_contains(gone_lines, i) & (F.length(F.trim(normal_form(x))) >= shortest)))
+    out = out.withColumn(kept_lines, F.when(F.col(gone_lines).isNotNull(), kept))
+    removed = F.coalesce(F.size(lines) - F.size(kept_lines), F.lit(0)).cast("long")
+    new = F.when(F.col(kept_lines).isNotNull(), F.array_join(kept_lines, "\n")).otherwise(F.col(f"`{text}`"))
+    return out.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != count], *([removed.alias(count)] if count else []))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
