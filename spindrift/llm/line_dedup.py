@@ -110,18 +110,22 @@ def near_lines(lines: DataFrame) -> DataFrame:
     return pairs.filter(F.levenshtein("norm", "first.norm", 1) >= 0).select("h").distinct()
 
 
-def _candidates(docs: DataFrame, text: str, shortest: int, table: DataFrame) -> DataFrame:
+def _candidates(docs: DataFrame, text: str, shortest: int, keyed: DataFrame, distinct: DataFrame) -> DataFrame:
     """The lines that share a key with another line, each once, at its earliest place; with their text."""
-    keyed = table.select("h", F.explode("keys").alias("key"))
-    keys = stash(_shared(keyed))
-    few = keys.count() <= BROADCAST_KEYS
-    lines = keyed.join(F.broadcast(keys) if few else keys, "key").select("h").distinct()
-    places = stash(table.join(lines, "h").groupBy("h").agg(F.min("at").alias("at"), F.min_by("doc_id", "at").alias("doc_id")))
-    ids = places.select(F.col("doc_id").alias("id")).distinct()
-    own = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("id")), "left_semi")
+    rows = keyed.select("h", F.explode("keys").alias("key"))
+    keys = _checked(stash(_shared(rows)))
+    places = stash(distinct.join(rows.join(keys, "key").select("h").distinct(), "h").select("h", F.col("first").alias("at"), "doc_id"))
+    # A hash stands for an id, as ids may be null; the join by places leaves no other document's lines.
+    ids = _checked(stash(places.select(F.xxhash64("doc_id").alias("id")).distinct()))
+    own = docs.join(ids, F.xxhash64("doc_id") == F.col("id"), "left_semi")
     return stash(_lines(own, text, shortest).join(places.select("h", "at"), ["h", "at"]).select("h", "at", "norm", "n").dropDuplicates(["h"]))
 
 
+def _checked(keys: DataFrame) -> DataFrame:
+    """Stored keys, to be broadcast if they are few enough."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def removed_lines(docs: DataFrame, text: str = "text", near: bool = True, shortest: int = SHORTEST) -> DataFrame:
     """doc_id and lines (numbers, from 0) that an earlier equal or near line makes superfluous; only documents with some.
 
@@ -132,9 +136,10 @@ def removed_lines(docs: DataFrame, text: str = "text", near: bool = True, shorte
     lines = _lines(docs, text, shortest)
     keyed = stash(_keyed(lines) if near else lines.drop("norm", "n"))
     table = keyed.filter("main") if near else keyed
-    distinct = table.groupBy("h", "c").agg(F.min("at").alias("first"), F.count("*").alias("times"))
+    distinct = table.groupBy("h", "c").agg(F.min("at").alias("first"), F.min_by("doc_id", "at").alias("doc_id"), F.count("*").alias("times"))
     if near:
-        distinct = distinct.join(near_lines(_candidates(docs, text, shortest, keyed)).withColumn("near", F.lit(True)), "h", "left")
+        distinct = stash(distinct)
+        distinct = distinct.join(near_lines(_candidates(docs, text, shortest, keyed, distinct)).withColumn("near", F.lit(True)), "h", "left")
     else:
         distinct = distinct.withColumn("near", F.lit(None).cast("boolean"))
     known = stash(distinct.filter("times > 1 or near").select("h", "c", "first", "near"))
