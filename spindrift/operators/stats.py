@@ -97,6 +97,20 @@ def top_entries(scope: DataFrame, key: str, n: int) -> DataFrame:
     return counts.orderBy(F.desc("n"), "first_id").limit(n)
 
 
+def first_seen_codes(catalog: DataFrame, key: str, bins: int = 1024) -> DataFrame:
+    """value and code (from 0) of a column's values, in the order in which they are first seen.
+
+    Places are counted within ranges of ids and added up over the ranges, so no task has all values.
+    """
+    firsts = catalog.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("value")).agg(F.min("id").alias("first"))
+    ends = firsts.agg(F.min("first").alias("lo"), F.max("first").alias("hi"))  # one row
+    binned = firsts.crossJoin(F.broadcast(ends)).select("value", "first", F.floor((F.col("first") - F.col("lo")) * bins / (F.col("hi") - F.col("lo") + 1)).alias("bin"))
+    sizes = binned.groupBy("bin").agg(F.count("*").alias("n"))  # at most `bins` rows
+    before = sizes.select("bin", F.coalesce(F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("bin").orderBy("first")) - 1
+    return binned.withColumn("place", place).join(F.broadcast(before), "bin").select("value", (F.col("before") + F.col("place")).cast("long").alias("code"))
+
+
 def preset_counts(catalog: DataFrame, now_ms: int) -> DataFrame:
     """preset, n of the twelve presets, from one pass."""
     one = catalog.agg(*[F.count_if(p.lens.to_column(now_ms)).alias(p.id) for p in PRESETS])
@@ -106,14 +120,16 @@ def preset_counts(catalog: DataFrame, now_ms: int) -> DataFrame:
 def shell_neighbours(catalog: DataFrame, probes: DataFrame | None = None, band: float = 25.0) -> DataFrame:
     """id, neighbours: rows of the catalogue whose altitude is within `band` km of each probe's, itself included.
 
-    A range join over cells as wide as the band: altitudes are counted by distinct value first, then a probe's value
-    meets the values of its own cell and the two beside it. Rows never meet rows, only distinct altitudes do.
+    Altitudes are counted by distinct value first. A value counts in its cell, as wide as the band, and in the two beside
+    it; a running sum over the sorted values of a cell counts what is near a probe's value. Values never meet each other.
     """
     cell = F.floor(F.col("alt") / band).cast("long")
-    values = catalog.select(_alt().alias("alt")).groupBy("alt").agg(F.count("*").alias("c")).withColumn("cell", cell)
+    values = catalog.select(_alt().alias("alt")).groupBy("alt").agg(F.count("*").alias("c")).withColumn("own", cell)
     asked = (catalog if probes is None else probes).select("id", _alt().alias("alt"))
-    near = asked.select("alt").distinct().withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
-    found = near.join(values.withColumnRenamed("alt", "other"), "cell").filter(F.abs(F.col("other") - F.col("alt")) <= band).groupBy("alt").agg(F.sum("c").alias("neighbours"))
+    given = values.select("alt", "c", F.lit(False).alias("asks"), F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)).alias("cell"))
+    asks = asked.select("alt").distinct().select("alt", F.lit(0).cast("long").alias("c"), F.lit(True).alias("asks"), cell.alias("cell"))
+    around = f"sum(c) over (partition by cell order by alt range between {float(band)}D preceding and {float(band)}D following)"
+    found = given.unionByName(asks).withColumn("neighbours", F.expr(around)).filter("asks").select("alt", "neighbours")
     return asked.join(found, "alt").select("id", "neighbours")
 
 
@@ -183,11 +199,14 @@ def overlap(catalog: DataFrame, a: Lens, b: Lens, now_ms: int) -> DataFrame:
 
 
 def orbit_rows(catalog: DataFrame, groups: list[Lens], now_ms: int) -> DataFrame:
-    """Rows whose orbits are drawn: groups of over MAX_ORBITS are left out, and no group begins once as many are listed."""
+    """Rows whose orbits are drawn. Groups of over MAX_ORBITS are left out; of the others, in turn, rows by id are listed
+    until there are MAX_ORBITS + 1, and one of each group that comes after that."""
     sizes = catalog.agg(*[F.count_if(g.to_column(now_ms)).alias(f"g{i}") for i, g in enumerate(groups)]).first()  # one row
     out, listed = [], 0
     for i, (group, size) in enumerate(zip(groups, sizes)):
-        if 0 < size <= MAX_ORBITS and listed <= MAX_ORBITS:
-            out.append(catalog.filter(group.to_column(now_ms)).withColumn("group", F.lit(i)))
-            listed += size
+        if 0 < size <= MAX_ORBITS:
+            take = min(size, max(1, MAX_ORBITS + 1 - listed))
+            rows = catalog.filter(group.to_column(now_ms))
+            out.append((rows if take == size else rows.orderBy("id").limit(take)).withColumn("group", F.lit(i)))
+            listed += take
     return reduce(DataFrame.unionByName, out) if out else catalog.withColumn("group", F.lit(0)).limit(0)

@@ -60,31 +60,42 @@ def occluded(camera: Camera, x: Column, y: Column, z: Column) -> Column:
     return (disc > 0) & (t > 0) & (t < 1)
 
 
+def _projected(positions: DataFrame, camera: Camera) -> DataFrame:
+    """Rows that have a position, with a struct `clip`: cx, cy, cz and cw, and whether they are hidden.
+
+    What is generated is a column: the position, and then the clip coordinates, are computed once, however many
+    conditions use them, and the generated code stays small.
+    """
+    others = [F.col(f"`{c}`") for c in positions.columns if c not in ("x", "y", "z")]
+    points = positions.filter("x is not null").select(*others, F.inline(F.array(F.struct("x", "y", "z"))))
+    p = (F.col("x"), F.col("y"), F.col("z"))
+    clip = [_clip(camera, i, p).alias(n) for i, n in enumerate(("cx", "cy", "cz", "cw"))]
+    return points.select("*", F.explode(F.array(F.struct(*clip, occluded(camera, *p).alias("hidden")))).alias("clip"))
+
+
 def in_view(positions: DataFrame, camera: Camera) -> DataFrame:
     """Rows (with x, y, z) inside the image's edges and not behind the sphere; rows without a position are not in view."""
-    p = (F.col("x"), F.col("y"), F.col("z"))
-    w = _clip(camera, 3, p)
-    return positions.filter("x is not null").filter((w > 0) & (F.abs(_clip(camera, 0, p) / w) <= 1) & (F.abs(_clip(camera, 1, p) / w) <= 1) & ~occluded(camera, *p))
+    w = F.col("clip.cw")
+    return _projected(positions, camera).filter((w > 0) & (F.abs(F.col("clip.cx") / w) <= 1) & (F.abs(F.col("clip.cy") / w) <= 1) & ~F.col("clip.hidden")).select(*positions.columns)
 
 
 def pick(positions: DataFrame, camera: Camera, px: float, py: float, width: float, height: float, radius: float = MOUSE_RADIUS, style: str = "style") -> DataFrame:
     """At most one row (id, score, sx, sy): the nearest visible row to a pixel; focused rows are favoured, ghosts are not."""
-    p = (F.col("x"), F.col("y"), F.col("z"))
-    w = _clip(camera, 3, p)
-    sx, sy = (_clip(camera, 0, p) / w + 1) * 0.5 * width, (1 - _clip(camera, 1, p) / w) * 0.5 * height
+    w = F.col("clip.cw")
+    sx, sy = (F.col("clip.cx") / w + 1) * 0.5 * width, (1 - F.col("clip.cy") / w) * 0.5 * height
     d2 = (sx - px) * (sx - px) + (sy - py) * (sy - py)
     weight = F.when(F.col(style) == compare.GHOST, 120.0).when(F.col(style) >= compare.FOCUS, -40.0).otherwise(0.0)
-    near = positions.filter(F.col(style) != compare.HIDDEN).filter("x is not null").filter((w > 0) & (d2 <= radius * radius) & ~occluded(camera, *p))
+    near = _projected(positions.filter(F.col(style) != compare.HIDDEN), camera).filter((w > 0) & (d2 <= radius * radius) & ~F.col("clip.hidden"))
     return near.select("id", (d2 + weight).alias("score"), sx.alias("sx"), sy.alias("sy")).orderBy("score", "id").limit(1)
 
 
 def anchors(points: DataFrame, camera: Camera, width: float, height: float, occlude: bool = True) -> DataFrame:
-    """id, sx, sy and visible of label points."""
-    p = (F.col("x"), F.col("y"), F.col("z"))
-    w = _clip(camera, 3, p)
-    nx, ny, nz = (_clip(camera, i, p) / w for i in range(3))
+    """id, sx, sy and visible of label points; of a point without a position they are null."""
+    nx, ny, nz = (F.col(f"clip.{c}") / F.col("clip.cw") for c in ("cx", "cy", "cz"))
     seen = (nz > -1) & (nz < 1) & (F.abs(nx) < 1.05) & (F.abs(ny) < 1.05)
-    return points.select("id", ((nx * 0.5 + 0.5) * width).alias("sx"), ((0.5 - ny * 0.5) * height).alias("sy"), (seen & ~occluded(camera, *p) if occlude else seen).alias("visible"))
+    none = points.filter("x is null").select("id", *[F.lit(None).cast(t).alias(n) for n, t in (("sx", "double"), ("sy", "double"), ("visible", "boolean"))])
+    shown = (seen & ~F.col("clip.hidden") if occlude else seen).alias("visible")
+    return _projected(points, camera).select("id", ((nx * 0.5 + 0.5) * width).alias("sx"), ((0.5 - ny * 0.5) * height).alias("sy"), shown).unionByName(none)
 
 
 def interpolate(a: DataFrame, b: DataFrame, t_a: float, t_b: float, t: float) -> DataFrame:
@@ -101,7 +112,7 @@ def camera_distance(r: float) -> float:
 
 @dataclass(frozen=True)
 class SimClock:
-    """now = base + (wall - origin) * warp; `epoch` counts jumps. All times in milliseconds."""
+    """now = base + (wall - origin) * warp; `epoch` counts changes of time, warp and pause. All times in milliseconds."""
 
     base: float
     origin: float
@@ -116,13 +127,13 @@ class SimClock:
         return replace(self, base=ms, origin=wall, epoch=self.epoch + 1)
 
     def set_warp(self, warp: float, wall: float) -> SimClock:
-        return replace(self, base=self.now(wall), origin=wall, warp=warp)
+        return replace(self, base=self.now(wall), origin=wall, warp=warp, epoch=self.epoch + 1)
 
     def pause(self, wall: float) -> SimClock:
-        return replace(self, base=self.now(wall), origin=wall, paused=True)
+        return replace(self, base=self.now(wall), origin=wall, paused=True, epoch=self.epoch + 1)
 
     def resume(self, wall: float) -> SimClock:
-        return replace(self, origin=wall, paused=False)
+        return replace(self, origin=wall, paused=False, epoch=self.epoch + 1)
 
     def go_live(self, wall: float) -> SimClock:
         return SimClock(wall, wall, epoch=self.epoch + 1)

@@ -37,6 +37,13 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(ELEMENTS_SQL, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
 
 
+def orbits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the generated catalogue, the columns that need no rule of names; for queries of positions and altitudes alone."""
+    rows = elements(spark, sf_dir)
+    alt = orbit.semi_major_axis(F.col("mean_motion")) - orbit.EARTH_RADIUS_KM
+    return rows.select("id", "country", "mean_motion", "eccentricity", "inclination", F.round(alt, 3).cast("float").alias("mean_alt_km"))
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The generated catalogue with its derived columns; altitudes are rounded to metres, so that engines agree on bins."""
     rows = classify.with_rule(elements(spark, sf_dir))

@@ -11,7 +11,7 @@ from .functions.orbit import altitude_bin
 from .functions import format as fmt
 from .functions import frames
 from .operators import card, compare, insights, motion, search, stats, view
-from .plans.fixture import NOW_MS, ORACLE_CATALOG, catalog
+from .plans.fixture import NOW_MS, ORACLE_CATALOG, catalog, orbits
 from .plans.lens import PRESETS, Lens
 from .streaming import ticks
 
@@ -124,17 +124,16 @@ def preset_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("shell_neighbours", "select a.id, sum(v.c)::bigint as neighbours from cat a join v on abs(v.alt - a.mean_alt_km::double) <= 25 group by a.id", "v as (select mean_alt_km::double as alt, count(*) as c from cat group by 1)")
 def shell_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return stats.shell_neighbours(catalog(spark, d))
+    return stats.shell_neighbours(orbits(spark, d))
 
 
 @query(
     "shell_percentile",
     "select n.id, n.neighbours, (select count(*) filter (where b.c < n.neighbours) / count(*)::double from b) as percentile, n.neighbours >= (select max(c) from b) as busiest from n",
-    "b as (select floor(mean_alt_km::double / 50) as x, count(*) as c from cat group by 1), n as (select p.id, count(*) as neighbours from cat p join cat o on abs(o.mean_alt_km::double - p.mean_alt_km::double) <= 25 where p.country = 'LU' group by p.id)",
+    "b as (select floor(mean_alt_km::double / 50) as x, count(*) as c from cat group by 1), n as (select p.id, count(*) as neighbours from cat p join cat o on abs(o.mean_alt_km::double - p.mean_alt_km::double) <= 25 group by p.id)",
 )
 def shell_percentile(spark: SparkSession, d: str) -> DataFrame:
-    cat = catalog(spark, d)
-    return stats.shell_percentile(cat, cat.filter("country = 'LU'"))
+    return stats.shell_percentile(orbits(spark, d))
 
 
 _MODES = (
@@ -181,9 +180,20 @@ def style_codes(spark: SparkSession, d: str) -> DataFrame:
     return catalog(spark, d).select("id", compare.style_code(NOW_MS, Lens(blocs=("US",)), Lens(blocs=("CN",))).alias("style"))
 
 
-@query("orbit_cap", "select id, 0 as \"group\" from cat where id % 12 = 0 and country = 'LU' and (select count(*) from cat where id % 12 = 0 and country = 'LU') between 1 and 320")
+_CAPPED = [Lens(constellations=("starlink",), countries=("LU",)), Lens(countries=("FI",), regimes=("GEO",)), Lens(countries=("IT",), missions=("human",)), Lens(regimes=("LEO",)), Lens(countries=("ES",), regimes=("MEO",))]
+_CAPPED_SQL = ["constellation = 'starlink' and country = 'LU'", "country = 'FI' and regime = 'GEO'", "country = 'IT' and mission = 'human'", "regime = 'LEO'", "country = 'ES' and regime = 'MEO'"]
+
+
+@query(
+    "orbit_cap",
+    'select id, g as "group" from m where k <= greatest(1, 321 - before)',
+    "g as (" + " union all ".join(f"select {i} as g, id from cat where {w}" for i, w in enumerate(_CAPPED_SQL)) + "), n as (select g, count(*) as n from g group by g having count(*) <= 320), "
+    # Each group lists as many as are left up to 321, and one at least.
+    "l as (select g, n, row_number() over (order by g) as step from n), t(step, g, before, listed) as (select 0::bigint, -1, 0::bigint, 0::bigint union all select l.step, l.g, t.listed, t.listed + least(l.n, greatest(1, 321 - t.listed)) from t join l on l.step = t.step + 1), "
+    "m as (select g.id, g.g, t.before, row_number() over (partition by g.g order by g.id) as k from g join t on t.g = g.g)",
+)
 def orbit_cap(spark: SparkSession, d: str) -> DataFrame:
-    return stats.orbit_rows(catalog(spark, d), [Lens(constellations=("starlink",), countries=("LU",)), Lens(regimes=("LEO",))], NOW_MS).select("id", "group")
+    return stats.orbit_rows(catalog(spark, d), _CAPPED, NOW_MS).select("id", "group")
 
 
 def _side(name: str, where: str, other: str) -> str:
@@ -248,11 +258,6 @@ def search_satellites(spark: SparkSession, d: str) -> DataFrame:
     return search.search_satellites(catalog(spark, d), "cosmos 2")
 
 
-@query("search_merged")
-def search_merged(spark: SparkSession, d: str) -> DataFrame:
-    return search.search(catalog(spark, d), "star")
-
-
 _SHARE = "floor(100 * {0} / n + 0.5)::int"
 
 
@@ -274,18 +279,13 @@ def scope_insights(spark: SparkSession, d: str) -> DataFrame:
     return insights.scope_insights(catalog(spark, d), NOW_MS)
 
 
-@query("lens_insights")
-def lens_insights(spark: SparkSession, d: str) -> DataFrame:
-    return insights.lens_insights(catalog(spark, d), Lens(missions=("nav",)), NOW_MS)
-
-
 #: Synthetic positions: a circle of each row's own, the same SQL on both engines.
 _POSITIONS = "select id, cos(id * 0.37e0) * r * cos(inclination / 57.29577951308232e0) as x, sin(inclination / 57.29577951308232e0) * r as y, -sin(id * 0.37e0) * r * cos(inclination / 57.29577951308232e0) as z from (select id, inclination, 1 + mean_alt_km::double / 6371e0 as r from cat)"
 _CAMERA = view.Camera.looking_at_centre(4.0, 3.0, 5.0, 1.6)
 
 
 def _positions(spark: SparkSession, d: str) -> DataFrame:
-    rows = catalog(spark, d).select("id", "inclination", (1 + F.col("mean_alt_km").cast("double") / 6371.0).alias("r"))
+    rows = orbits(spark, d).select("id", "inclination", (1 + F.col("mean_alt_km").cast("double") / 6371.0).alias("r"))
     a, b = F.col("id") * 0.37, F.col("inclination") / 57.29577951308232
     return rows.select("id", (F.cos(a) * F.col("r") * F.cos(b)).alias("x"), (F.sin(b) * F.col("r")).alias("y"), (-F.sin(a) * F.col("r") * F.cos(b)).alias("z"))
 
@@ -319,9 +319,9 @@ def pick(spark: SparkSession, d: str) -> DataFrame:
     return view.pick(_positions(spark, d).withColumn("style", style), _CAMERA, 800, 400, 1600, 1000, view.TOUCH_RADIUS).select("id", "score")
 
 
-@query("label_anchors", "select id, (cx / cw * 0.5 + 0.5) * 1600 as sx, (0.5 - cy / cw * 0.5) * 1000 as sy, abs(cx / cw) < 1.05 and abs(cy / cw) < 1.05 and not hid as visible from s where id % 50 = 1", _SEEN)
+@query("label_anchors", "select id, (cx / cw * 0.5 + 0.5) * 1600 as sx, (0.5 - cy / cw * 0.5) * 1000 as sy, abs(cx / cw) < 1.05 and abs(cy / cw) < 1.05 and not hid as visible from s", _SEEN)
 def label_anchors(spark: SparkSession, d: str) -> DataFrame:
-    return view.anchors(_positions(spark, d).filter("id % 50 = 1"), _CAMERA, 1600, 1000)
+    return view.anchors(_positions(spark, d), _CAMERA, 1600, 1000)
 
 
 @query("interpolate", "select id, x + (y - x) * 0.25 as x, y + (z - y) * 0.25 as y, z + (x - z) * 0.25 as z from p", f"p as ({_POSITIONS})")
@@ -330,25 +330,33 @@ def interpolate(spark: SparkSession, d: str) -> DataFrame:
     return view.interpolate(a, a.select("id", F.col("y").alias("x"), F.col("z").alias("y"), F.col("x").alias("z")), 0, 1000, 250)
 
 
-@query("frames_roundtrip", "select id, 90 - inclination as lat, case when l > 180 then l - 360 else l end as lon, 2e0 as r from (select id, inclination, (id * 7.3e0) % 360 as l from cat)")
+_GMST = "(-6.2e-6 * t * t * t + 0.093104 * t * t + (876600e0 * 3600 + 8640184.812866e0) * t + 67310.54841e0) * (pi() / 180) / 240e0"
+
+
+@query(
+    "frames_roundtrip",
+    "select id, 90 - inclination as lat, case when l > 180 then l - 360 else l end as lon, 2e0 as r, round(2 * cos(a) * cos(b + s), 5) as x, round(2 * sin(a), 5) as y, round(-2 * cos(a) * sin(b + s), 5) as z "
+    f"from (select *, radians(90 - inclination) as a, radians(l) as b, {_GMST} as s from (select id, inclination, (id * 7.3e0) % 360 as l, ({NOW_MS} / 86400000e0 + 2440587.5e0 - 2451545e0) / 36525e0 as t from cat))",
+)
 def frames_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The scene's point of a latitude and longitude, and these again from the point."""
     ms = F.lit(float(NOW_MS))
     rows = catalog(spark, d).select("id", F.struct((90 - F.col("inclination")).alias("lat"), ((F.col("id") * 7.3) % 360).alias("lon")).alias("g"))
     x, y, z = frames.scene_from_lat_lon(F.col("g.lat"), F.col("g.lon"), F.lit(2.0), ms)
     lat, lon, r = frames.lat_lon_from_scene(F.col("x"), F.col("y"), F.col("z"), ms)
-    out = rows.select("id", x.alias("x"), y.alias("y"), z.alias("z")).select("id", lat.alias("lat"), lon.alias("lon"), r.alias("r"))
-    return out.select("id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("r", 6).alias("r"))
+    out = rows.select("id", x.alias("x"), y.alias("y"), z.alias("z")).select("id", "x", "y", "z", lat.alias("lat"), lon.alias("lon"), r.alias("r"))
+    return out.select("id", *[F.round(c, 6).alias(c) for c in ("lat", "lon", "r")], *[F.round(c, 5).alias(c) for c in ("x", "y", "z")])
 
 
-@query("sun_and_sidereal_time", "select event_id, round(s - floor(s / 6.283185307179586e0) * 6.283185307179586e0, 4) as gmst from (select event_id, (-6.2e-6 * t * t * t + 0.093104 * t * t + (876600e0 * 3600 + 8640184.812866e0) * t + 67310.54841e0) * 0.017453292519943295e0 / 240 as s from (select event_id, ((epoch_ms(ts) / 86400000e0 + 2440587.5e0) - 2451545e0) / 36525 as t from events where event_id % 20 = 0))")
+@query("sun_and_sidereal_time", f"select event_id, round({_GMST} % (2 * pi()), 8) as gmst from (select event_id, ((epoch_us(ts) // 1000) / 86400000e0 + 2440587.5e0 - 2451545e0) / 36525e0 as t from events)")
 def sun_and_sidereal_time(spark: SparkSession, d: str) -> DataFrame:
-    events = spark.read.parquet(f"{d}/events.parquet").filter("event_id % 20 = 0")
-    return events.select("event_id", F.round(frames.gmst(F.unix_millis(F.col("ts").cast("timestamp")).cast("double")), 4).alias("gmst"))
+    events = spark.read.parquet(f"{d}/events.parquet")
+    return events.select("event_id", F.round(frames.gmst(F.unix_millis(F.col("ts").cast("timestamp")).cast("double")), 8).alias("gmst"))
 
 
 def _orbits(spark: SparkSession, d: str) -> DataFrame:
     degrees = lambda k: (F.col("id") * k) % 360.0
-    return catalog(spark, d).select("id", "mean_motion", "eccentricity", "inclination", degrees(3.1).alias("raan"), degrees(5.7).alias("arg_pericenter"), degrees(11.3).alias("mean_anomaly"), F.lit(1e-5).alias("bstar"), F.lit(NOW_MS).alias("epoch_ms"))
+    return orbits(spark, d).select("id", "mean_motion", "eccentricity", "inclination", degrees(3.1).alias("raan"), degrees(5.7).alias("arg_pericenter"), degrees(11.3).alias("mean_anomaly"), F.lit(1e-5).alias("bstar"), F.lit(NOW_MS).alias("epoch_ms"))
 
 
 @query("sgp4_positions")
@@ -384,9 +392,7 @@ def display_formats(spark: SparkSession, d: str) -> DataFrame:
 
 @query("dictionary_encode", "select v as value, row_number() over (order by first) - 1 as code from (select operator as v, min(id) as first from cat group by 1)")
 def dictionary_encode(spark: SparkSession, d: str) -> DataFrame:
-    firsts = stats.top_entries(catalog(spark, d), "operator", 1 << 30)
-    listed = firsts.agg(F.transform(F.array_sort(F.collect_list(F.struct("first_id", "key"))), lambda x: x["key"]).alias("v"))  # a dictionary
-    return listed.select(F.posexplode("v").alias("code", "value")).select("value", F.col("code").cast("long").alias("code"))
+    return stats.first_seen_codes(catalog(spark, d), "operator")
 
 
 @query("satellite_card")

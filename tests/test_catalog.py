@@ -2,6 +2,7 @@
 
 import json
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from spindrift.operators import compare, insights, motion, search, stats, view
 from spindrift.plans import viewstate
 from spindrift.plans.lens import PRESETS, Lens, preset_by_id, preset_for_lens
 from spindrift.sources import catalog, files
+from spindrift.streaming import ticks
 
 GP = (
     "OBJECT_NAME,OBJECT_ID,EPOCH,MEAN_MOTION,ECCENTRICITY,INCLINATION,RA_OF_ASC_NODE,ARG_OF_PERICENTER,MEAN_ANOMALY,EPHEMERIS_TYPE,CLASSIFICATION_TYPE,NORAD_CAT_ID,ELEMENT_SET_NO,REV_AT_EPOCH,BSTAR,MEAN_MOTION_DOT,MEAN_MOTION_DDOT\r\n"
@@ -235,3 +237,40 @@ def test_view(spark):
     w = view.Window.opened(0, view.SimClock(0, 0))
     assert w.advanced(10, view.SimClock(0, 0)).prefetched == 2000 and w.advanced(1500, view.SimClock(0, 0)).t_b == 2000 and w.advanced(9000, view.SimClock(0, 0)).t_a == 9000
     assert w.advanced(10, view.SimClock(5, 0, epoch=1)).clock_epoch == 1
+
+
+def test_clock_changes_open_a_new_window():
+    clock = view.SimClock(0, 0)
+    w = view.Window.opened(0, clock)
+    for changed in (clock.set_warp(10, 5), clock.pause(5), clock.pause(5).resume(9), clock.set_time(7, 5)):
+        assert changed.epoch > clock.epoch and w.advanced(10, changed) == view.Window.opened(10, changed)
+
+
+def test_orbit_rows(spark):
+    rows = spark.createDataFrame([(i, "LEO" if i < 200 else "MEO" if i < 500 else "GEO" if i < 510 else "HEO") for i in range(1000)], "id long, regime string")
+    take = lambda *regimes: {r["group"]: (r["n"], r["last"]) for r in stats.orbit_rows(rows, [Lens(regimes=(x,)) for x in regimes], 0).groupBy("group").agg(F.count("*").alias("n"), F.max("id").alias("last")).collect()}
+    assert take("LEO", "MEO", "GEO") == {0: (200, 199), 1: (121, 320), 2: (1, 500)}
+    assert take("HEO", "LEO") == {1: (200, 199)} and take("HEO") == {}
+
+
+def test_first_seen_codes(spark):
+    rows = spark.createDataFrame([(i, f"v{i % 70}" if i % 3 else None) for i in range(5, 900)], "id long, key string")
+    order = []
+    for i in range(5, 900):
+        if i % 3 and f"v{i % 70}" not in order:
+            order.append(f"v{i % 70}")
+    assert {r["value"]: r["code"] for r in stats.first_seen_codes(rows, "key", 16).collect()} == {v: k for k, v in enumerate(order)}
+
+
+def test_tick_positions(spark):
+    cat = spark.createDataFrame([(1, 15.5, 0.001, 51.6, 10.0, 20.0, 30.0, 1e-5, 0)], "id long, mean_motion double, eccentricity double, inclination double, raan double, arg_pericenter double, mean_anomaly double, bstar double, epoch_ms long")
+    seen = []
+    stream = ticks.tick_positions(spark, cat, 0.0, 60, lambda df, n: seen.append(df.first()), ticks_per_second=5)
+    try:
+        for _ in range(60):
+            if len(seen) >= 2:
+                break
+            time.sleep(0.5)
+    finally:
+        stream.stop()
+    assert len(seen) >= 2 and seen[0]["id"] == 1 and seen[0]["x"] != seen[1]["x"]

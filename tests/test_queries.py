@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from spindrift import detail_queries  # noqa: F401
 from spindrift.queries import ORACLES, QUERIES
 
 DATA = os.environ.get("SPINDRIFT_TEST_DATA", "/root/testdata/sf0.001")
