@@ -383,3 +383,28 @@ def test_top_k_odd_rows(spark):
     got = rows_of(topk.top_k(df, F.col("vec_id") % 100 == 0))
     assert got == [(0, 1, 1, 5 * 1024 * 1024), (0, 2, 1, 5 * 1024 * 1024), (0, 3, 6, 0)]
     assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_top_k_prunes_clusters_and_large_scores(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    centers = rng.normal(size=(40, 8)) * 5000
+    v = np.floor(np.concatenate([c + rng.normal(size=(60, 8)) * 20 for c in centers])).astype(np.int64)
+    ids, counts = np.arange(len(v)), {}
+    got = {}
+    for a, b, s in topk.search(v[::40], ids[::40], v, ids, counts=counts):
+        got.setdefault(a, []).append((-s, b))
+    want = {int(i): sorted((-int(v[i] @ v[j]), int(j)) for j in ids if j != i)[:10] for i in ids[::40]}
+    assert {i: sorted(x) for i, x in got.items()} == want
+    assert counts["scored"] < 0.5 * len(v) * len(ids[::40])
+    rows = spark.createDataFrame([(int(i), [float(x) / 1024 for x in row]) for i, row in zip(ids, v)], "vec_id long, embedding array<double>")
+    sent = []
+    real = topk._reaching
+    monkeypatch.setattr(topk, "_reaching", lambda *a: sent.append(real(*a).count()) or real(*a))
+    out = {}
+    for r in topk.top_k(rows, F.col("vec_id") % 40 == 0).collect():
+        out.setdefault(r["query_id"], []).append((r["rank"], -r["score"], r["vec_id"]))
+    assert {i: [x[1:] for x in sorted(rows)] for i, rows in out.items()} == want
+    assert sent[0] < len(want) * 3  # of at least four blocks, the own one aside
+    big = spark.createDataFrame([(0, [1e12]), (1, [1e13]), (2, [-1e12]), (3, [1e300]), (4, [2.0])], "vec_id long, embedding array<double>")
+    top = 2**63 - 1
+    assert rows_of(topk.top_k(big, F.col("vec_id") == 0)) == [(0, 1, 1, top), (0, 2, 3, top), (0, 3, 4, 2048 * 1024 * 10**12), (0, 4, 2, -top)]
