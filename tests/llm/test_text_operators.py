@@ -408,3 +408,79 @@ def test_top_k_prunes_clusters_and_large_scores(spark, monkeypatch):
     big = spark.createDataFrame([(0, [1e12]), (1, [1e13]), (2, [-1e12]), (3, [1e300]), (4, [2.0])], "vec_id long, embedding array<double>")
     top = 2**63 - 1
     assert rows_of(topk.top_k(big, F.col("vec_id") == 0)) == [(0, 1, 1, top), (0, 2, 3, top), (0, 3, 4, 2048 * 1024 * 10**12), (0, 4, 2, -top)]
+
+
+def luhn(digits):
+    return sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate([int(c) for c in digits][::-1])) % 10
+
+
+def rest_97(account):
+    text = "".join(c for c in account if c.isalnum())
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
+
+
+PII_FORMS = [
+    ("call {} now", ["+14155550123", "+44 7911 123456", "+33 1 42 68 53 00", "+49 30 1234567", "555 123 4567", "(415) 555-0123", "415.555.0199"], r"[+\d ().-]+"),
+    ("from {} to", ["2001:db8:0:0:8:800:200c:417a", "fe80::1ff:fe23:4567:890a"], r"[0-9a-f:]+"),
+    ("account {} open", ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"], r"[A-Z0-9 ]+"),
+    ("paid by {} then", ["4539578763621486", "4012 8888 8888 1881"], r"[\d ]+"),
+    ("met {} there", ["Mr. J. Smith", "Dr. Mary Ann Jones", "Prof. Παπαδόπουλος", "Dr. 李明", "Herr Петров", "Dr. 김민준"], r"\w+\.? \S+(?: \S+)*"),
+]
+
+
+def test_pii_forms(spark):
+    rows, shapes = [], []
+    for frame, entities, shape in PII_FORMS:
+        for x in entities:
+            rows.append((len(rows), frame.format(x)))
+            shapes.append((x, re.escape(frame).replace(r"\{\}", f"({shape})")))
+    kept = ["paid by 4539578763621487 then", "at 12:30:45 on", "DE88 3704 0044 0532 0130 00 is no account", "in 1234567890123 steps"]
+    rows += [(100 + i, t) for i, t in enumerate(kept)]
+    got = {r["doc_id"]: r["text"] for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for i, (x, shape) in enumerate(shapes):
+        m = re.fullmatch(shape, got[i])
+        assert m and m[1] != x and len(m[1].split(" ")) == len(x.split(" ")), (x, got[i])
+        if rows[i][1].startswith("paid"):
+            assert luhn(re.sub(r"\D", "", m[1])) == 0
+        if rows[i][1].startswith("account"):
+            assert rest_97(m[1]) == 1 and m[1][:2] == x[:2] and rest_97(x) == 1
+    script = lambda i, block: re.search(f"[{block}]", got[[r[1] for r in rows].index(f"met {i} there")])
+    assert script("Prof. Παπαδόπουλος", "α-ω") and script("Dr. 李明", "一-鿿") and script("Herr Петров", "а-я") and script("Dr. 김민준", "가-힣")
+    assert [got[100 + i] for i in range(len(kept))] == kept
+
+
+def test_pii_names_without_title(spark):
+    text = "Dr. John Smith came. Later John Smith left; Smith called. Johnson and Smithers stayed."
+    docs = spark.createDataFrame([(1, text, 1, 2), (2, "Ask Mr. Smith.", 3, 4), (3, "Smith is a trade.", 5, 6)], "doc_id long, text string, __p int, q int")
+    out = pii.replace_pii(docs, "k")
+    got = {r["doc_id"]: r for r in out.collect()}
+    m = re.fullmatch(r"Dr\. (\w+) (\w+) came\. Later (\w+) (\w+) left; (\w+) called\. Johnson and Smithers stayed\.", got[1]["text"])
+    assert m and m[1] == m[3] != "John" and m[2] == m[4] == m[5] != "Smith" and got[2]["text"] == f"Ask Mr. {m[2]}."
+    assert got[3]["text"] == "Smith is a trade." and out.columns == docs.columns and (got[1]["__p"], got[1]["q"]) == (1, 2)
+
+
+def test_pii_against_a_second_detection(spark):
+    regex = pytest.importorskip("regex")
+    rng = np.random.default_rng(21)
+    pool = ["10.1.2.3", "a.b@mail.org", "A.B@mail.org", "+1 (743) 555-3824", "743-555-3824", "4012888888881881", "4012888888881882", "123-45-6789", "Mr. Adams", "Frau Keller", "token = \"24be64439e3e49cf\"", "DE89370400440532013000", "fe80::1"]
+    words = ["of", "the", "tree", "in", "1999", "see", "3.14"]
+    docs = [(i, " ".join(str(rng.choice(pool if rng.random() < 0.3 else words)) for _ in range(30))) for i in range(60)]
+    found = regex.compile("|".join(f"(?P<{k}>{p})" for k, p in pii.PATTERNS.items()).replace("\\z", "\\Z"))
+    got = {r["doc_id"]: r["text"] for r in pii.replace_pii(spark.createDataFrame(docs, "doc_id long, text string"), "k").collect()}
+    made = {}
+    for i, text in docs:
+        shape, ids, at = "", [], 0
+        for m in found.finditer(text):
+            digits = re.sub(r"\D", "", m[0])
+            if m.lastgroup == "card" and luhn(digits):
+                continue
+            plain = m[0].lower() if m.lastgroup in ("email", "ip") else re.sub(r"\W", "", m[0]).lower()
+            ids.append((m.lastgroup, plain[-10:] if m.lastgroup == "phone" else plain))
+            shape += re.escape(text[at : m.start()]) + {"ip": r"(\S+)", "name": r"(\S+ \S+)"}.get(m.lastgroup, "(.{%d})" % len(m[0]))
+            at = m.end()
+        m = re.fullmatch(shape + re.escape(text[at:]), got[i])
+        assert m, (text, got[i])
+        for (kind, norm), new in zip(ids, m.groups()):
+            plain = new.lower() if kind in ("email", "ip") else re.sub(r"\W", "", new).lower()
+            assert made.setdefault((kind, norm), plain[-10:] if kind == "phone" else plain) == (plain[-10:] if kind == "phone" else plain)
+    assert len(made) == 11 and len({(k, v) for (k, _), v in made.items()}) == 11 and not {(k, v) for (k, _), v in made.items()} & set(made)
