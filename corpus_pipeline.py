@@ -45,7 +45,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _recounted(pii.replace_pii(docs, spark.conf.get("spindrift.pii.key", pii.DEFAULT_KEY)), docs.columns)
+    return _recounted(pii.replace_pii(docs, spark.conf.get("spindrift.pii.key", None)), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
