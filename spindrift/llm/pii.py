@@ -21,11 +21,13 @@ from .common import fresh, stash
 
 #: Rounds of new surrogates for identities whose surrogates meet, at most; more means that a type has no free ones left.
 ROUNDS = 40
+#: Characters of all surrogates that a broadcast takes at most; with more, the same join shuffles.
+BROADCAST_CHARS = 16_000_000
 _WORD = r"[\p{L}\p{N}]"
 #: Titles by the gender that they tell.
 TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora"], "n": ["Dr", "Prof"]}
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
-_NAME = r"(?:\p{Lu}\.|\p{Lu}[\p{L}\p{M}'-]+|\p{Lo}[\p{Lo}\p{M}]*)"
+_NAME = r"(?:\p{Lu}\.|\p{Lu}[\p{L}\p{M}'-]++(?!\p{N})|\p{Lo}[\p{Lo}\p{M}]*+(?!\p{N}))"
 _HEX = "[0-9A-Fa-f]{1,4}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Type and pattern of each kind of entity, in the order in which they are tried at a place.
@@ -38,7 +40,7 @@ PATTERNS = {
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+])\+\d(?:[ .()-]{0,2}\d){7,14}(?!\d)|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? {_NAME}(?: {_NAME}){{0,3}}",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? {_NAME}(?: (?!(?:{_TITLE})\b){_NAME}){{0,3}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Syllables of made-up names, by script: starts, middles, and ends for surnames and for given names by gender.
@@ -220,6 +222,8 @@ def replace_pii(docs: DataFrame, key: str | None = None, text: str = "text", cou
     lists = lists.select("p", "q", "own", F.transform("e", lambda x, i: F.coalesce(F.try_element_at("m", i), x)).alias("new"), F.size("m").alias("n"))
     # Stored, so that copies of one text, however many, are split in the join.
     lists = stash(lists.select(F.col("p").alias(p), F.col("q").alias(q), F.col("own").alias(own), F.col("new").alias(new), F.col("n").cast("long").alias(number)))
+    size = lists.agg(F.coalesce(F.sum(F.length(F.concat_ws("", new)) + F.length(F.coalesce(own, F.lit(""))) + 100), F.lit(0))).first()[0]
+    lists = F.broadcast(lists) if size <= BROADCAST_CHARS else lists
     between = F.when(F.col(own).isNull(), F.split(whole_text, ANY, -1)).otherwise(F.split(whole_text, F.col(own), F.lit(-1)))
     filled = F.array_join(F.flatten(F.zip_with(between, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     out = known.join(lists, [p, q], "left")
