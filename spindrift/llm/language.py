@@ -2,8 +2,10 @@
 
 A word that the model knows votes with its log frequency in each language. A word that it doesn't know votes with its
 character n-grams, the longest length of which any is known; shorter ones are asked only where no longer one is. All
-counts come from every row that may be learned from; the model keeps the most frequent words and n-grams, a number that
-is a parameter, as what is left out has shorter n-grams to fall back to.
+counts come from every row that may be learned from, and every word and n-gram that was counted counts.
+
+The most frequent words are broadcast, and a pass over the texts adds up their votes. What is left of a text, its rarer
+words, meets the table of all terms in joins on distinct words. How many words are broadcast changes no result.
 """
 
 from __future__ import annotations
@@ -11,23 +13,27 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, stash
 
-MAX_WORDS, MAX_GRAMS, LONGEST = 60_000, 20_000, 4
+LONGEST = 4
 SMOOTH = 0.5
 UNDETERMINED = "und"
-#: Entries of a worker's table of partial counts, and of its table of words seen.
+#: Words that are broadcast, and log frequencies of them (words times languages), at most.
+HEAD_WORDS, HEAD_VALUES = 60_000, 2_000_000
+#: Entries of a worker's table of partial counts, and of its table of tokens seen.
 FLUSH = 400_000
+#: Longer tokens are not remembered by a worker.
+TOKEN_CHARS = 40
 _LETTERS = re.compile(r"[^\W\d_]+").findall
-#: Longer words are counted and known by their n-grams alone.
-WORD_CHARS = 40
+_any_letter = re.compile(r"[^\W\d_]").search
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,104 +60,157 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-@dataclass
-class Backoff:
-    """Log frequencies by language (in the order of `langs`) of words and, by length, of n-grams."""
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts of (lang, size, term) of the n-grams of counted words."""
+    counts: dict[tuple[str, int], Counter] = {}
 
-    langs: list[str]
-    prior: np.ndarray
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]  # at n - 1: n-grams
-    seen: dict[str, np.ndarray | None] = field(default_factory=dict)
-
-    def word(self, word: str) -> np.ndarray | None:
-        """The word's votes, or none if not even one of its characters is known."""
-        if (known := self.words.get(word)) is not None:
-            return known
-        for n in range(min(LONGEST, len(word)), 0, -1):
-            table = self.grams[n - 1]
-            known = [v for i in range(len(word) - n + 1) if (v := table.get(word[i : i + n])) is not None]
-            if known:
-                return sum(known) / len(known)
-        return None
-
-    def token(self, token: str) -> np.ndarray | None:
-        """The votes of what has no white space in it; none if it has no word with a known character."""
-        if token in self.seen:
-            return self.seen[token]
-        votes = [v for w in _LETTERS(token) if (v := self.word(w)) is not None]
-        total = sum(votes) if votes else None
-        if len(token) <= WORD_CHARS:
-            if len(self.seen) >= FLUSH:
-                self.seen.clear()
-            self.seen[token] = total
-        return total
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and its share among all, by the sum of the votes; ties go to the first by name."""
-        text = (text or "").lower()
-        if not self.langs or not _has_letter(text):
-            return UNDETERMINED, 0.0
-        votes = [v for t in text.split() if (v := self.token(t)) is not None]
-        total = np.sum(votes, axis=0) + self.prior if votes else self.prior
-        share = np.exp(total - total.max())
-        best = int(total.argmax())
-        return self.langs[best], float(share[best] / share.sum())
+    def flush() -> pa.RecordBatch:
+        rows = [(lang, size, g, n) for (lang, size), own in counts.items() for g, n in own.items()]
+        counts.clear()
+        lang, size, term, n = zip(*rows) if rows else ((), (), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(term, pa.string()), pa.array(n, pa.int64())], ["lang", "size", "term", "n"])
 
+    for batch in batches:
+        for lang, word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for size in range(1, min(LONGEST, len(word)) + 1):
+                own = counts.setdefault((lang, size), Counter())
+                for i in range(len(word) - size + 1):
+                    own[word[i : i + size]] += n
+        if sum(map(len, counts.values())) >= FLUSH:
+            yield flush()
+    yield flush()
 
-_any_letter = re.compile(r"[^\W\d_]").search
 
+def _word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, size, term and n (how often) of the n-grams of words."""
+    rows: list[tuple[str, int, str, int]] = []
 
-def _has_letter(text: str) -> bool:
-    return _any_letter(text) is not None
+    def flush() -> pa.RecordBatch:
+        word, size, term, n = zip(*rows) if rows else ((), (), (), ())
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(size, pa.int32()), pa.array(term, pa.string()), pa.array(n, pa.int64())], ["word", "size", "term", "n"])
+
+    for batch in batches:
+        for x in batch.column(0):
+            word = x.as_py()
+            for size in range(1, LONGEST + 1):
+                grams = Counter(word[i : i + size] for i in range(len(word) - size + 1))
+                for g, n in grams.items():
+                    rows.append((word, size, g, n))
+                    # A batch holds the word once per row.
+                    if len(rows) >= 50_000 or len(word) * len(rows) >= 50_000_000:
+                        yield flush()
+    yield flush()
 
 
-def train(docs: DataFrame, text: str = "text", max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Backoff:
-    """Counts over all rows of `docs` with a lang that are not held out; a null text adds nothing."""
+@dataclass
+class Backoff:
+    """Languages in the order of all votes, their log shares, the votes of frequent words, and the table of all terms.
+
+    terms: size (0: a word, else the length of an n-gram), term, votes (array of log frequencies).
+    """
+
+    langs: list[str]
+    prior: np.ndarray
+    head: dict[str, np.ndarray]
+    terms: DataFrame | None
+
+
+def train(docs: DataFrame, text: str = "text", head_words: int = HEAD_WORDS) -> Backoff:
+    """Counts over all rows of `docs` with a lang that are not held out; a null text adds nothing, a repeated row counts
+    each time. Without such rows the model has no language. head_words: how many words are broadcast at most."""
     learn = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", text)
-    partial = learn.mapInArrow(_count_words, "lang string, word string, n long")
-    words = stash(partial.groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    known = words.filter(F.length("word") <= WORD_CHARS)
-    grams = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.least(F.length("word"), F.lit(LONGEST))),
-            lambda n: F.transform(F.sequence(F.lit(1), F.length("word") - n + 1), lambda i: F.struct(n.alias("size"), F.substring("word", i, n).alias("gram"))),
-        )
-    )
-    grams = words.select("lang", "n", F.explode(grams).alias("g")).groupBy("lang", "g.size", "g.gram").agg(F.sum("n").alias("n"))
-    return _model(words, known.select("lang", "n", F.lit(0).alias("size"), F.col("word").alias("term")), grams.select("lang", "n", "size", F.col("gram").alias("term")), max_words, max_grams)
-
-
-def _model(words: DataFrame, known: DataFrame, grams: DataFrame, max_words: int, max_grams: int) -> Backoff:
-    totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # a row per language
-    langs = sorted(totals)
-    terms = stash(known.unionByName(grams).groupBy("size", "term").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")))
-    tables: list[dict[str, np.ndarray]] = []
-    for size in range(LONGEST + 1):
-        most = max_words if size == 0 else max_grams
-        rows = terms.filter(F.col("size") == size).orderBy(F.desc("n"), "term").limit(most).select("term", "by").toPandas()
-        counts = np.array([[dict(by).get(x, 0) for x in langs] for by in rows["by"]], dtype=np.float64).reshape(len(rows), len(langs))
-        freq = np.log((counts + SMOOTH) / (counts.sum(0) + SMOOTH * max(1, len(rows))))
-        tables.append(dict(zip(rows["term"], freq)))
-    share = np.array([totals[x] for x in langs], dtype=np.float64)
-    return Backoff(langs, np.log(share / share.sum()) if langs else share, tables[0], tables[1:])
+    words = stash(learn.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    grams = words.select("lang", "word", "n").mapInArrow(_count_grams, "lang string, size int, term string, n long")
+    every = words.select("lang", F.lit(0).alias("size"), F.col("word").alias("term"), "n").unionByName(grams)
+    terms = stash(every.groupBy("size", "term", "lang").agg(F.sum("n").alias("n")).groupBy("size", "term").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")))
+    totals = terms.select("size", F.explode("by").alias("lang", "n")).groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()  # five rows per language
+    distinct = {r["size"]: r["c"] for r in terms.groupBy("size").agg(F.count("*").alias("c")).collect()}  # five rows
+    langs = sorted({r["lang"] for r in totals})
+    if not langs:
+        return Backoff([], np.zeros(0), {}, None)
+    count = {(r["size"], r["lang"]): r["n"] for r in totals}
+    under = lambda size, lang: float(count.get((size, lang), 0) + SMOOTH * distinct[size])
+    votes = lambda size: F.array(*[F.log((F.coalesce(F.col("by")[lang], F.lit(0)) + SMOOTH) / under(size, lang)) for lang in langs])
+    by_size = F.when(F.lit(False), votes(0))
+    for size in distinct:
+        by_size = by_size.when(F.col("size") == size, votes(size))
+    known = stash(terms.select("size", "term", "n", by_size.alias("votes")))
+    top = known.filter("size = 0").orderBy(F.desc("n"), "term").limit(min(head_words, HEAD_VALUES // len(langs))).select("term", "votes").toPandas()
+    share = np.array([count[0, x] for x in langs], dtype=np.float64)
+    return Backoff(langs, np.log(share / share.sum()), dict(zip(top["term"], map(np.asarray, top["votes"]))), known.select("size", "term", "votes"))
+
+
+def _frequent(docs: DataFrame, model: Backoff, text: str) -> DataFrame:
+    """Of every row: uid, doc_id, letters (whether it has any), the sum of the votes of frequent words, and the rest of its
+    words with how often each occurs."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.head, len(model.langs)))  # bounded by HEAD_WORDS and HEAD_VALUES
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, size = shared.value
+        none = np.zeros(size)
+        seen: dict[str, tuple[np.ndarray, list[str]]] = {}
+        uid = TaskContext.get().partitionId() << 40
+
+        def judge(token: str) -> tuple[np.ndarray, list[str]]:
+            words = _LETTERS(token)
+            votes = [v for w in words if (v := head.get(w)) is not None]
+            found = (sum(votes) if votes else none), [w for w in words if w not in head]
+            if len(token) <= TOKEN_CHARS:
+                if len(seen) >= FLUSH:
+                    seen.clear()
+                seen[token] = found
+            return found
+
+        for batch in batches:
+            letters, sums, rest = [], [], []
+            for x in batch.column(1):
+                own = (x.as_py() or "").lower()
+                total, rare = none.copy(), Counter()
+                for token, n in Counter(own.split()).items():
+                    votes, others = seen.get(token) or judge(token)
+                    total += votes * n
+                    for w in others:
+                        rare[w] += n
+                letters.append(_any_letter(own) is not None)
+                sums.append(total)
+                rest.append([{"word": w, "n": n} for w, n in rare.items()])
+            ids = pa.array(range(uid, uid + len(sums)), pa.int64())
+            uid += len(sums)
+            yield pa.RecordBatch.from_arrays([ids, batch.column(0), pa.array(letters, pa.bool_()), pa.array(sums, pa.list_(pa.float64())), pa.array(rest, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))], ["uid", "doc_id", "letters", "votes", "rest"])
+
+    return docs.select("doc_id", text).mapInArrow(add_up, "uid long, doc_id long, letters boolean, votes array<double>, rest array<struct<word:string,n:long>>")
+
+
+def _rare_votes(words: DataFrame, terms: DataFrame, size: int) -> DataFrame:
+    """word and its votes v0, v1, ...: a known word's own, else the mean of its longest known n-grams'."""
+    each = [F.col("votes")[i].alias(f"v{i}") for i in range(size)]
+    known = words.join(terms.filter("size = 0").select(F.col("term").alias("word"), "votes"), "word", "left")
+    unknown = known.filter("votes is null").select("word").mapInArrow(_word_grams, "word string, size int, term string, n long")
+    met = unknown.join(terms.filter("size > 0"), ["size", "term"]).groupBy("word", "size").agg(F.sum("n").alias("n"), *[F.sum(F.col("votes")[i] * F.col("n")).alias(f"v{i}") for i in range(size)])
+    longest = met.groupBy("word").agg(F.max(F.struct("size", "n", *[f"v{i}" for i in range(size)])).alias("m"))
+    return known.filter("votes is not null").select("word", *each).unionByName(longest.select("word", *[(F.col(f"m.v{i}") / F.col("m.n")).alias(f"v{i}") for i in range(size)]))
 
 
 def identify(docs: DataFrame, model: Backoff, text: str = "text") -> DataFrame:
     """doc_id, lang_pred and score (0 to 1) of every row; other columns are left out.
 
     A text that is null or has no letter is UNDETERMINED with score 0. Letters of which the model knows none get the most
-    common language, with its share. Repeated rows come out as often as they went in.
+    common language, with its share; ties go to the first language by name. Texts and words of any length count whole.
+    Repeated rows come out as often as they went in; an empty table gives an empty one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_words and max_grams
-
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            found = [model.predict(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    return docs.select("doc_id", text).mapInArrow(predict, "doc_id long, lang_pred string, score double")
+    if not model.langs:
+        return docs.select("doc_id", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+    size = len(model.langs)
+    rows = stash(_frequent(docs, model, text))
+    rest = rows.select("uid", F.inline("rest"))
+    votes = stash(_rare_votes(rest.select("word").distinct(), model.terms, size))
+    sums = rest.join(votes, "word").groupBy("uid").agg(*[F.sum(F.col(f"v{i}") * F.col("n")).alias(f"v{i}") for i in range(size)])
+    total = F.array(*[F.col("votes")[i] + F.coalesce(f"v{i}", F.lit(0.0)) + float(model.prior[i]) for i in range(size)])
+    out = rows.drop("rest").join(sums, "uid", "left").select("doc_id", "letters", total.alias("total")).withColumn("most", F.array_max("total"))
+    best = F.get(F.array(*[F.lit(x) for x in model.langs]), F.array_position("total", F.col("most")).cast("int") - 1)
+    share = 1 / F.aggregate("total", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("most")))
+    return out.select("doc_id", F.when(F.col("letters"), best).otherwise(UNDETERMINED).alias("lang_pred"), F.when(F.col("letters"), share).otherwise(0.0).alias("score"))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

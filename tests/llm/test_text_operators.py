@@ -484,3 +484,43 @@ def test_pii_against_a_second_detection(spark):
             plain = new.lower() if kind in ("email", "ip") else re.sub(r"\W", "", new).lower()
             assert made.setdefault((kind, norm), plain[-10:] if kind == "phone" else plain) == (plain[-10:] if kind == "phone" else plain)
     assert len(made) == 11 and len({(k, v) for (k, _), v in made.items()}) == 11 and not {(k, v) for (k, _), v in made.items()} & set(made)
+
+
+def brute_language(docs, ask):
+    """Counts and votes of the backoff in plain Python."""
+    split = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    tables, langs = [{} for _ in range(5)], sorted({lang for i, _, lang in docs if lang and zlib.crc32(str(i).encode()) % 4 != 2})
+    for i, t, lang in docs:
+        if lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            for w in split(t):
+                for size, term in [(0, w), *((n, w[k : k + n]) for n in range(1, 5) for k in range(len(w) - n + 1))]:
+                    tables[size].setdefault(term, dict.fromkeys(langs, 0))[lang] += 1
+    total = [{x: sum(c[x] for c in t.values()) for x in langs} for t in tables]
+    vote = lambda size, term, x: np.log((tables[size][term][x] + 0.5) / (total[size][x] + 0.5 * len(tables[size])))
+    out = {}
+    for i, t in ask:
+        sums = {x: np.log(total[0][x] / sum(total[0].values())) for x in langs}
+        for w in split(t):
+            if w in tables[0]:
+                own = [(0, w)]
+            else:
+                own = next((own for n in (4, 3, 2, 1) if (own := [(n, w[k : k + n]) for k in range(len(w) - n + 1) if w[k : k + n] in tables[n]])), [])
+            for x in langs:
+                sums[x] += sum(vote(*g, x) for g in own) / len(own) if own else 0.0
+        best = max(langs, key=lambda x: sums[x])
+        out[i] = (best, 1 / sum(np.exp(v - sums[best]) for v in sums.values())) if split(t) else ("und", 0.0)
+    return out
+
+
+@pytest.mark.parametrize("head", [0, 7, 60_000])
+def test_language_against_brute_force(spark, head):
+    rng = np.random.default_rng(14)
+    words = {x: ["".join(rng.choice(list(letters), rng.integers(1, 9))) for _ in range(60)] for x, letters in (("aa", "abcdef"), ("bb", "cdefgh"), ("cc", "efxyzß"))}
+    docs = [(i, " ".join(rng.choice(words[x], 12)), x) for i in range(90) for x in [("aa", "aa", "bb", "cc")[i % 4]]] + [(900, "abc" * 40, "bb"), (901, None, "cc"), (902, "zz9zz", None)]
+    ask = [(i, t) for i, t, _ in docs] + [(1000, "abcdefgh xyz"), (1001, "ωω"), (1002, "12 3"), (1003, ""), (1004, "ab" * 30_000), (1005, "Abcd-EFX ab_cd")]
+    model = language.train(spark.createDataFrame([(*d, 0.0) for d in docs], DOCS), head_words=head)
+    assert len(model.head) == min(head, len({w for i, t, x in docs if x and zlib.crc32(str(i).encode()) % 4 != 2 for w in re.findall(r"[^\W\d_]+", (t or "").lower())}))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(spark.createDataFrame(ask, "doc_id long, text string"), model).collect()}
+    want = brute_language(docs, ask)
+    assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in want.items()}
+    assert all(got[i][1] == pytest.approx(want[i][1], abs=1e-9) for i in want)
