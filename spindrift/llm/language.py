@@ -27,7 +27,7 @@ LONGEST = 4
 SMOOTH = 0.5
 UNDETERMINED = "und"
 #: Words that are broadcast, and log frequencies of them (words times languages), at most.
-HEAD_WORDS, HEAD_VALUES = 60_000, 2_000_000
+HEAD_WORDS, HEAD_VALUES = 500_000, 2_000_000
 #: Entries of a worker's table of partial counts, and of its table of tokens seen.
 FLUSH = 400_000
 #: Longer tokens are not remembered by a worker.
@@ -105,14 +105,15 @@ def _word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Backoff:
-    """Languages in the order of all votes, their log shares, the votes of frequent words, and the table of all terms.
+    """Languages in the order of all votes, their log shares, frequent words with the rows of their votes, and all terms.
 
     terms: size (0: a word, else the length of an n-gram), term, votes (array of log frequencies).
     """
 
     langs: list[str]
     prior: np.ndarray
-    head: dict[str, np.ndarray]
+    head: dict[str, int]
+    votes: np.ndarray
     terms: DataFrame | None
 
 
@@ -122,13 +123,14 @@ def train(docs: DataFrame, text: str = "text", head_words: int = HEAD_WORDS) ->
     learn = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", text)
     words = stash(learn.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     grams = words.select("lang", "word", "n").mapInArrow(_count_grams, "lang string, size int, term string, n long")
+    grams = grams.groupBy("size", "term", "lang").agg(F.sum("n").alias("n"))
     every = words.select("lang", F.lit(0).alias("size"), F.col("word").alias("term"), "n").unionByName(grams)
-    terms = stash(every.groupBy("size", "term", "lang").agg(F.sum("n").alias("n")).groupBy("size", "term").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")))
+    terms = stash(every.groupBy("size", "term").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")))
     totals = terms.select("size", F.explode("by").alias("lang", "n")).groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()  # five rows per language
     distinct = {r["size"]: r["c"] for r in terms.groupBy("size").agg(F.count("*").alias("c")).collect()}  # five rows
     langs = sorted({r["lang"] for r in totals})
     if not langs:
-        return Backoff([], np.zeros(0), {}, None)
+        return Backoff([], np.zeros(0), {}, np.zeros((0, 0)), None)
     count = {(r["size"], r["lang"]): r["n"] for r in totals}
     under = lambda size, lang: float(count.get((size, lang), 0) + SMOOTH * distinct[size])
     votes = lambda size: F.array(*[F.log((F.coalesce(F.col("by")[lang], F.lit(0)) + SMOOTH) / under(size, lang)) for lang in langs])
@@ -136,45 +138,58 @@ def train(docs: DataFrame, text: str = "text", head_words: int = HEAD_WORDS) ->
     for size in distinct:
         by_size = by_size.when(F.col("size") == size, votes(size))
     known = stash(terms.select("size", "term", "n", by_size.alias("votes")))
-    top = known.filter("size = 0").orderBy(F.desc("n"), "term").limit(min(head_words, HEAD_VALUES // len(langs))).select("term", "votes").toPandas()
+    top = known.filter("size = 0").orderBy(F.desc("n"), "term").limit(min(head_words, HEAD_VALUES // len(langs))).select("term", "votes").toArrow()
     share = np.array([count[0, x] for x in langs], dtype=np.float64)
-    return Backoff(langs, np.log(share / share.sum()), dict(zip(top["term"], map(np.asarray, top["votes"]))), known.select("size", "term", "votes"))
+    frequent = dict(zip(top.column("term").to_pylist(), range(len(top))))
+    table = top.column("votes").combine_chunks().flatten().to_numpy().reshape(-1, len(langs))
+    return Backoff(langs, np.log(share / share.sum()), frequent, table, known.select("size", "term", "votes"))
+
+
+class _Tokens(dict):
+    """Numbers of tokens (what has no white space in it), with the sum of the votes of their frequent words, and the rest."""
+
+    def __init__(self, head: dict[str, int], votes: np.ndarray):
+        super().__init__()
+        self.head, self.votes = head, votes
+        self.sums: np.ndarray = np.zeros((1024, votes.shape[1]))
+        self.rest: list[list[str]] = []
+
+    def __missing__(self, token: str) -> int:
+        at, words = len(self.rest), _LETTERS(token)
+        if at == len(self.sums):
+            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+        frequent = [i for w in words if (i := self.head.get(w)) is not None]
+        self.sums[at] = self.votes[frequent].sum(0) if frequent else 0.0
+        self.rest.append([w for w in words if w not in self.head] if len(frequent) < len(words) else [])
+        self[token] = at
+        return at
+
+    def trimmed(self, longest: int) -> None:
+        """Forgets all if there are too many, or if one is too long to keep."""
+        if len(self.rest) >= FLUSH or longest > TOKEN_CHARS:
+            self.clear()
+            self.rest = []
 
 
 def _frequent(docs: DataFrame, model: Backoff, text: str) -> DataFrame:
     """Of every row: uid, doc_id, letters (whether it has any), the sum of the votes of frequent words, and the rest of its
     words with how often each occurs."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.head, len(model.langs)))  # bounded by HEAD_WORDS and HEAD_VALUES
+    shared = docs.sparkSession.sparkContext.broadcast((model.head, model.votes))  # bounded by HEAD_WORDS and HEAD_VALUES
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, size = shared.value
-        none = np.zeros(size)
-        seen: dict[str, tuple[np.ndarray, list[str]]] = {}
+        tokens = _Tokens(*shared.value)
         uid = TaskContext.get().partitionId() << 40
-
-        def judge(token: str) -> tuple[np.ndarray, list[str]]:
-            words = _LETTERS(token)
-            votes = [v for w in words if (v := head.get(w)) is not None]
-            found = (sum(votes) if votes else none), [w for w in words if w not in head]
-            if len(token) <= TOKEN_CHARS:
-                if len(seen) >= FLUSH:
-                    seen.clear()
-                seen[token] = found
-            return found
-
         for batch in batches:
             letters, sums, rest = [], [], []
             for x in batch.column(1):
                 own = (x.as_py() or "").lower()
-                total, rare = none.copy(), Counter()
-                for token, n in Counter(own.split()).items():
-                    votes, others = seen.get(token) or judge(token)
-                    total += votes * n
-                    for w in others:
-                        rare[w] += n
+                parts = own.split()
+                at = list(map(tokens.__getitem__, parts))
+                rare = Counter(w for i in at for w in tokens.rest[i])
                 letters.append(_any_letter(own) is not None)
-                sums.append(total)
+                sums.append(tokens.sums[at].sum(0))
                 rest.append([{"word": w, "n": n} for w, n in rare.items()])
+                tokens.trimmed(max(map(len, parts), default=0))
             ids = pa.array(range(uid, uid + len(sums)), pa.int64())
             uid += len(sums)
             yield pa.RecordBatch.from_arrays([ids, batch.column(0), pa.array(letters, pa.bool_()), pa.array(sums, pa.list_(pa.float64())), pa.array(rest, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))], ["uid", "doc_id", "letters", "votes", "rest"])
@@ -182,14 +197,17 @@ def _frequent(docs: DataFrame, model: Backoff, text: str) -> DataFrame:
     return docs.select("doc_id", text).mapInArrow(add_up, "uid long, doc_id long, letters boolean, votes array<double>, rest array<struct<word:string,n:long>>")
 
 
-def _rare_votes(words: DataFrame, terms: DataFrame, size: int) -> DataFrame:
-    """word and its votes v0, v1, ...: a known word's own, else the mean of its longest known n-grams'."""
+def _rare_votes(rest: DataFrame, terms: DataFrame, size: int) -> DataFrame:
+    """uid, n and the votes v0, v1, ... of words (uid, word, n): a known word's own, else the mean of its longest known
+    n-grams'; words of which no character is known are left out."""
     each = [F.col("votes")[i].alias(f"v{i}") for i in range(size)]
-    known = words.join(terms.filter("size = 0").select(F.col("term").alias("word"), "votes"), "word", "left")
-    unknown = known.filter("votes is null").select("word").mapInArrow(_word_grams, "word string, size int, term string, n long")
-    met = unknown.join(terms.filter("size > 0"), ["size", "term"]).groupBy("word", "size").agg(F.sum("n").alias("n"), *[F.sum(F.col("votes")[i] * F.col("n")).alias(f"v{i}") for i in range(size)])
+    known = rest.join(terms.filter("size = 0").select(F.col("term").alias("word"), "votes"), "word", "left")
+    new = stash(known.filter("votes is null").select("uid", "word", "n"))
+    grams = new.select("word").distinct().mapInArrow(_word_grams, "word string, size int, term string, n long")
+    met = grams.join(terms.filter("size > 0"), ["size", "term"]).groupBy("word", "size").agg(F.sum("n").alias("n"), *[F.sum(F.col("votes")[i] * F.col("n")).alias(f"v{i}") for i in range(size)])
     longest = met.groupBy("word").agg(F.max(F.struct("size", "n", *[f"v{i}" for i in range(size)])).alias("m"))
-    return known.filter("votes is not null").select("word", *each).unionByName(longest.select("word", *[(F.col(f"m.v{i}") / F.col("m.n")).alias(f"v{i}") for i in range(size)]))
+    means = longest.select("word", *[(F.col(f"m.v{i}") / F.col("m.n")).alias(f"v{i}") for i in range(size)])
+    return known.filter("votes is not null").select("uid", "n", *each).unionByName(new.join(means, "word").select("uid", "n", *[f"v{i}" for i in range(size)]))
 
 
 def identify(docs: DataFrame, model: Backoff, text: str = "text") -> DataFrame:
@@ -203,9 +221,7 @@ def identify(docs: DataFrame, model: Backoff, text: str = "text") -> DataFrame:
         return docs.select("doc_id", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
     size = len(model.langs)
     rows = stash(_frequent(docs, model, text))
-    rest = rows.select("uid", F.inline("rest"))
-    votes = stash(_rare_votes(rest.select("word").distinct(), model.terms, size))
-    sums = rest.join(votes, "word").groupBy("uid").agg(*[F.sum(F.col(f"v{i}") * F.col("n")).alias(f"v{i}") for i in range(size)])
+    sums = _rare_votes(rows.select("uid", F.inline("rest")), model.terms, size).groupBy("uid").agg(*[F.sum(F.col(f"v{i}") * F.col("n")).alias(f"v{i}") for i in range(size)])
     total = F.array(*[F.col("votes")[i] + F.coalesce(f"v{i}", F.lit(0.0)) + float(model.prior[i]) for i in range(size)])
     out = rows.drop("rest").join(sums, "uid", "left").select("doc_id", "letters", total.alias("total")).withColumn("most", F.array_max("total"))
     best = F.get(F.array(*[F.lit(x) for x in model.langs]), F.array_position("total", F.col("most")).cast("int") - 1)
