@@ -123,11 +123,11 @@ def train(docs: DataFrame, text: str = "text", head_words: int = HEAD_WORDS) ->
     learn = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", text)
     words = stash(learn.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     grams = words.select("lang", "word", "n").mapInArrow(_count_grams, "lang string, size int, term string, n long")
-    grams = grams.groupBy("size", "term", "lang").agg(F.sum("n").alias("n"))
+    grams = stash(grams.groupBy("size", "term", "lang").agg(F.sum("n").alias("n")))
     every = words.select("lang", F.lit(0).alias("size"), F.col("word").alias("term"), "n").unionByName(grams)
-    terms = stash(every.groupBy("size", "term").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")))
-    totals = terms.select("size", F.explode("by").alias("lang", "n")).groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()  # five rows per language
-    distinct = {r["size"]: r["c"] for r in terms.groupBy("size").agg(F.count("*").alias("c")).collect()}  # five rows
+    totals = every.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()  # five rows per language
+    distinct = {r["size"]: r["c"] for r in every.select("size", "term").distinct().groupBy("size").agg(F.count("*").alias("c")).collect()}  # five rows
+    terms = every.groupBy("size", "term").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
     langs = sorted({r["lang"] for r in totals})
     if not langs:
         return Backoff([], np.zeros(0), {}, np.zeros((0, 0)), None)
@@ -146,27 +146,34 @@ def train(docs: DataFrame, text: str = "text", head_words: int = HEAD_WORDS) ->
 
 
 class _Tokens(dict):
-    """Numbers of tokens (what has no white space in it), with the sum of the votes of their frequent words, and the rest."""
+    """Numbers of tokens (what has no white space in it): rows of `table`, the votes of their frequent words.
+
+    A token that is one frequent word has that word's row. Others get a row of their own, after those, and may have a rest.
+    """
 
     def __init__(self, head: dict[str, int], votes: np.ndarray):
         super().__init__()
-        self.head, self.votes = head, votes
-        self.sums: np.ndarray = np.zeros((1024, votes.shape[1]))
+        self.head, self.size = head, len(votes)
+        self.table = np.concatenate([votes, np.zeros((1 << 16, votes.shape[1]))])
         self.rest: list[list[str]] = []
 
     def __missing__(self, token: str) -> int:
-        at, words = len(self.rest), _LETTERS(token)
-        if at == len(self.sums):
-            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        frequent = [i for w in words if (i := self.head.get(w)) is not None]
-        self.sums[at] = self.votes[frequent].sum(0) if frequent else 0.0
-        self.rest.append([w for w in words if w not in self.head] if len(frequent) < len(words) else [])
+        words = _LETTERS(token)
+        known = [i for w in words if (i := self.head.get(w)) is not None]
+        if len(words) == len(known) == 1:
+            at = known[0]
+        else:
+            at = self.size + len(self.rest)
+            if at == len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[at] = self.table[known].sum(0) if known else 0.0
+            self.rest.append([w for w in words if w not in self.head] if len(known) < len(words) else [])
         self[token] = at
         return at
 
     def trimmed(self, longest: int) -> None:
         """Forgets all if there are too many, or if one is too long to keep."""
-        if len(self.rest) >= FLUSH or longest > TOKEN_CHARS:
+        if len(self) >= FLUSH or longest > TOKEN_CHARS:
             self.clear()
             self.rest = []
 
@@ -184,10 +191,10 @@ def _frequent(docs: DataFrame, model: Backoff, text: str) -> DataFrame:
             for x in batch.column(1):
                 own = (x.as_py() or "").lower()
                 parts = own.split()
-                at = list(map(tokens.__getitem__, parts))
-                rare = Counter(w for i in at for w in tokens.rest[i])
+                at = np.fromiter(map(tokens.__getitem__, parts), np.int64, len(parts))
+                rare = Counter(w for i in at[at >= tokens.size].tolist() for w in tokens.rest[i - tokens.size])
                 letters.append(_any_letter(own) is not None)
-                sums.append(tokens.sums[at].sum(0))
+                sums.append(tokens.table[at].sum(0))
                 rest.append([{"word": w, "n": n} for w, n in rare.items()])
                 tokens.trimmed(max(map(len, parts), default=0))
             ids = pa.array(range(uid, uid + len(sums)), pa.int64())
