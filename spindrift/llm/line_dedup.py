@@ -133,6 +133,7 @@ def removed_lines(docs: DataFrame, text: str = "text", near: bool = True, shorte
     one stays or not. Rows that share a doc_id count as one document: at the same number, equal lines are one line.
     Lines of any length are judged, those of fewer than `shortest` characters aside.
     """
+    docs, text = docs.select("doc_id", F.col(f"`{text}`").alias("text")), "text"
     lines = _lines(docs, text, shortest)
     keyed = stash(_keyed(lines) if near else lines.drop("norm", "n"))
     table = keyed.filter("main") if near else keyed

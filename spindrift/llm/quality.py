@@ -125,22 +125,32 @@ def _statistics_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str = "text") -> Forest:
-    """Fit on at most `rows` labelled documents that are not held out. A document with several labels counts with the lowest."""
+    """Fit on at most `rows` labelled documents that are not held out. 
+
+    A document with several labels counts with the lowest, one with several rows once. Ties between ids go by the smaller
+    one. Null texts are empty. Without labels, or for an empty table, the model's score is constant.
+    """
     sample = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.min("quality").cast("double").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
     # At most `rows` rows of two numbers: small enough to broadcast, whatever the corpus.
-    found = docs.select("doc_id", text).join(F.broadcast(sample), "doc_id").select(text, "quality")
-    got = found.mapInArrow(_statistics_of, "x array<double>, quality double").limit(2 * rows).toPandas()
+    found = docs.select("doc_id", text).join(F.broadcast(sample), "doc_id").select("doc_id", text, "quality")
+    # Of rows that repeat an id, the one whose text has the smallest hash: at most `rows` rows come out.
+    one = found.groupBy("doc_id").agg(F.min_by(F.struct(F.col(f"`{text}`").alias("text"), "quality"), F.xxhash64(text)).alias("r")).select("r.text", "r.quality")
+    got = one.mapInArrow(_statistics_of, "x array<double>, quality double").toPandas()
     x = np.array(got["x"].tolist(), dtype=np.float64).reshape(-1, FEATURES)
     order = np.lexsort((got["quality"].to_numpy(), *x.T)) if len(got) else slice(0)  # rows come in no fixed order
     return fit(x[order], got["quality"].to_numpy(dtype=np.float64)[order])
 
 
 def score_documents(docs: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
-    """`docs` with a column score (0 to 1; higher: better), replacing one of that name. Null and empty texts get a score too."""
+    """`docs` with a column score (0 to 1; higher: better), replacing one of that name.
+
+    Null and empty texts get a score too, and texts of any length count whole. Equal texts have equal scores. Rows come out
+    as often as they went in; an empty table gives an empty one.
+    """
     names = [c for c in docs.columns if c != "score"]
     shared = docs.sparkSession.sparkContext.broadcast(forest)
     at = names.index(text)

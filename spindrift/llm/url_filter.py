@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of, shuffle_width
+from .common import bucket_of, fresh, shuffle_width
 
 #: (host, path, verdict) of the rules that the query applies.
 RULES = [
@@ -85,18 +85,20 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
 
     rule: host and path of the longest rule that fits (null: none); of rules with one text, block goes before allow.
     verdict: the rule's, or `default` where no rule fits, the URL is null or it has no host. Rules with an empty or null
-    host are ignored. Rows, repeated ones too, come out as often as they went in; an empty table gives an empty one.
+    host are ignored. Rows, repeated ones too, come out as often as they went in; an empty table gives an empty one. URLs of
+    any length count whole; other columns, whatever their names, stay.
     """
     host, path = split_url(F.col(f"`{url}`"))
-    pages = pages.withColumns({"host": host, "path": path}).drop("rule", "verdict", "__stack")
-    stacks = active_rules(pages.select("host").distinct(), rules, ranges).select(F.col("host").alias("__host"), F.col("stack").alias("__stack"))
-    fits = F.filter("__stack", lambda r: F.startswith(F.col("path"), r["path"]))
+    own, stack, best = fresh(pages, "own", "stack", "best")
+    pages = pages.withColumns({"host": host, "path": path}).drop("rule", "verdict")
+    stacks = active_rules(pages.select("host").distinct(), rules, ranges).select(F.col("host").alias(own), F.col("stack").alias(stack))
+    fits = F.filter(stack, lambda r: F.startswith(F.col("path"), r["path"]))
     ranked = F.array_max(F.transform(fits, lambda r: F.struct(F.length(r["rule"]).alias("n"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
     return (
-        pages.join(stacks, F.col("host") == F.col("__host"), "left")
-        .withColumn("__best", ranked)
-        .withColumns({"rule": F.col("__best.rule"), "verdict": F.coalesce(F.col("__best.verdict"), F.lit(default))})
-        .drop("__host", "__stack", "__best")
+        pages.join(stacks, F.col("host") == F.col(own), "left")
+        .withColumn(best, ranked)
+        .withColumns({"rule": F.col(f"{best}.rule"), "verdict": F.coalesce(F.col(f"{best}.verdict"), F.lit(default))})
+        .drop(own, stack, best)
     )
 
 

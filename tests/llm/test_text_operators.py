@@ -524,3 +524,30 @@ def test_language_against_brute_force(spark, head):
     want = brute_language(docs, ask)
     assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in want.items()}
     assert all(got[i][1] == pytest.approx(want[i][1], abs=1e-9) for i in want)
+
+
+def test_clashing_columns_and_long_urls(spark):
+    long = "http://www.example.com/en/" + "a" * 100_000
+    pages = spark.createDataFrame([(1, long, 5, 6, 7), (2, None, 5, 6, 7)], "page_id long, url string, own int, stack int, __host int")
+    rules = spark.createDataFrame(url_filter.RULES, url_filter.RULE_SCHEMA)
+    got = {r["page_id"]: r for r in url_filter.judge_urls(pages, rules).collect()}
+    assert got[1]["rule"] == "www.example.com/en/" and got[1]["own"] == 5 and got[2]["stack"] == 6 and got[2]["__host"] == 7
+    docs = spark.createDataFrame([(1, PROSE, 1, 2, 3), (2, PROSE, 4, 5, 6)], "doc_id long, text string, id int, gone int, __kept int")
+    out = {r["doc_id"]: tuple(r)[1:] for r in line_dedup.dedup_lines(docs, count="n").collect()}
+    assert out == {1: (PROSE, 1, 2, 3, 0), 2: ("", 4, 5, 6, 1)}
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame([(1, "ab"), (2, "ab")], "doc_id long, text string"), shortest=1).collect()} == {1: "ab", 2: ""}
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    docs = odd_docs(spark).withColumn("own", F.lit(1))
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    plain = docs.drop("score")
+    count = {name: stage(spark, plain, str(tmp_path)).count() for name, stage in corpus_pipeline.STAGES}
+    assert count["quality"] in (0, 10) and count["line_dedup"] == 8 and count["pii"] == 10 and count["packing"] >= 10
+    # Rows 1 (twice) and 7 are copies; 2, 3 and 4 have no words; the row without an id stays.
+    near = corpus_pipeline.drop_near_copies(spark, plain, "")
+    assert sorted((r["doc_id"] for r in near.collect()), key=str) == sorted([1, 2, 3, 4, 5, 6, 8, None], key=str)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, plain.limit(0), str(tmp_path)).count() == 0
+        if name != "packing":
+            assert stage(spark, plain, str(tmp_path)).columns == plain.columns
