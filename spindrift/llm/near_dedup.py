@@ -205,14 +205,14 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _bundles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """For each task, the sets that candidate pairs of different components join: (bundle, id), a hash of the members first."""
+    """For each task, the sets that candidate pairs of different components join: bundle (a hash of the members), id and n."""
     least = _candidate(percent)
     for table in _groups(batches):
         ids, at = np.unique(table.column("id").to_numpy(), return_index=True)
         n, label = table.column("n").to_numpy()[at], table.column("label").to_numpy()[at]
         tokens = table.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), K)[at]
         todo = np.ones(len(ids), dtype=bool)
-        bundles, members = [], []
+        bundles, members, sizes = [], [], []
         while todo.any():
             own, new = [], [int(todo.argmax())]
             todo[new] = False
@@ -223,11 +223,13 @@ def _bundles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
                 todo[near] = False
                 new.extend(near.tolist())
             if len(own) > 1:
-                found = np.sort(ids[own])
+                own.sort()  # so are their ids
+                found = ids[own]
                 members.append(found)
+                sizes.append(n[own])
                 bundles.append(np.full(len(found), np.uint64(xxhash.xxh3_64_intdigest(found.tobytes()))).view(np.int64))
         if members:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bundles)), pa.array(np.concatenate(members))], ["bundle", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (bundles, members, sizes)], ["bundle", "id", "n"])
 
 
 def _blocks(large: DataFrame, shares: DataFrame) -> DataFrame:
@@ -292,9 +294,9 @@ def _link_rows(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
 def _links(tasks: DataFrame, reps: DataFrame, docs: DataFrame, text: str, percent: int) -> DataFrame:
     """Links (u, v) that join whatever links of the tasks (columns task, id, label) join; between components alone."""
     dealt = tasks.join(reps.select("id", "n", "sketch"), "id").select("task", "id", "n", "sketch", "label")
-    bundles = stash(dealt.repartition("task").sortWithinPartitions("task").mapInArrow(lambda batches: _bundles(batches, percent), "bundle long, id long").distinct())
+    bundles = stash(dealt.repartition("task").sortWithinPartitions("task").mapInArrow(lambda batches: _bundles(batches, percent), "bundle long, id long, n long").distinct())
     # A bundle whose sets are too much for a task is dealt to tasks for each two blocks of it.
-    weights = bundles.join(reps.select("id", "n"), "id").groupBy("bundle").agg(F.ceil(F.sum("n") * 2 / TASK_ITEMS).cast("int").alias("blocks"))
+    weights = bundles.groupBy("bundle").agg(F.ceil(F.sum("n") * 2 / TASK_ITEMS).cast("int").alias("blocks"))
     of = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, of).alias("i"), F.greatest(k, of).alias("j")))
     whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
