@@ -168,17 +168,19 @@ def _first_nodes(reps: DataFrame, percent: int, recall: float, depths: int) -> t
 
 def _mixed_nodes(large: DataFrame, reps: DataFrame, percent: int) -> tuple[list[DataFrame], DataFrame]:
     """Of large nodes with several components, which branch on: rows to compare, and those of nodes to be dealt to tasks."""
-    small, dealt = [], large.limit(0)
+    small, dealt = [], []
     for depth in range(FIRST_DEPTH, MAX_DEPTH + 1):
-        shares = stash(_shares(large).select("key", ((F.col("minors") == 1) | (F.lit(depth) == MAX_DEPTH)).alias("deal")))
-        dealt = dealt.unionByName(large.join(shares.filter("deal").select("key"), "key"))
-        if not shares.filter("not deal").head(1):
+        shares = _shares(large).select("key", ((F.col("minors") == 1) | (F.lit(depth) == MAX_DEPTH)).alias("deal"))
+        mixed = stash(large.join(shares, "key"))
+        dealt.append(mixed.filter("deal").drop("deal"))
+        if not mixed.filter("not deal").head(1):
             break
-        found, large = _level(_branched(large.join(shares.filter("not deal").select("key"), "key"), reps, percent))
+        found, large = _level(_branched(mixed.filter("not deal"), reps, percent))
         small.append(found)
         if large is None:
             break
-        large = large.drop("size")
+        large = stash(large.drop("size"))
+    dealt = reduce(DataFrame.unionByName, dealt)
     return small, dealt
 
 
@@ -323,6 +325,7 @@ def link_documents(docs: DataFrame, text: str = "text", percent: int = PERCENT,
     small, large = _first_nodes(reps, percent, recall, FIRST_DEPTH)
     tasks = [level.select(F.col("key").alias("task"), "id", "label") for level in small]
     if large is not None:
+        large = stash(large)
         block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / (LEAF // 2)))
         tasks.append(large.filter(F.pmod("key", F.lit(FIRST_NODES)) == 0).select(F.xxhash64("key", block).alias("task"), "id", "label"))
     links = _links(reduce(DataFrame.unionByName, tasks), reps, docs, text, percent)
