@@ -170,9 +170,8 @@ def _mixed_nodes(large: DataFrame, reps: DataFrame, percent: int) -> tuple[list[
     """Of large nodes with several components, which branch on: rows to compare, and those of nodes to be dealt to tasks."""
     small, dealt = [], []
     for depth in range(FIRST_DEPTH, MAX_DEPTH + 1):
-        shares = _shares(large).select("key", ((F.col("minors") == 1) | (F.lit(depth) == MAX_DEPTH)).alias("deal"))
-        mixed = stash(large.join(shares, "key"))
-        dealt.append(mixed.filter("deal").drop("deal"))
+        mixed = stash(large.join(_shares(large), "key").withColumn("deal", (F.col("minors") == 1) | (F.lit(depth) == MAX_DEPTH)))
+        dealt.append(mixed.filter("deal"))
         if not mixed.filter("not deal").head(1):
             break
         found, large = _level(_branched(mixed.filter("not deal"), reps, percent))
@@ -180,8 +179,7 @@ def _mixed_nodes(large: DataFrame, reps: DataFrame, percent: int) -> tuple[list[
         if large is None:
             break
         large = stash(large.drop("size"))
-    dealt = reduce(DataFrame.unionByName, dealt)
-    return small, dealt
+    return small, reduce(DataFrame.unionByName, dealt)
 
 
 def _nodes(reps: DataFrame, percent: int = PERCENT) -> tuple[list[DataFrame], DataFrame | None]:
@@ -234,13 +232,14 @@ def _bundles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (bundles, members, sizes)], ["bundle", "id", "n"])
 
 
-def _blocks(large: DataFrame, shares: DataFrame) -> DataFrame:
-    """Nodes dealt to tasks (block of sets outside the largest component, block of all): columns task, id, label."""
-    dealt = large.join(shares, "key")
+def _blocks(dealt: DataFrame) -> DataFrame:
+    """Nodes (with the columns of `_shares`) dealt to tasks (block of sets outside the largest component, block of all)."""
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = dealt.select("key", "id", "label", F.explode(F.sequence(F.lit(0), F.col("minors") - 1)).alias("i"), block("blocks").alias("j"))
-    minor = dealt.filter("label <> major").select("key", "id", "label", block("minors").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    return every.unionByName(minor).select(F.xxhash64("key", "i", "j").alias("task"), "id", "label")
+    tasks = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    every = tasks("minors", lambda i: F.xxhash64("key", i, block("blocks")))
+    minor = tasks("blocks", lambda j: F.xxhash64("key", block("minors"), j))
+    own = F.when(F.col("label") != F.col("major"), F.array_union(every, minor)).otherwise(every)
+    return dealt.select(F.explode(own).alias("task"), "id", "label")
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +332,7 @@ def link_documents(docs: DataFrame, text: str = "text", percent: int = PERCENT,
     if large is not None:
         large = stash(large.join(linked, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label")))
         small, dealt = _mixed_nodes(large, reps, percent)
-        tasks = [_blocks(dealt, _shares(dealt)), *(level.select(F.col("key").alias("task"), "id", "label") for level in small)]
+        tasks = [_blocks(dealt), *(level.select(F.col("key").alias("task"), "id", "label") for level in small)]
         links = links.unionByName(_links(reduce(DataFrame.unionByName, tasks), reps, docs, text, percent))
         linked = components(links)
     classes = reps.join(linked, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component_id"))
