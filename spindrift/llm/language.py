@@ -5,7 +5,8 @@ character n-grams, the longest length of which any is known; shorter ones are as
 counts come from every row that may be learned from, and every word and n-gram that was counted counts.
 
 The most frequent words are broadcast, and a pass over the texts adds up their votes. What is left of a text, its rarer
-words, meets the table of all terms in joins on distinct words. How many words are broadcast changes no result.
+words, meets the table of all terms in joins on distinct words. Up to a bound the n-grams are broadcast to that join too;
+beyond it they shuffle. How much is broadcast changes no result.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ SMOOTH = 0.5
 UNDETERMINED = "und"
 #: Words that are broadcast, and log frequencies of them (words times languages), at most.
 HEAD_WORDS, HEAD_VALUES = 500_000, 2_000_000
+#: Log frequencies of n-grams (n-grams times languages) up to which the n-grams are broadcast.
+GRAM_VALUES = 4_000_000
 #: Entries of a worker's table of partial counts, and of its table of tokens seen.
 FLUSH = 400_000
 #: Longer tokens are not remembered by a worker.
@@ -107,7 +110,8 @@ def _word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Backoff:
     """Languages in the order of all votes, their log shares, frequent words with the rows of their votes, and all terms.
 
-    terms: size (0: a word, else the length of an n-gram), term, votes (array of log frequencies).
+    terms: size (0: a word, else the length of an n-gram), term, votes (array of log frequencies). few_grams: whether its
+    n-grams may be broadcast.
     """
 
     langs: list[str]
@@ -115,11 +119,12 @@ class Backoff:
     head: dict[str, int]
     votes: np.ndarray
     terms: DataFrame | None
+    few_grams: bool
 
 
-def train(docs: DataFrame, text: str = "text", head_words: int = HEAD_WORDS) -> Backoff:
+def train(docs: DataFrame, text: str = "text", head_words: int = HEAD_WORDS, gram_values: int = GRAM_VALUES) -> Backoff:
     """Counts over all rows of `docs` with a lang that are not held out; a null text adds nothing, a repeated row counts
-    each time. Without such rows the model has no language. head_words: how many words are broadcast at most."""
+    each time. Without such rows the model has no language. head_words: how many words are broadcast at most. gram_values: see GRAM_VALUES."""
     learn = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", text)
     words = stash(learn.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     grams = words.select("lang", "word", "n").mapInArrow(_count_grams, "lang string, size int, term string, n long")
@@ -130,7 +135,7 @@ def train(docs: DataFrame, text: str = "text", head_words: int = HEAD_WORDS) ->
     terms = every.groupBy("size", "term").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
     langs = sorted({r["lang"] for r in totals})
     if not langs:
-        return Backoff([], np.zeros(0), {}, np.zeros((0, 0)), None)
+        return Backoff([], np.zeros(0), {}, np.zeros((0, 0)), None, False)
     count = {(r["size"], r["lang"]): r["n"] for r in totals}
     under = lambda size, lang: float(count.get((size, lang), 0) + SMOOTH * distinct[size])
     votes = lambda size: F.array(*[F.log((F.coalesce(F.col("by")[lang], F.lit(0)) + SMOOTH) / under(size, lang)) for lang in langs])
@@ -139,10 +144,11 @@ def train(docs: DataFrame, text: str = "text", head_words: int = HEAD_WORDS) ->
         by_size = by_size.when(F.col("size") == size, votes(size))
     known = stash(terms.select("size", "term", "n", by_size.alias("votes")))
     top = known.filter("size = 0").orderBy(F.desc("n"), "term").limit(min(head_words, HEAD_VALUES // len(langs))).select("term", "votes").toArrow()
+    few_grams = sum(c for size, c in distinct.items() if size) * len(langs) <= gram_values
     share = np.array([count[0, x] for x in langs], dtype=np.float64)
     frequent = dict(zip(top.column("term").to_pylist(), range(len(top))))
     table = top.column("votes").combine_chunks().flatten().to_numpy().reshape(-1, len(langs))
-    return Backoff(langs, np.log(share / share.sum()), frequent, table, known.select("size", "term", "votes"))
+    return Backoff(langs, np.log(share / share.sum()), frequent, table, known.select("size", "term", "votes"), few_grams)
 
 
 class _Tokens(dict):
@@ -204,14 +210,15 @@ def _frequent(docs: DataFrame, model: Backoff, text: str) -> DataFrame:
     return docs.select("doc_id", text).mapInArrow(add_up, "uid long, doc_id long, letters boolean, votes array<double>, rest array<struct<word:string,n:long>>")
 
 
-def _rare_votes(rest: DataFrame, terms: DataFrame, size: int) -> DataFrame:
+def _rare_votes(rest: DataFrame, terms: DataFrame, size: int, few_grams: bool) -> DataFrame:
     """uid, n and the votes v0, v1, ... of words (uid, word, n): a known word's own, else the mean of its longest known
     n-grams'; words of which no character is known are left out."""
     each = [F.col("votes")[i].alias(f"v{i}") for i in range(size)]
     known = rest.join(terms.filter("size = 0").select(F.col("term").alias("word"), "votes"), "word", "left")
     new = stash(known.filter("votes is null").select("uid", "word", "n"))
     grams = new.select("word").distinct().mapInArrow(_word_grams, "word string, size int, term string, n long")
-    met = grams.join(terms.filter("size > 0"), ["size", "term"]).groupBy("word", "size").agg(F.sum("n").alias("n"), *[F.sum(F.col("votes")[i] * F.col("n")).alias(f"v{i}") for i in range(size)])
+    own = terms.filter("size > 0")
+    met = grams.join(F.broadcast(own) if few_grams else own, ["size", "term"]).groupBy("word", "size").agg(F.sum("n").alias("n"), *[F.sum(F.col("votes")[i] * F.col("n")).alias(f"v{i}") for i in range(size)])
     longest = met.groupBy("word").agg(F.max(F.struct("size", "n", *[f"v{i}" for i in range(size)])).alias("m"))
     means = longest.select("word", *[(F.col(f"m.v{i}") / F.col("m.n")).alias(f"v{i}") for i in range(size)])
     return known.filter("votes is not null").select("uid", "n", *each).unionByName(new.join(means, "word").select("uid", "n", *[f"v{i}" for i in range(size)]))
@@ -228,7 +235,7 @@ def identify(docs: DataFrame, model: Backoff, text: str = "text") -> DataFrame:
         return docs.select("doc_id", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
     size = len(model.langs)
     rows = stash(_frequent(docs, model, text))
-    sums = _rare_votes(rows.select("uid", F.inline("rest")), model.terms, size).groupBy("uid").agg(*[F.sum(F.col(f"v{i}") * F.col("n")).alias(f"v{i}") for i in range(size)])
+    sums = _rare_votes(rows.select("uid", F.inline("rest")), model.terms, size, model.few_grams).groupBy("uid").agg(*[F.sum(F.col(f"v{i}") * F.col("n")).alias(f"v{i}") for i in range(size)])
     total = F.array(*[F.col("votes")[i] + F.coalesce(f"v{i}", F.lit(0.0)) + float(model.prior[i]) for i in range(size)])
     out = rows.drop("rest").join(sums, "uid", "left").select("doc_id", "letters", total.alias("total")).withColumn("most", F.array_max("total"))
     best = F.get(F.array(*[F.lit(x) for x in model.langs]), F.array_position("total", F.col("most")).cast("int") - 1)
