@@ -131,8 +131,8 @@ def train(docs: DataFrame, text: str = "text", head_words: int = HEAD_WORDS, gra
     grams = stash(grams.groupBy("size", "term", "lang").agg(F.sum("n").alias("n")))
     every = words.select("lang", F.lit(0).alias("size"), F.col("word").alias("term"), "n").unionByName(grams)
     totals = every.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()  # five rows per language
-    distinct = {r["size"]: r["c"] for r in every.select("size", "term").distinct().groupBy("size").agg(F.count("*").alias("c")).collect()}  # five rows
-    terms = every.groupBy("size", "term").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+    terms = stash(every.groupBy("size", "term").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")))
+    distinct = {r["size"]: r["c"] for r in terms.groupBy("size").agg(F.count("*").alias("c")).collect()}  # five rows
     langs = sorted({r["lang"] for r in totals})
     if not langs:
         return Backoff([], np.zeros(0), {}, np.zeros((0, 0)), None, False)
@@ -142,13 +142,12 @@ def train(docs: DataFrame, text: str = "text", head_words: int = HEAD_WORDS, gra
     by_size = F.when(F.lit(False), votes(0))
     for size in distinct:
         by_size = by_size.when(F.col("size") == size, votes(size))
-    known = stash(terms.select("size", "term", "n", by_size.alias("votes")))
-    top = known.filter("size = 0").orderBy(F.desc("n"), "term").limit(min(head_words, HEAD_VALUES // len(langs))).select("term", "votes").toArrow()
+    top = terms.filter("size = 0").orderBy(F.desc("n"), "term").limit(min(head_words, HEAD_VALUES // len(langs))).select("term", votes(0).alias("votes")).toArrow()
     few_grams = sum(c for size, c in distinct.items() if size) * len(langs) <= gram_values
     share = np.array([count[0, x] for x in langs], dtype=np.float64)
     frequent = dict(zip(top.column("term").to_pylist(), range(len(top))))
     table = top.column("votes").combine_chunks().flatten().to_numpy().reshape(-1, len(langs))
-    return Backoff(langs, np.log(share / share.sum()), frequent, table, known.select("size", "term", "votes"), few_grams)
+    return Backoff(langs, np.log(share / share.sum()), frequent, table, terms.select("size", "term", by_size.alias("votes")), few_grams)
 
 
 class _Tokens(dict):

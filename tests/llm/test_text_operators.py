@@ -512,13 +512,14 @@ def brute_language(docs, ask):
     return out
 
 
-@pytest.mark.parametrize("head", [0, 7, 60_000])
-def test_language_against_brute_force(spark, head):
+@pytest.mark.parametrize(("head", "grams"), [(0, 0), (7, language.GRAM_VALUES), (60_000, language.GRAM_VALUES), (60_000, 0)])
+def test_language_against_brute_force(spark, head, grams):
     rng = np.random.default_rng(14)
     words = {x: ["".join(rng.choice(list(letters), rng.integers(1, 9))) for _ in range(60)] for x, letters in (("aa", "abcdef"), ("bb", "cdefgh"), ("cc", "efxyzß"))}
     docs = [(i, " ".join(rng.choice(words[x], 12)), x) for i in range(90) for x in [("aa", "aa", "bb", "cc")[i % 4]]] + [(900, "abc" * 40, "bb"), (901, None, "cc"), (902, "zz9zz", None)]
     ask = [(i, t) for i, t, _ in docs] + [(1000, "abcdefgh xyz"), (1001, "ωω"), (1002, "12 3"), (1003, ""), (1004, "ab" * 30_000), (1005, "Abcd-EFX ab_cd")]
-    model = language.train(spark.createDataFrame([(*d, 0.0) for d in docs], DOCS), head_words=head)
+    model = language.train(spark.createDataFrame([(*d, 0.0) for d in docs], DOCS), head_words=head, gram_values=grams)
+    assert model.few_grams == (grams > 0)
     assert len(model.head) == min(head, len({w for i, t, x in docs if x and zlib.crc32(str(i).encode()) % 4 != 2 for w in re.findall(r"[^\W\d_]+", (t or "").lower())}))
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(spark.createDataFrame(ask, "doc_id long, text string"), model).collect()}
     want = brute_language(docs, ask)
