@@ -16,6 +16,9 @@ MODULES = {
     "op8_pii": "pii",
     "op9_top_k": "topk",
     "op10_packing": "packing",
+    "op11_repair": "conversations",
+    "op12_toxicity": "toxicity",
+    "op13_whitening": "whitening",
 }
 
 
