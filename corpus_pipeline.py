@@ -27,7 +27,7 @@ def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 # Every stage takes nulls in any column, empty and very long texts, repeated rows and empty tables; an empty table gives an
-# empty one. All but the last return the columns that they were given, whatever their names, but no column `score`.
+# empty one. All but the last return the columns that they were given, whatever their names.
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts have a score like any other. Equal texts, so repeated rows too, go or stay together.
     """
     forest = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score_documents(docs, forest).filter(F.col("score") >= quality.KEEP_FROM).select(*docs.columns)
+    (score,) = fresh(docs, "score")
+    return quality.score_documents(docs, forest, score=score).filter(F.col(score) >= quality.KEEP_FROM).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,8 @@ from .common import fresh, stash
 ROUNDS = 40
 #: Characters of all surrogates that a broadcast takes at most; with more, the same join shuffles.
 BROADCAST_CHARS = 16_000_000
+#: Labels of a host after the first at most: a name has 253 characters. Without a bound the matcher's stack grows with them.
+LABELS = 126
 _WORD = r"[\p{L}\p{N}]"
 #: Titles by the gender that they tell.
 TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora"], "n": ["Dr", "Prof"]}
@@ -32,7 +34,7 @@ _HEX = "[0-9A-Fa-f]{1,4}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Type and pattern of each kind of entity, in the order in which they are tried at a place.
 PATTERNS = {
-    "email": rf"(?<![\p{{L}}\p{{N}}._%+-]){_WORD}[\p{{L}}\p{{N}}._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{{2,24}})(?![A-Za-z0-9-])",
+    "email": rf"(?<![\p{{L}}\p{{N}}._%+-]){_WORD}[\p{{L}}\p{{N}}._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){{0,{LABELS}}}(?<=\.[A-Za-z]{{2,24}})(?![A-Za-z0-9-])",
     "secret": r"(?<![\p{L}\p{N}])(?i:(?:token|secret|password|passwd|api[_-]?key)\"?\s{0,3}[=:]\s{0,3}\"?(?=[A-Za-z0-9_+/-]*\d)[A-Za-z0-9_+/-]{8,}+)|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "ip6": rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![\p{{L}}\p{{N}}:.])",
@@ -196,7 +198,7 @@ def replace_pii(docs: DataFrame, key: str | None = None, text: str = "text", cou
 
     key: makes the surrogates; the same one gives the same ones. Without it, one is drawn for this call. count: name of a
     column for the number of entities; it replaces one of that name. Null texts stay null; texts of any length count
-    whole; rows without entities are unchanged. Repeated rows, and any with a null doc_id, are treated by their text
+    whole (an address ends with its 127th label); rows without entities are unchanged. Repeated rows, and any with a null doc_id, are treated by their text
     alone. Identities whose surrogates meet are told apart by the order of their hashes. An empty table gives an empty one.
     """
     key = key or secrets.token_hex(32)

@@ -145,24 +145,24 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str
     return fit(x[order], got["quality"].to_numpy(dtype=np.float64)[order])
 
 
-def score_documents(docs: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
-    """`docs` with a column score (0 to 1; higher: better), replacing one of that name.
+def score_documents(docs: DataFrame, forest: Forest, text: str = "text", score: str = "score") -> DataFrame:
+    """`docs` with a column `score` (0 to 1; higher: better), replacing one of that name.
 
     Null and empty texts get a score too, and texts of any length count whole. Equal texts have equal scores. Rows come out
     as often as they went in; an empty table gives an empty one.
     """
-    names = [c for c in docs.columns if c != "score"]
+    names = [c for c in docs.columns if c.lower() != score.lower()]
     shared = docs.sparkSession.sparkContext.broadcast(forest)
     at = names.index(text)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = shared.value
         for batch in batches:
             x = np.array([statistics(t.as_py()) for t in batch.column(at)], dtype=np.float64).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forest.score(x))], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forest.score(x))], [*names, score])
 
-    out = docs.select(*names)
-    return out.mapInArrow(score, StructType([*out.schema.fields]).add("score", DoubleType()))
+    out = docs.select(*[F.col(f"`{c}`") for c in names])
+    return out.mapInArrow(judge, StructType([*out.schema.fields]).add(score, DoubleType()))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

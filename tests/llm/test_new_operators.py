@@ -253,3 +253,25 @@ def test_whitening_odd_rows(spark):
     y = [2**52, 6_400_000_000, -192]
     want = [sum((3 * v - sum(y)) ** 2 for v in [x]) for x in y]
     assert [int(r["deviation"]) for r in out.orderBy("vec_id").select(F.col("deviation").cast("string").alias("deviation")).collect()] == want
+
+
+def test_pii_hosts_of_many_labels(spark):
+    """A host of a million labels is no address and harms nobody; addresses beside it are found."""
+    from spindrift.llm import pii
+
+    for labels in (1_500, 1_000_000):
+        text = "see a@" + ".".join("a" * labels) + " and jo@mail.example.com.\n" + "@".join("b" * 5_000)
+        (got,) = pii.replace_pii(spark.createDataFrame([(1, text)], "doc_id long, text string"), "key", count="n").collect()
+        assert got["n"] == 1 and "jo@mail" not in got["text"] and got["text"].startswith(text[: text.index(" and")])
+    (got,) = pii.replace_pii(spark.createDataFrame([(1, "x@a." + "ab." * 120 + "com, y@b.co.123")], "doc_id long, text string"), "key", count="n").collect()
+    assert got["n"] == 2 and got["text"].endswith(".123")
+
+
+def test_quality_stage_keeps_a_score_of_the_caller(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(200)], "doc_id long, quality int").write.mode("overwrite").parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame([(i, "Plain words here. " * 30 if i % 5 else "!! ## @@ " * 30, "en", 0.123, None) for i in range(200)], DOCS)
+    kept = corpus_pipeline.keep_quality(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and {r["score"] for r in kept.collect()} == {0.123} and {r["doc_id"] % 5 > 0 for r in kept.collect()} == {True}
