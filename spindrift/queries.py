@@ -369,6 +369,13 @@ def sgp4_states(spark: SparkSession, d: str) -> DataFrame:
     return motion.state_at(_orbits(spark, d), NOW_MS + 3_600_000.0)
 
 
+@query("deep_space_ephemeris")
+def deep_space_ephemeris(spark: SparkSession, d: str) -> DataFrame:
+    """Satellites under the pull of Sun and Moon, a month and a day before the elements' epoch and after it."""
+    days = [-30, -1, 1, 30]
+    return motion.ephemeris(motion.deep_space(_orbits(spark, d)), [NOW_MS + x * 86_400_000.0 for x in days])
+
+
 @query("orbit_path")
 def orbit_path(spark: SparkSession, d: str) -> DataFrame:
     return motion.orbit_path(_orbits(spark, d), NOW_MS)
