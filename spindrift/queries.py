@@ -13,6 +13,7 @@ from .functions import frames
 from .operators import card, compare, insights, motion, search, stats, view
 from .plans.fixture import NOW_MS, ORACLE_CATALOG, catalog, orbits
 from .plans.lens import PRESETS, Lens
+from .session import scratch
 from .streaming import ticks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -369,6 +370,17 @@ def sgp4_states(spark: SparkSession, d: str) -> DataFrame:
     return motion.state_at(_orbits(spark, d), NOW_MS + 3_600_000.0)
 
 
+@query("tick_stream")
+def tick_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The stream's positions at two ticks of each day of the events, half a minute apart: one at a snapshot, one between two."""
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    first = spark.read.parquet(f"{d}/events.parquet").groupBy(F.floor(ms / 86_400_000).alias("day")).agg(F.min(ms).alias("ms"))
+    days = first.crossJoin(F.broadcast(first.agg(F.min("ms").alias("begin"), F.min("day").alias("first"))))  # one row
+    each = days.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), (F.col("day") - F.col("first")).alias("day"), (NOW_MS + F.col("ms") - F.col("begin")).alias("ms"))
+    table = each.select((2 * F.col("day") + F.col("k")).alias("tick"), (F.col("ms") + 30_000 * F.col("k")).alias("ms"), F.lit(60.0).alias("warp"), F.lit(0).alias("clock_epoch"), F.lit(False).alias("paused"))
+    return ticks.replay(spark, table, _orbits(spark, d), scratch(spark))
+
+
 @query("deep_space_ephemeris")
 def deep_space_ephemeris(spark: SparkSession, d: str) -> DataFrame:
     """Satellites under the pull of Sun and Moon, a month and a day before the elements' epoch and after it."""

@@ -1,14 +1,25 @@
-"""Streams. The time ticks drive snapshots of positions; the event windows are an extra that works on the events table."""
+"""Streams. The time ticks drive snapshots of positions; the event windows are an extra that works on the events table.
+
+`interpolated_ticks` keeps its snapshots in keyed state. The catalogue is dealt into blocks; the element sets of a block, the two
+snapshots that its positions are mixed from and the next one are state, put there once from the catalogue. A tick is a few
+numbers sent to each block, so a micro-batch shuffles ticks times blocks rows, however large the catalogue. A timer makes the next
+snapshot between ticks. After a restart the state comes from the checkpoint, and results go on as if there had been none.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..operators.motion import positions
+from ..functions import sgp4
+from ..functions.orbit import SCENE_UNIT_KM
+from ..operators.motion import ELEMENTS, positions
+from ..operators.view import SimClock, Window
 
 
 def tick_positions(spark: SparkSession, catalog: DataFrame, start_ms: float, warp: float, sink: Callable[[DataFrame, int], None], interval: str = "1 second", ticks_per_second: int = 1) -> StreamingQuery:
@@ -23,6 +34,127 @@ def tick_positions(spark: SparkSession, catalog: DataFrame, start_ms: float, war
     return ticks.writeStream.foreachBatch(run).trigger(processingTime=interval).start()
 
 
+#: Columns of a tick: its number, the simulated time, the warp, the number of changes of the clock so far, and whether it stands.
+TICK = "tick long, ms double, warp double, clock_epoch int, paused boolean"
+#: Satellites of a block: a block's state is read and written as one value.
+BLOCK = 2_000
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Snapshots(StatefulProcessor):
+    """One block of satellites: its elements, its window and the snapshots at the window's ends."""
+
+    def __init__(self, prefetch_ms: int):
+        self.prefetch_ms = prefetch_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.elements = handle.getValueState("elements", "ids array<bigint>, fields array<double>")
+        self.window = handle.getValueState("window", "t_a double, t_b double, clock_epoch int, prefetched double, last_tick bigint")
+        self.snapshots = handle.getMapState("snapshots", "ms double", "points array<double>")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        rows = initialState.sort_values("id")
+        # A block may come in several parts.
+        ids, fields = self.elements.get() if self.elements.exists() else ([], [])
+        fields = np.concatenate([np.array(fields).reshape(len(ids), -1), rows[["epoch_ms", *ELEMENTS]].to_numpy(np.float64)]) if len(ids) else rows[["epoch_ms", *ELEMENTS]].to_numpy(np.float64)
+        self.elements.update(([*ids, *rows["id"].tolist()], fields.ravel().tolist()))
+
+    def _propagated(self, ms: float) -> np.ndarray:
+        ids, fields = self.elements.get()
+        table = np.array(fields, dtype=np.float64).reshape(len(ids), -1)
+        r, _ = sgp4.propagate(dict(zip(["epoch_ms", *ELEMENTS], table.T)), (ms - table[:, 0]) / sgp4.MINUTE_MS)
+        return np.stack([r[:, 0], r[:, 2], -r[:, 1]], axis=1) / SCENE_UNIT_KM
+
+    def _snapshot(self, ms: float) -> np.ndarray:
+        """Points at a time: from the state, or made and put there."""
+        if self.snapshots.containsKey((ms,)):
+            return np.array(self.snapshots.getValue((ms,))[0], dtype=np.float64).reshape(-1, 3)
+        points = self._propagated(ms)
+        self.snapshots.updateValue((ms,), (points.ravel().tolist(),))
+        return points
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if not self.elements.exists():
+            return
+        ids = self.elements.get()[0]
+        window, last = None, None
+        if self.window.exists():
+            t_a, t_b, epoch, prefetched, last = self.window.get()
+            window = Window(t_a, t_b, epoch, prefetched)
+        before = window
+        for tick in pd.concat(list(rows)).sort_values("tick").itertuples():
+            if last is not None and tick.tick <= last:
+                continue
+            last = int(tick.tick)
+            clock = SimClock(tick.ms, 0.0, warp=tick.warp, paused=bool(tick.paused), epoch=int(tick.clock_epoch))
+            window = Window.opened(tick.ms, clock) if window is None else window.advanced(tick.ms, clock)
+            a, b = self._snapshot(window.t_a), self._snapshot(window.t_b)
+            mix = min(1.0, max(0.0, (tick.ms - window.t_a) / (window.t_b - window.t_a)))
+            # Where only the later snapshot fails, the earlier one stands.
+            xyz = a + (np.where(np.isnan(b), a, b) - a) * mix
+            yield pd.DataFrame({"id": ids, "tick": last, "ms": tick.ms, "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2]})
+        if window is None:
+            return
+        self.window.update((window.t_a, window.t_b, window.clock_epoch, window.prefetched, last))
+        if window == before:
+            return
+        for (ms,) in list(self.snapshots.keys()):
+            if ms not in (window.t_a, window.t_b, window.prefetched):
+                self.snapshots.removeKey((ms,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if window.prefetched is not None:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.prefetch_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The next snapshot, before it is needed."""
+        if self.window.exists() and (ahead := self.window.get()[3]) is not None:
+            self._snapshot(ahead)
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def interpolated_ticks(ticks: DataFrame, catalog: DataFrame, blocks: int, prefetch_ms: int = 100) -> DataFrame:
+    """id, tick, ms, x, y, z (scene units; null where the model fails) of each satellite at each tick of the stream.
+
+    ticks: a stream of TICK rows, numbered in their order; a tick that comes after one with a higher number is left out.
+    catalog: id, epoch_ms and the elements; it is read when the stream first starts, then it is state. blocks: by how many keys
+    satellites are dealt; `blocks_for` counts them.
+    """
+    spark = ticks.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    fields = [F.col(c).cast("double").alias(c) for c in ("epoch_ms", *ELEMENTS)]
+    held = catalog.filter("id is not null").select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.col("id").cast("long").alias("id"), *fields)
+    sent = ticks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    found = sent.groupBy("block").transformWithStateInPandas(Snapshots(prefetch_ms), "id long, tick long, ms double, x double, y double, z double", outputMode="Append", timeMode="ProcessingTime", initialState=held.groupBy("block"))
+    return found.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in "xyz"})
+
+
+def blocks_for(catalog: DataFrame, satellites: int = BLOCK) -> int:
+    return max(1, -(-catalog.count() // satellites))
+
+
+def replay(spark: SparkSession, ticks: DataFrame, catalog: DataFrame, folder: str, blocks: int | None = None) -> DataFrame:
+    """What the stream gives for a table of ticks, by way of `folder`: every call takes in the ticks, goes on from the state that
+    the calls before have left there, and returns all results so far. Ticks go in as one micro-batch."""
+    ticks.select([F.col(x.split()[0]).cast(x.split()[1]) for x in TICK.split(", ")]).coalesce(1).write.mode("append").parquet(f"{folder}/ticks")
+    stream = spark.readStream.schema(TICK).parquet(f"{folder}/ticks")
+    found = interpolated_ticks(stream, catalog, blocks or blocks_for(catalog))
+    # Timers keep a stream awake for ever; a replay ends with its ticks.
+    idle = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(idle)
+    spark.conf.set(idle, "false")
+    try:
+        query = found.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/found")
+    finally:
+        spark.conf.set(idle, before)
+    query.awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{folder}/found")
+
+
 def windowed_events(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Extra: count and sum by type in event-time windows; a stream drops what comes later than `late`."""
     rows = events.withWatermark("ts", late) if events.isStreaming else events

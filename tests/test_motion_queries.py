@@ -4,12 +4,15 @@ import datetime as dt
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from spindrift.functions import frames, sgp4
 from spindrift.functions.orbit import SCENE_UNIT_KM
+from spindrift.operators import view
 from spindrift.plans.fixture import NOW_MS, catalog
 from spindrift.queries import QUERIES
+from spindrift.streaming import ticks
 
 
 @pytest.fixture(scope="module")
@@ -108,3 +111,86 @@ def test_deep_space_is_smooth_over_steps_and_both_ways():
         t = np.array([s * k * 720 + d for s in (1, -1) for k in (1, 9) for d in (-1 / 120, 1 / 120)])
         r, _ = sgp4.propagate(el, t)
         assert np.linalg.norm(r[0::2] - r[1::2], axis=1).max() < 12
+
+
+ORBITS = "id long, mean_motion double, eccentricity double, inclination double, raan double, arg_pericenter double, mean_anomaly double, bstar double, epoch_ms long"
+
+
+def told(ticks_given, rows):
+    """The windows of the ticks one after the other, and the mix of two whole propagations for each."""
+    window, last, out = None, -1, {}
+    point = lambda row, ms: np.array(sgp4.propagate({k: np.array([float(v)]) for k, v in zip(ORBITS_FIELDS, row[1:])}, np.array([(ms - row[-1]) / 60_000]))[0][0])[[0, 2, 1]] * np.array([1, 1, -1]) / SCENE_UNIT_KM
+    for tick, ms, warp, epoch, paused in sorted(ticks_given):
+        clock = view.SimClock(ms, 0.0, warp=warp, paused=paused, epoch=epoch)
+        window = view.Window.opened(ms, clock) if window is None else window.advanced(ms, clock)
+        mix = min(1, max(0, (ms - window.t_a) / (window.t_b - window.t_a)))
+        for row in rows:
+            a, b = point(row, window.t_a), point(row, window.t_b)
+            out[row[0], tick] = a + (b - a) * mix
+    return out
+
+
+ORBITS_FIELDS = [x.split()[0] for x in ORBITS.split(", ")][1:]
+#: Plain running, a window passed, a jump far ahead, a change of warp, a pause, and running on.
+TICKS = [(0, 0.0, 1.0, 0, False), (1, 400.0, 1.0, 0, False), (2, 1200.0, 1.0, 0, False), (3, 9000.0, 1.0, 0, False), (4, 9500.0, 1.0, 0, False), (5, 9600.0, 30.0, 1, False), (6, 24_600.0, 30.0, 1, False), (7, 30_000.0, 30.0, 2, True), (8, 30_000.0, 30.0, 2, True), (9, 45_000.0, 30.0, 3, False), (10, 75_000.0, 30.0, 3, False)]
+
+
+def test_ticks_in_keyed_state_over_a_restart(spark, tmp_path):
+    rows = [(i, 15.5 - i * 0.01, 0.001, 50.0, 10.0 * i, 20.0, 30.0, 1e-5, 0) for i in range(40)] + [(100, 2.006, 0.7, 63.4, 10.0, 270.0, 30.0, 1e-5, 0), (101, 40.0, 0.0, 50.0, 0.0, 0.0, 0.0, 0.0, 0)]
+    cat = spark.createDataFrame([*rows, (None, *rows[0][1:])], ORBITS)
+    table = lambda some: spark.createDataFrame(some, ticks.TICK)
+    want = told(TICKS, rows)
+
+    def check(found, numbers):
+        got = {(r["id"], r["tick"]): r for r in found.collect()}
+        assert got.keys() == {k for k in want if k[1] in numbers}
+        for k, r in got.items():
+            assert (r["x"] is None) == (k[0] == 101) and (k[0] == 101 or np.allclose([r["x"], r["y"], r["z"]], want[k], atol=1e-12))
+
+    # One micro-batch, a second one, then a new start from the checkpoint that has late ticks too and another catalogue at hand.
+    folder = str(tmp_path)
+    check(ticks.replay(spark, table(TICKS[:3]), cat, folder, blocks=5), range(3))
+    check(ticks.replay(spark, table(TICKS[3:6]), cat, folder, blocks=5), range(6))
+    check(ticks.replay(spark, table([TICKS[2], *TICKS[6:]]), cat.limit(0), folder, blocks=5), range(11))
+    # In one go from the start: the same; and without satellites, nothing.
+    check(ticks.replay(spark, table(TICKS), cat, folder + "-whole", blocks=1), range(11))
+    assert ticks.replay(spark, table(TICKS[:2]), cat.limit(0), folder + "-none").count() == 0
+
+
+def test_timer_makes_the_next_snapshot(spark, tmp_path):
+    """A snapshot that a timer has made is in the state, and the tick that needs it finds it there."""
+    made = []
+
+    class State:
+        def __init__(self, value=None):
+            self.value = value
+
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+        update = lambda self, v: setattr(self, "value", v)
+
+    class Map(dict):
+        containsKey, getValue, removeKey = dict.__contains__, dict.__getitem__, dict.pop
+        updateValue = lambda self, k, v: (made.append(k[0]), self.__setitem__(k, v))
+
+    class Handle:
+        timers = []
+        listTimers = lambda self: list(self.timers)
+        registerTimer = lambda self, at: self.timers.append(at)
+        deleteTimer = lambda self, at: self.timers.remove(at)
+
+    class Now:
+        getCurrentProcessingTimeInMs = lambda self: 5_000
+
+    block = ticks.Snapshots(100)
+    block.handle, block.elements, block.window, block.snapshots = Handle(), State(), State(), Map()
+    frame = pd.DataFrame([(1, 15.5, 0.001, 50.0, 10.0, 20.0, 30.0, 1e-5, 0)], columns=["id", *ORBITS_FIELDS])
+    block.handleInitialState(0, frame, None)
+    send = lambda *some: list(block.handleInputRows(0, iter([pd.DataFrame(some, columns=[x.split()[0] for x in ticks.TICK.split(", ")])]), Now()))
+    send(TICKS[0], TICKS[1])
+    assert made == [0.0, 1000.0] and block.handle.timers == [5_100] and block.window.value[3] == 2000.0
+    assert list(block.handleExpiredTimer(0, None, None)) == [] and made == [0.0, 1000.0, 2000.0]
+    send(TICKS[2])
+    assert made == [0.0, 1000.0, 2000.0] and set(block.snapshots) == {(1000.0,), (2000.0,)} and not block.handle.timers
+    send((3, 1300.0, 1.0, 0, False))
+    assert block.handle.timers == [5_100] and block.window.value[3:] == (3000.0, 3)
