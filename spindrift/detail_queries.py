@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import classify, frames, orbit
 from .functions import format as fmt
-from .operators import card, compare, insights, motion, search, stats
+from .operators import card, compare, insights, motion, search, search_index, stats
 from .plans import viewstate, vocab
 from .plans.fixture import NOW_MS, _case, catalog, elements, orbits
 from .plans.lens import PRESETS, Lens, preset_for_lens
@@ -267,11 +267,32 @@ def search_start(spark: SparkSession, d: str) -> DataFrame:
 
 
 _STAR = _NAMED.replace("COSMOS 2", "STAR")
-query(
-    "search_merged",
-    "select row_number() over (order by score desc, source, a, b) as rank, kind, key, count, score from (select kind, key, count, score::double as score, 0 as source, kk as a, pos as b from g union all select 'satellite', id::varchar, null, score, 1, length(name), id from w) order by score desc, source, a, b limit 12",
-    f"{_ENTRIES}, {_STAR}",
-)(lambda spark, d: search.search(catalog(spark, d), "star").drop("title"))
+_MERGED = "select row_number() over (order by score desc, source, a, b) as rank, kind, key, count, score from (select kind, key, count, score::double as score, 0 as source, kk as a, pos as b from g union all select 'satellite', id::varchar, null, score, 1, length(name), id from w) order by score desc, source, a, b limit 12"
+query("search_merged", _MERGED, f"{_ENTRIES}, {_STAR}")(lambda spark, d: search.search(catalog(spark, d), "star").drop("title"))
+
+
+@query("search_merged_stored", _MERGED, f"{_ENTRIES}, {_STAR}")
+def search_merged_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The same by an index that is built first: the search itself reads the index alone."""
+    return search_index.build(catalog(spark, d), scratch(spark)).search("star").drop("title")
+
+
+#: Beginnings short and long, parts rare and common, a number, a nickname, a whole name, nothing.
+_SEARCHES = ["STAR", "COSMOS 2", "B", "AT-1", "GPS BIIR-3", "7", "HUBBLE", "NEXTSAT-10", "ZZZ", "SAT"]
+
+
+@query(
+    "search_stored",
+    "select q, id, name, score, place from (select q, id, name, score, row_number() over (partition by q order by score desc, length(name), id) as place from "
+    "(select q, id, name, case when q = 'HUBBLE' and id = 20580 then 3.2 when id = try_cast(q as bigint) then 3.0 when name = q then 2.2 when starts_with(name, q) then 1.6 - least(0.5, length(name) / 200e0) "
+    "when length(q) >= 3 and contains(name, q) then 1.0 else 0.0 end::double as score from cat, "
+    f"(values {', '.join(f"('{x}')" for x in _SEARCHES)}) as s(q)) where score > 0) where place <= 8",
+)
+def search_stored(spark: SparkSession, d: str) -> DataFrame:
+    """Several searches for satellites in one stored index."""
+    index = search_index.build(catalog(spark, d), scratch(spark))
+    rows = [(q, r["id"], r["name"], r["score"], place) for q in _SEARCHES for place, r in enumerate(index.satellites(q.lower()).collect(), 1)]  # at most 8 of each
+    return spark.createDataFrame(rows, "q string, id long, name string, score double, place int")
 
 
 _NAV = "mission = 'nav'"

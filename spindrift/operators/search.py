@@ -60,8 +60,13 @@ def term_score(term: Column, q: str) -> Column:
 
 def search_groups(catalog: DataFrame, raw: str, limit: int = 12) -> DataFrame:
     """kind, key, title, subtitle, count (null: 0), score and ord of the best groups."""
+    return rank_entries(entries(catalog), raw, limit)
+
+
+def rank_entries(listed: DataFrame, raw: str, limit: int = 12) -> DataFrame:
+    """The best groups of a table of entries."""
     q = norm_value(raw)
-    rows = entries(catalog).withColumn("best", F.array_max(F.transform("terms", lambda t: term_score(t, q))) if q else F.lit(0.0)).filter("best > 0")
+    rows = listed.withColumn("best", F.array_max(F.transform("terms", lambda t: term_score(t, q))) if q else F.lit(0.0)).filter("best > 0")
     boost = F.when(F.col("kind") == "preset", BOOST["preset"]).when(F.col("kind") == "constellation", BOOST["constellation"]).otherwise(OTHER_BOOST)
     scored = rows.select("kind", "key", "title", "subtitle", F.nullif("count", F.lit(0)).alias("count"), (F.col("best") * boost + F.log10(1 + F.col("count")) * 0.08).alias("score"), "ord")
     return scored.orderBy(F.desc("score"), "ord").limit(limit)
@@ -88,8 +93,13 @@ def search_satellites(catalog: DataFrame, raw: str, limit: int = 8) -> DataFrame
 
 def search(catalog: DataFrame, raw: str, limit: int = 12) -> DataFrame:
     """kind, key, title, count, score and rank (from 1): groups and satellites by score, groups first on ties."""
-    groups = search_groups(catalog, raw, limit).select("kind", "key", "title", "count", "score", F.struct(F.lit(0).alias("source"), F.col("ord.kind").cast("long").alias("a"), F.col("ord.at").alias("b")).alias("tie"))
-    found = search_satellites(catalog, raw).select(F.lit("satellite").alias("kind"), F.col("id").cast("string").alias("key"), F.col("name").alias("title"), F.lit(None).cast("long").alias("count"), "score", F.struct(F.lit(1).alias("source"), F.length("name").cast("long").alias("a"), F.col("id").cast("long").alias("b")).alias("tie"))
+    return merge(search_groups(catalog, raw, limit), search_satellites(catalog, raw), limit)
+
+
+def merge(groups: DataFrame, satellites: DataFrame, limit: int = 12) -> DataFrame:
+    """Groups and satellites in one ranking."""
+    groups = groups.select("kind", "key", "title", "count", "score", F.struct(F.lit(0).alias("source"), F.col("ord.kind").cast("long").alias("a"), F.col("ord.at").alias("b")).alias("tie"))
+    found = satellites.select(F.lit("satellite").alias("kind"), F.col("id").cast("string").alias("key"), F.col("name").alias("title"), F.lit(None).cast("long").alias("count"), "score", F.struct(F.lit(1).alias("source"), F.length("name").cast("long").alias("a"), F.col("id").cast("long").alias("b")).alias("tie"))
     merged = groups.unionByName(found).orderBy(F.desc("score"), "tie").limit(limit)
     rows = merged.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("by"), "tie", "kind", "key", "title", "count", "score"))).alias("r"))  # `limit` rows
     return rows.select(F.posexplode("r").alias("at", "x")).select((F.col("at") + 1).alias("rank"), "x.kind", "x.key", "x.title", "x.count", "x.score")
