@@ -16,7 +16,7 @@ from .plans.lens import PRESETS, Lens, preset_for_lens
 from .queries import _BIN, _ENTRIES, _NAMED, _orbits, query
 from .session import scratch
 from .sources import catalog as sources
-from .sources import files
+from .sources import files, store
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -481,3 +481,53 @@ def source_chain(spark: SparkSession, d: str) -> DataFrame:
         found.append(mode(one))
     up[0] = False
     return spark.createDataFrame(list(enumerate([*found, mode(store(production=True)), mode(store())])), "step int, mode string")
+
+
+@query(
+    "store_failing_write",
+    f"select 1 as step, 'live' as mode, null::varchar as note, count(*) as n, sum(id)::bigint as total from cat union all select 2, 'warm-cache', '{sources.NOTES['warm-cache']}', count(*), sum(id)::bigint from cat "
+    "union all select 3, 'live', null, count(*), sum(id)::bigint from cat union all select 4, 'live', null, count(*), sum(id + 1)::bigint from cat union all select 5, 'live', null, count(*), sum(id)::bigint from cat",
+)
+def store_failing_write(spark: SparkSession, d: str) -> DataFrame:
+    """A live source that breaks off while it is written: the last good copy is served, a new store finds it, and a frame that was
+    handed out before a later refresh can still be read after it."""
+    rows, now, path = elements(spark, d).select("id"), [0.0], f"{scratch(spark)}/copy"
+    broken = rows.select(F.when(F.col("id") > rows.agg(F.min("id")).first()[0], F.raise_error(F.lit("cut off"))).otherwise(F.col("id")).cast("long").alias("id"))
+    source = [rows]
+
+    def get() -> DataFrame:
+        return sources.CatalogStore(spark, lambda: source[0], lambda: rows.limit(0), path, production=True, clock=lambda: now[0]).get()
+
+    found = [get()]
+    now[0], source[0] = 9000.0, broken
+    found.append(get())
+    now[0] = 60.0  # within the copy's time
+    found.append(get())
+    now[0], source[0] = 20_000.0, rows.select((F.col("id") + 1).alias("id"))
+    found += [get(), found[0]]
+    each = [f.groupBy(F.lit(i).alias("step"), F.col("source_mode").alias("mode"), F.col("source_note").alias("note")).agg(F.count("*").alias("n"), F.sum("id").alias("total")) for i, f in enumerate(found, 1)]
+    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3]).unionByName(each[4])
+
+
+@query(
+    "refresh_log",
+    "select number, count(*)::double as rows, count(*) filter (id % 3 = 0)::double as general_hits, count(*) filter (country = 'XX')::double as unknown_country, (select count(*) from m) as current_rows, "
+    "'' as refused from m, (values (1), (2)) as t(number) group by number union all select 3, null, null, null, null, (select count(*) || ' rows after ' || (select count(*) from m) from m where id % 5 = 0)",
+    _META,
+)
+def refresh_log(spark: SparkSession, d: str) -> DataFrame:
+    """Two refreshes of the enriched catalogue, and between them one that the gate refuses as a fifth of the rows has come."""
+    kept = store.VersionedStore(spark, scratch(spark))
+    rows, registry, general = files.read_elements(spark, _elements_file(spark, d), 10), files.optional_registry(spark, _registry_file(spark, d)), _general(spark, d)
+    gate, refused = store.coverage_gate(least_rows=10, unknown_share=1.0), ""
+    sources.refresh(kept, rows, registry, general, gate)
+    try:
+        sources.refresh(kept, rows.filter("id % 5 = 0"), registry, general, gate)
+    except store.Refused as e:
+        refused = str(e)
+    sources.refresh(kept, rows, registry, general, gate)
+    figure = lambda k: F.col("figures")[k].alias(k)
+    current = kept.read().agg(F.count("*").alias("current_rows"))
+    log = kept.log().select(F.col("number").cast("int").alias("number"), figure("rows"), figure("general_hits"), figure("unknown_country")).crossJoin(F.broadcast(current)).withColumn("refused", F.lit(""))  # one row
+    none = spark.createDataFrame([(3, None, None, None, None, refused)], "number int, rows double, general_hits double, unknown_country double, current_rows long, refused string")
+    return log.unionByName(none)

@@ -50,12 +50,12 @@ def _clip(camera: Camera, row: int, p: tuple[Column, Column, Column]) -> Column:
     return m[0] * p[0] + m[1] * p[1] + m[2] * p[2] + m[3]
 
 
-def occluded(camera: Camera, x: Column, y: Column, z: Column) -> Column:
-    """Whether the line from the camera meets the unit sphere first."""
+def occluded(camera: Camera, x: Column, y: Column, z: Column, radius: float = 1.0) -> Column:
+    """Whether the line from the camera meets the sphere (the unit sphere if not said) first."""
     dx, dy, dz = x - camera.x, y - camera.y, z - camera.z
     a = dx * dx + dy * dy + dz * dz
     b = 2 * (camera.x * dx + camera.y * dy + camera.z * dz)
-    disc = b * b - 4 * a * (camera.x**2 + camera.y**2 + camera.z**2 - 1)
+    disc = b * b - 4 * a * (camera.x**2 + camera.y**2 + camera.z**2 - radius**2)
     t = (-b - F.sqrt(F.greatest(disc, F.lit(0.0)))) / (2 * a)
     return (disc > 0) & (t > 0) & (t < 1)
 

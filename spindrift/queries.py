@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.orbit import altitude_bin
 from .functions import format as fmt
 from .functions import frames
-from .operators import card, compare, insights, motion, search, stats, view
+from .operators import card, cells, compare, insights, motion, search, stats, view
 from .plans.fixture import NOW_MS, ORACLE_CATALOG, catalog, orbits
 from .plans.lens import PRESETS, Lens
 from .session import scratch
@@ -305,19 +305,37 @@ _SEEN = (
 )
 
 
-@query("in_view", "select id from s where cw > 0 and abs(cx / cw) <= 1 and abs(cy / cw) <= 1 and not hid", _SEEN)
+_IN_VIEW = "select id from s where cw > 0 and abs(cx / cw) <= 1 and abs(cy / cw) <= 1 and not hid"
+
+
+@query("in_view", _IN_VIEW, _SEEN)
 def in_view(spark: SparkSession, d: str) -> DataFrame:
     return view.in_view(_positions(spark, d), _CAMERA).select("id")
 
 
-@query(
-    "pick",
-    "select id, score from (select id, d2 + case when id % 3 = 0 then 120 when id % 3 = 1 then -40 else 0 end as score from (select id, ((cx / cw + 1) * 0.5 * 1600 - 800) ** 2 + ((1 - cy / cw) * 0.5 * 1000 - 400) ** 2 as d2 from s where cw > 0 and not hid) where d2 <= 24 ** 2) order by score, id limit 1",
-    _SEEN,
-)
-def pick(spark: SparkSession, d: str) -> DataFrame:
+_PICK = "select id, score from (select id, d2 + case when id % 3 = 0 then 120 when id % 3 = 1 then -40 else 0 end as score from (select id, ((cx / cw + 1) * 0.5 * 1600 - 800) ** 2 + ((1 - cy / cw) * 0.5 * 1000 - 400) ** 2 as d2 from s where cw > 0 and not hid) where d2 <= 24 ** 2) order by score, id limit 1"
+
+
+def _styled(spark: SparkSession, d: str) -> DataFrame:
     style = F.when(F.col("id") % 3 == 0, compare.GHOST).when(F.col("id") % 3 == 1, compare.FOCUS).otherwise(compare.BASE)
-    return view.pick(_positions(spark, d).withColumn("style", style), _CAMERA, 800, 400, 1600, 1000, view.TOUCH_RADIUS).select("id", "score")
+    return _positions(spark, d).withColumn("style", style)
+
+
+@query("pick", _PICK, _SEEN)
+def pick(spark: SparkSession, d: str) -> DataFrame:
+    return view.pick(_styled(spark, d), _CAMERA, 800, 400, 1600, 1000, view.TOUCH_RADIUS).select("id", "score")
+
+
+@query("in_view_cells", _IN_VIEW, _SEEN)
+def in_view_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The same from positions that are stored by cells: of those that the camera can't see, no file is opened."""
+    return cells.build(_positions(spark, d), scratch(spark), per_cell=500).in_view(_CAMERA).select("id")
+
+
+@query("pick_cells", _PICK, _SEEN)
+def pick_cells(spark: SparkSession, d: str) -> DataFrame:
+    found = cells.build(_styled(spark, d), scratch(spark), per_cell=500)
+    return found.pick(_CAMERA, 800, 400, 1600, 1000, view.TOUCH_RADIUS).select("id", "score")
 
 
 @query("label_anchors", "select id, (cx / cw * 0.5 + 0.5) * 1600 as sx, (0.5 - cy / cw * 0.5) * 1000 as sy, abs(cx / cw) < 1.05 and abs(cy / cw) < 1.05 and not hid as visible from s", _SEEN)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import classify
 from ..functions.classify import filled
 from ..functions.orbit import orbit_columns
-from . import files
+from . import files, store
 
 META = "operator string, country string, constellation string, mission string, sector string, launch_date string, mass_kg float"
 HALF_DAY_MS, TTL_S = 6 * 3_600_000, 7200
@@ -101,33 +101,55 @@ def coverage(elements: DataFrame, general: DataFrame, enriched: DataFrame) -> Da
     return enriched.agg(F.count("*").alias("rows"), F.count_if(F.col("country") == "XX").alias("unknown_country"), F.countDistinct("operator").alias("operators"), F.countDistinct("country").alias("countries"), F.countDistinct("constellation").alias("constellations")).crossJoin(hits)
 
 
+def refresh(into: store.VersionedStore, elements: DataFrame, registry: DataFrame, general: DataFrame, gate: store.Gate | None = None) -> dict:
+    """Enrich the elements, write them as a new version of `into`, and make it current if its coverage passes the gate.
+
+    The figures (rows, general_hits, unknown_country, newest_epoch_ms) are observed in the pass that writes; they stand in the log.
+    """
+    marked = elements.join(general.select("id", F.lit(True).alias("in_general")), "id", "left")
+    rows = enrich(marked, registry, general)
+    return into.publish(rows, store.coverage_figures(F.coalesce("in_general", F.lit(False))), gate or store.coverage_gate())
+
+
+#: What is said of a catalogue that isn't live.
+NOTES = {
+    "offline": "Offline mode: serving bundled snapshot.",
+    "warm-cache": "Upstream unavailable; serving last good copy.",
+    "snapshot": "Live source unavailable at build time; serving bundled snapshot.",
+}
+
+
 class CatalogStore:
-    """The chain of sources: offline -> snapshot; fresh warm copy; live; warm copy after a failure; snapshot; error."""
+    """The chain of sources: offline -> snapshot; fresh copy; live; last good copy after any failure; snapshot; error.
+
+    Copies are versions in `cache_path`: a live source that fails while it is written harms none of them, frames that were handed
+    out before can still be read, and a store that is opened anew finds the last good copy of the one before.
+    """
 
-    def __init__(self, spark: SparkSession, live: Callable[[], DataFrame], snapshot: Callable[[], DataFrame], cache_path: str, offline: bool = False, production: bool = False, ttl_s: float = TTL_S, clock: Callable[[], float] = time.time):
-        self.spark, self.live, self.snapshot, self.cache_path = spark, live, snapshot, cache_path
-        self.offline, self.production, self.ttl_s, self.clock = offline, production, ttl_s, clock
-        self.fetched_at: float | None = None
+    def __init__(self, spark: SparkSession, live: Callable[[], DataFrame], snapshot: Callable[[], DataFrame], cache_path: str, offline: bool = False, production: bool = False, ttl_s: float = TTL_S, clock: Callable[[], float] = time.time, gate: store.Gate | None = None):
+        self.live, self.snapshot, self.versions = live, snapshot, store.VersionedStore(spark, cache_path, clock)
+        self.offline, self.production, self.ttl_s, self.clock, self.gate = offline, production, ttl_s, clock, gate
 
-    def _warm(self, mode: str) -> DataFrame:
-        return self.spark.read.parquet(self.cache_path).withColumn("source_mode", F.lit(mode))
+    @staticmethod
+    def _said(rows: DataFrame, mode: str, note: str | None = None) -> DataFrame:
+        return rows.withColumns({"source_mode": F.lit(mode), "source_note": F.lit(note).cast("string")})
 
     def get(self) -> DataFrame:
-        """The catalogue with a column source_mode: live, warm-cache or snapshot."""
+        """The catalogue with the columns source_mode (live, warm-cache or snapshot) and source_note (null: live)."""
         if self.offline:
-            return self.snapshot().withColumn("source_mode", F.lit("snapshot"))
-        if self.fetched_at is not None and self.clock() - self.fetched_at < self.ttl_s:
-            return self._warm("live")
+            return self._said(self.snapshot(), "snapshot", NOTES["offline"])
+        last = self.versions.last()
+        if last is not None and self.clock() - last["written_s"] < self.ttl_s:
+            return self._said(self.versions.read(last["version"]), "live")
         try:
-            self.live().write.mode("overwrite").parquet(self.cache_path)
-            self.fetched_at = self.clock()
-            return self._warm("live")
-        except files.SourceError:
-            if self.fetched_at is not None:
-                return self._warm("warm-cache")
+            made = self.versions.publish(self.live(), gate=self.gate)
+            return self._said(self.versions.read(made["version"]), "live")
+        except Exception:  # whatever the source or the write failed of
+            if last is not None:
+                return self._said(self.versions.read(last["version"]), "warm-cache", NOTES["warm-cache"])
             if self.production:
                 raise
-            return self.snapshot().withColumn("source_mode", F.lit("snapshot"))
+            return self._said(self.snapshot(), "snapshot", NOTES["snapshot"])
 
 
 def load_best(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame, str]:
