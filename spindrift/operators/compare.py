@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lens import Lens
-from . import stats
+from . import scopes
 
 #: Style codes; from FOCUS on a row is in focus.
 HIDDEN, GHOST, BASE, FOCUS, SIDE_A, SIDE_B = 0, 1, 2, 3, 4, 5
@@ -30,19 +30,14 @@ def focused_count(styled: DataFrame, style: str = "style") -> DataFrame:
 
 def compare_table(catalog: DataFrame, a: Lens, b: Lens, now_ms: int, in_view: DataFrame | None = None) -> DataFrame:
     """A row per side: total, share, in_view, median_alt_km, regimes, last_365, main_inc, top_operator, and who wins."""
-    everything = catalog.agg(F.count("*").alias("all"))
-    sides = []
-    for name, lens in (("a", a), ("b", b)):
-        rows = catalog.filter(lens.to_column(now_ms))
-        base = stats.recency(rows, now_ms).select("total", "last_365")
-        regimes = rows.agg(F.array_join(F.array_sort(F.collect_set("regime")), ",").alias("regimes"))
-        seen = rows.join(in_view.select("id"), "id", "left_semi").agg(F.count("*").alias("in_view")) if in_view is not None else None
-        one = base.crossJoin(everything).crossJoin(stats.upper_median(rows)).crossJoin(regimes)  # rows of one
-        one = one.crossJoin(stats.inclination_modes(rows, 1).agg(F.max("inc").alias("main_inc"))).crossJoin(stats.top_entries(rows, "operator", 1).agg(F.max("key").alias("top_operator")))
-        one = one.crossJoin(seen) if seen is not None else one.withColumn("in_view", F.lit(None).cast("long"))
-        sides.append(one.withColumn("side", F.lit(name)))
-    both = sides[0].unionByName(sides[1])
-    most = both.agg(F.max("total").alias("most_total"), F.min("total").alias("least_total"), F.max("last_365").alias("most_new"), F.min("last_365").alias("least_new"))
+    sides = {"a": a.to_column(now_ms), "b": b.to_column(now_ms), "all": F.lit(True)}
+    found = scopes.facts(catalog, sides, now_ms, counted=("all",), in_view=in_view, modes=1)
+    # Three rows: brought together in one, so that no side is computed again for the other.
+    one = found.agg(*[F.max_by(F.struct(*found.columns), F.col("scope") == side).alias(side) for side in sides])
+    both = one.select(F.col("all.total").alias("all"), F.inline(F.array("a", "b"))).withColumnRenamed("scope", "side")
+    both = both.withColumns({"main_inc": F.get(F.col("modes"), F.lit(0))["inc"], "top_operator": F.col("top_operator.key")})
+    most_of = lambda f, c: F.max(c).over(Window.partitionBy("all")) if f == "most" else F.min(c).over(Window.partitionBy("all"))
+    both = both.withColumns({f"{f}_{k}": most_of(f, c) for k, c in (("total", "total"), ("new", "last_365")) for f in ("most", "least")})
     share = F.when(F.col("all") > 0, F.col("total") / F.col("all")).otherwise(0.0)
     wins = lambda c, k: (F.col(c) == F.col(f"most_{k}")) & (F.col(f"most_{k}") > F.col(f"least_{k}"))
-    return both.crossJoin(most).select("side", "total", share.alias("share"), "in_view", "median_alt_km", "regimes", "last_365", "main_inc", "top_operator", wins("total", "total").alias("wins_total"), wins("last_365", "new").alias("wins_new"))
+    return both.select("side", "total", share.alias("share"), "in_view", "median_alt_km", "regimes", "last_365", "main_inc", "top_operator", wins("total", "total").alias("wins_total"), wins("last_365", "new").alias("wins_new"))

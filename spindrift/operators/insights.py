@@ -11,20 +11,16 @@ from ..functions.classify import country_name, lookup
 from ..functions.format import fmt_int, fmt_km, round_altitude, share
 from ..plans import vocab
 from ..plans.lens import Lens
-from . import stats
+from . import scopes
 
 
-def _facts(rows: DataFrame, now_ms: int) -> DataFrame:
-    """One row with all numbers that insights are made of."""
-    base = stats.recency(rows, now_ms)
-    kinds = rows.agg(*[F.count_if(F.col("regime") == r).alias(r.lower()) for r in ("LEO", "GEO")], F.count_if(F.col("bloc") == "KR").alias("kr"))
-    band = stats.densest_band(rows).agg(F.max(F.struct("lo", "hi", "count")).alias("band"))
-    top = lambda key: stats.top_entries(rows, key, 1).agg(F.max(F.struct("key", "n")).alias(f"top_{key}"))
-    modes = stats.inclination_modes(rows, 3).agg(F.array_sort(F.collect_list(F.struct("rank", "inc", "count"))).alias("modes"))
-    one = base
-    for more in (kinds, band, top("constellation"), top("operator"), top("country"), modes, stats.upper_median(rows)):
-        one = one.crossJoin(F.broadcast(more))  # rows of one
-    return one
+def _facts(catalog: DataFrame, now_ms: int, scope: Column | None = None) -> DataFrame:
+    """One row with all numbers that insights are made of, and `all`, the number of rows in and out of the scope."""
+    if scope is None:
+        return scopes.facts(catalog, {"scope": F.lit(True)}, now_ms).withColumn("all", F.col("total"))
+    found = scopes.facts(catalog, {"scope": scope, "all": F.lit(True)}, now_ms, counted=("all",))
+    one = found.agg(*[F.max_by(F.struct(*found.columns), F.col("scope") == name).alias(name) for name in ("scope", "all")])  # of two rows
+    return one.select("scope.*", F.col("all.total").alias("all"))
 
 
 def _percent(c: Column) -> Column:
@@ -71,8 +67,7 @@ def scope_insights(scope: DataFrame, now_ms: int, in_view: bool = False) -> Data
 
 def lens_insights(catalog: DataFrame, lens: Lens, now_ms: int) -> DataFrame:
     """Insights of the rows of a lens beside all rows. None for an empty lens result."""
-    rows = catalog.filter(lens.to_column(now_ms))
-    facts = _facts(rows, now_ms).filter("total > 0").crossJoin(F.broadcast(catalog.agg(F.count("*").alias("all"))))  # rows of one
+    facts = _facts(catalog, now_ms, lens.to_column(now_ms)).filter("total > 0")
     n = F.col("total")
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     part = share(n, F.col("all"))

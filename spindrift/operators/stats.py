@@ -143,11 +143,8 @@ def shell_percentile(catalog: DataFrame, probes: DataFrame | None = None, band:
     return out.select("id", "neighbours", (below / F.col("all")).alias("percentile"), (F.col("neighbours") >= F.col("most")).alias("busiest"))
 
 
-def inclination_modes(scope: DataFrame, n: int = 3) -> DataFrame:
-    """rank (from 1), inc and count of the dominant inclinations: peaks of whole degrees with the free neighbours of each."""
-    degree = F.greatest(F.lit(0), F.least(F.lit(180), half_up(F.col("inclination")))).cast("int")
-    hist = scope.groupBy(degree.alias("d")).agg(F.count("*").alias("c"))
-    one = hist.agg(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("by"), "d", "c"))).alias("h"))  # one row of at most 181 bins
+def modes_of(h: Column, n: int) -> Column:
+    """array of struct(inc, count): the peaks of `h`, an array of (-count, degree, count) in order, with the free neighbours of each."""
 
     def take(state: Column, _: Column) -> Column:
         free = state["free"]
@@ -156,9 +153,16 @@ def inclination_modes(scope: DataFrame, n: int = 3) -> DataFrame:
         found = F.struct(best["d"].alias("inc"), F.aggregate(near, F.lit(0).cast("long"), lambda a, x: a + x["c"]).alias("count"))
         return F.when(F.size(free) == 0, state).otherwise(F.struct(F.filter(free, lambda x: F.abs(x["d"] - best["d"]) > 1).alias("free"), F.array_append(state["out"], found).alias("out")))
 
-    start = F.struct(F.col("h").alias("free"), F.from_json(F.lit("[]"), "array<struct<inc:int,count:bigint>>").alias("out"))
-    modes = F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, take, lambda s: s["out"])
-    return one.select(F.posexplode(modes).alias("at", "m")).select((F.col("at") + 1).alias("rank"), "m.inc", "m.count")
+    start = F.struct(h.alias("free"), F.from_json(F.lit("[]"), "array<struct<inc:int,count:bigint>>").alias("out"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, take, lambda s: s["out"])
+
+
+def inclination_modes(scope: DataFrame, n: int = 3) -> DataFrame:
+    """rank (from 1), inc and count of the dominant inclinations: peaks of whole degrees with the free neighbours of each."""
+    degree = F.greatest(F.lit(0), F.least(F.lit(180), half_up(F.col("inclination")))).cast("int")
+    hist = scope.groupBy(degree.alias("d")).agg(F.count("*").alias("c"))
+    one = hist.agg(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("by"), "d", "c"))).alias("h"))  # one row of at most 181 bins
+    return one.select(F.posexplode(modes_of(F.col("h"), n)).alias("at", "m")).select((F.col("at") + 1).alias("rank"), "m.inc", "m.count")
 
 
 def densest_band(scope: DataFrame) -> DataFrame:

@@ -44,9 +44,13 @@ def orbits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "country", "mean_motion", "eccentricity", "inclination", F.round(alt, 3).cast("float").alias("mean_alt_km"))
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The generated catalogue with its derived columns; altitudes are rounded to metres, so that engines agree on bins."""
-    rows = classify.with_rule(elements(spark, sf_dir))
+def catalog(spark: SparkSession, sf_dir: str, rules: bool = True) -> DataFrame:
+    """The generated catalogue with its derived columns; altitudes are rounded to metres, so that engines agree on bins.
+
+    rules: whether names are tried against the rules; without, there are no constellations, and defaults for the rest.
+    """
+    none = {f"rule_{f}": F.lit(None).cast("string") for f in ("constellation", "mission", "sector")}
+    rows = classify.with_rule(elements(spark, sf_dir)) if rules else elements(spark, sf_dir).withColumns(none)
     alt = orbit.semi_major_axis(F.col("mean_motion")) - orbit.EARTH_RADIUS_KM
     derived = orbit.orbit_columns(F.col("mean_motion"), F.col("eccentricity"))
     return rows.select(

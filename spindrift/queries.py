@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.orbit import altitude_bin
 from .functions import format as fmt
 from .functions import frames
-from .operators import card, cells, compare, insights, motion, search, stats, view
+from .operators import card, cells, compare, insights, motion, scopes, search, stats, view
 from .plans.fixture import NOW_MS, ORACLE_CATALOG, catalog, orbits
 from .plans.lens import PRESETS, Lens
 from .session import scratch
@@ -212,7 +212,24 @@ def _side(name: str, where: str, other: str) -> str:
 
 @query("compare_table", _side("a", "bloc = 'US'", "bloc = 'CN'") + " union all " + _side("b", "bloc = 'CN'", "bloc = 'US'"))
 def compare_table(spark: SparkSession, d: str) -> DataFrame:
-    return compare.compare_table(catalog(spark, d), Lens(blocs=("US",)), Lens(blocs=("CN",)), NOW_MS)
+    return compare.compare_table(catalog(spark, d, rules=False), Lens(blocs=("US",)), Lens(blocs=("CN",)), NOW_MS)  # no fact of it needs a name
+
+
+def _facts_sql(name: str, where: str) -> str:
+    n = "(select count(*) from cat where {0})"
+    return (
+        f"select '{name}' as scope, {n.format(where)} as total, {n.format(where + ' and ' + LENSES['recency'][1])} as last_365, "
+        f"coalesce((select max(a) from (select mean_alt_km::double as a, row_number() over (order by mean_alt_km) - 1 as k, count(*) over () as n from cat where {where}) where k = n // 2), 0) as median_alt_km, "
+        f"(select operator from cat where {where} group by 1 order by count(*) desc, min(id) limit 1) as top_operator, "
+        f"(select constellation from cat where {where} and constellation is not null group by 1 order by count(*) desc, min(id) limit 1) as top_constellation"
+    )
+
+
+@query("scope_facts", " union all ".join(_facts_sql(name, where) for name, (_, where) in LENSES.items()))
+def scope_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of ten scopes that overlap, in the scans of one."""
+    found = scopes.facts(catalog(spark, d), {name: lens.to_column(NOW_MS) for name, (lens, _) in LENSES.items()}, NOW_MS)
+    return found.select("scope", "total", "last_365", "median_alt_km", F.col("top_operator.key").alias("top_operator"), F.col("top_constellation.key").alias("top_constellation"))
 
 
 @query("orbit_derive", f"select id, mean_alt_km::double as alt, apogee_km::double as apogee, regime, {_BIN} as alt_bin from cat")
@@ -326,6 +343,16 @@ def pick(spark: SparkSession, d: str) -> DataFrame:
     return view.pick(_styled(spark, d), _CAMERA, 800, 400, 1600, 1000, view.TOUCH_RADIUS).select("id", "score")
 
 
+_BOTH = _side("a", "bloc = 'US'", "bloc = 'CN'") + " union all " + _side("b", "bloc = 'CN'", "bloc = 'US'")
+
+
+@query("compare_in_view", f"select * replace ((select count(*) from v where v.bloc = case side when 'a' then 'US' else 'CN' end) as in_view) from ({_BOTH})", f"{_SEEN}, v as (select cat.bloc from ({_IN_VIEW}) join cat using (id))")
+def compare_in_view(spark: SparkSession, d: str) -> DataFrame:
+    """The comparison with the number of each side's satellites in view."""
+    seen = view.in_view(_positions(spark, d), _CAMERA)
+    return compare.compare_table(catalog(spark, d, rules=False), Lens(blocs=("US",)), Lens(blocs=("CN",)), NOW_MS, in_view=seen)
+
+
 @query("in_view_cells", _IN_VIEW, _SEEN)
 def in_view_cells(spark: SparkSession, d: str) -> DataFrame:
     """The same from positions that are stored by cells: of those that the camera can't see, no file is opened."""
