@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.orbit import altitude_bin
 from .functions import format as fmt
 from .functions import frames
-from .operators import card, cells, compare, insights, motion, scopes, search, stats, view
+from .operators import bitmaps, card, cells, compare, insights, motion, scopes, search, stats, view
 from .plans.fixture import NOW_MS, ORACLE_CATALOG, catalog, orbits
 from .plans.lens import PRESETS, Lens
 from .session import scratch
@@ -118,11 +118,21 @@ _PRESET_SQL = {
 }
 
 
-@query("preset_counts", " union all ".join(f"select '{p.id}' as preset, count(*) as n from cat where {_PRESET_SQL[p.id]}" for p in PRESETS))
+_PRESET_COUNTS = " union all ".join(f"select '{p.id}' as preset, count(*) as n from cat where {_PRESET_SQL[p.id]}" for p in PRESETS)
+
+
+@query("preset_counts", _PRESET_COUNTS)
 def preset_counts(spark: SparkSession, d: str) -> DataFrame:
     return stats.preset_counts(catalog(spark, d), NOW_MS)
 
 
+@query("preset_counts_bitmap", _PRESET_COUNTS)
+def preset_counts_bitmap(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a bitmap index: the catalogue is read once, to build it."""
+    index = bitmaps.build(catalog(spark, d), scratch(spark))
+    return index.counts({p.id: (p.lens,) for p in PRESETS}, NOW_MS).withColumnRenamed("name", "preset")
+
+
 @query("shell_neighbours", "select a.id, sum(v.c)::bigint as neighbours from cat a join v on abs(v.alt - a.mean_alt_km::double) <= 25 group by a.id", "v as (select mean_alt_km::double as alt, count(*) as c from cat group by 1)")
 def shell_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return stats.shell_neighbours(orbits(spark, d))
@@ -171,11 +181,19 @@ def intersect_scope(spark: SparkSession, d: str) -> DataFrame:
     return stats.scoped(cat, Lens(missions=("nav",)), NOW_MS, cat.filter(F.col("country").isin("US", "CN"))).select("id")
 
 
-@query("lens_overlap", "select count(*) filter (where bloc = 'EU' and regime <> 'LEO') as only_a, count(*) filter (where bloc <> 'EU' and regime = 'LEO') as only_b, count(*) filter (where bloc = 'EU' and regime = 'LEO') as both from cat")
+_OVERLAP = "select count(*) filter (where bloc = 'EU' and regime <> 'LEO') as only_a, count(*) filter (where bloc <> 'EU' and regime = 'LEO') as only_b, count(*) filter (where bloc = 'EU' and regime = 'LEO') as both from cat"
+
+
+@query("lens_overlap", _OVERLAP)
 def lens_overlap(spark: SparkSession, d: str) -> DataFrame:
     return stats.overlap(catalog(spark, d), Lens(blocs=("EU",)), Lens(regimes=("LEO",)), NOW_MS)
 
 
+@query("lens_overlap_bitmap", _OVERLAP)
+def lens_overlap_bitmap(spark: SparkSession, d: str) -> DataFrame:
+    return bitmaps.build(catalog(spark, d, rules=False), scratch(spark)).overlap(Lens(blocs=("EU",)), Lens(regimes=("LEO",)), NOW_MS)
+
+
 @query("style_codes", "select id, case when bloc = 'US' then 4 when bloc = 'CN' then 5 else 1 end as style from cat")
 def style_codes(spark: SparkSession, d: str) -> DataFrame:
     return catalog(spark, d).select("id", compare.style_code(NOW_MS, Lens(blocs=("US",)), Lens(blocs=("CN",))).alias("style"))
