@@ -13,7 +13,7 @@ from .operators import card, compare, insights, motion, search, search_index, st
 from .plans import viewstate, vocab
 from .plans.fixture import NOW_MS, _case, catalog, elements, orbits
 from .plans.lens import PRESETS, Lens, preset_for_lens
-from .queries import _BIN, _ENTRIES, _NAMED, _orbits, query
+from .queries import _BIN, _ENTRIES, _NAMED, ORACLES, _orbits, query
 from .session import scratch
 from .sources import catalog as sources
 from .sources import files, store
@@ -531,3 +531,18 @@ def refresh_log(spark: SparkSession, d: str) -> DataFrame:
     log = kept.log().select(F.col("number").cast("int").alias("number"), figure("rows"), figure("general_hits"), figure("unknown_country")).crossJoin(F.broadcast(current)).withColumn("refused", F.lit(""))  # one row
     none = spark.createDataFrame([(3, None, None, None, None, refused)], "number int, rows double, general_hits double, unknown_country double, current_rows long, refused string")
     return log.unionByName(none)
+
+
+@query("insight_sections")
+def insight_sections(spark: SparkSession, d: str) -> DataFrame:
+    """What the overview and a lens show of their insights."""
+    rows = catalog(spark, d)
+    overview = insights.shown(insights.scope_insights(rows, NOW_MS), "overview")
+    return overview.unionByName(insights.shown(insights.lens_insights(rows, Lens(missions=("nav",)), NOW_MS), "lens")).select("id", "value", "section", "place")
+
+
+ORACLES["insight_sections"] = (
+    "select id, value, case when pos <= 3 then 'Worth knowing' else 'More facts' end as section, case when pos <= 3 then pos else pos - 3 end as place "
+    f"from (select *, row_number() over (order by ord) as pos from ({ORACLES['scope_insights']})) where pos <= 7 "
+    f"union all select id, value, 'Key numbers', pos from (select *, row_number() over (order by ord) as pos from ({ORACLES['lens_insights']})) where pos <= 5"
+)

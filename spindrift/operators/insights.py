@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.classify import country_name, lookup
@@ -85,5 +85,24 @@ def lens_insights(catalog: DataFrame, lens: Lens, now_ms: int) -> DataFrame:
     ])
 
 
+#: Titles of the sections that insights are shown in, and how many each shows; a section takes up where the one before ended.
+SECTIONS = {"overview": [("Worth knowing", 3), ("More facts", 4)], "view": [("Worth knowing", 3), ("Also in this view", 4)], "lens": [("Key numbers", 5)]}
+
+
+def shown(found: DataFrame, where: str) -> DataFrame:
+    """The insights that an overview, a view or a lens shows: their columns, the section and the place in it (from 1).
+
+    Insights are at most seven; they stand in their order, whatever is missing.
+    """
+    ends, first = [], 0
+    for title, most in SECTIONS[where]:
+        ends.append((title, first, first + most))
+        first += most
+    at = F.col("at")
+    section = F.coalesce(*[F.when((at > low) & (at <= high), F.struct(F.lit(title).alias("section"), (at - low).alias("place"))) for title, low, high in ends])
+    placed = found.withColumn("at", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ord"))).withColumn("s", section)
+    return placed.filter("s is not null").select(*found.columns, "s.section", "s.place")
+
+
 def bloc_label(i: int) -> str:
     return vocab.BLOCS[i][1]

@@ -66,3 +66,10 @@ def test_counted_scopes_and_callers(spark, rows):
     scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("InMemoryRelation")
     assert scans(compare.compare_table(rows, Lens(blocs=("US",)), Lens(blocs=("KR",)), NOW)) == 3 and scans(insights.scope_insights(rows, NOW)) == 1
     assert compare.compare_table(rows.limit(0), Lens(blocs=("US",)), Lens(blocs=("KR",)), NOW).select("total", "median_alt_km", "wins_total").collect() == [(0, 0.0, False)] * 2
+
+
+def test_sections_of_insights(spark):
+    found = lambda n: spark.createDataFrame([(i * 2, f"i{i}", "v", "l", None) for i in range(n)], "ord int, id string, value string, label string, lens string")
+    places = lambda n, where: [(r["id"], r["section"], r["place"]) for r in insights.shown(found(n), where).orderBy("ord").collect()]
+    assert places(7, "view") == [*[(f"i{i}", "Worth knowing", i + 1) for i in range(3)], *[(f"i{i}", "Also in this view", i - 2) for i in range(3, 7)]]
+    assert places(9, "overview")[-1] == ("i6", "More facts", 4) and len(places(6, "lens")) == 5 and places(0, "lens") == []
