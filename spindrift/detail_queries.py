@@ -13,7 +13,7 @@ from .operators import card, compare, insights, motion, search, search_index, st
 from .plans import viewstate, vocab
 from .plans.fixture import NOW_MS, _case, catalog, elements, orbits
 from .plans.lens import PRESETS, Lens, preset_for_lens
-from .queries import _BIN, _ENTRIES, _NAMED, ORACLES, _orbits, query
+from .queries import _BIN, _ENTRIES, _NAMED, _PRESET_SQL, ORACLES, _orbits, query
 from .session import scratch
 from .sources import catalog as sources
 from .sources import files, store
@@ -176,14 +176,14 @@ def altitude_scale(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "brush_bands",
-    f"select i as \"from\", j as \"to\", floor(pow(10e0, {_LOG[0]} + lo * {_LOG[1]}))::int as low, ceil(pow(10e0, {_LOG[0]} + hi * {_LOG[1]}))::int as high from ("
-    "select i, j, case when near then least(71, floor(a * 72)) / 72e0 else a end as lo, case when near then (least(71, floor(a * 72)) + 1) / 72e0 else b end as hi from ("
-    "select *, (b - a) * 72 < 1 as near from (select i, j, least(i, j) / 23e0 as a, greatest(i, j) / 23e0 as b from (select unnest(range(24)) as i), (select unnest(range(24)) as j))))",
+    f"select id, floor(pow(10e0, {_LOG[0]} + lo * {_LOG[1]}))::int as low, ceil(pow(10e0, {_LOG[0]} + hi * {_LOG[1]}))::int as high from ("
+    "select id, case when near then least(71, floor(a * 72)) / 72e0 else a end as lo, case when near then (least(71, floor(a * 72)) + 1) / 72e0 else b end as hi from ("
+    "select *, (b - a) * 72 < 1 as near from (select id, least(i, j) as a, greatest(i, j) as b from (select id, (id % 1009 + 0.5e0) / 1009 as i, (id % 997 + 0.5e0) / 997 as j from cat))))",
 )
 def brush_bands(spark: SparkSession, d: str) -> DataFrame:
-    """The altitude bands of drags between any two of 24 places of the histogram."""
-    rows = [(i, j, *orbit.brush_band(i / 23, j / 23)) for i in range(24) for j in range(24)]
-    return spark.createDataFrame(rows, "from int, to int, low int, high int")
+    """The altitude band of a drag between two places of the histogram, for each satellite; near ones are within a bin."""
+    low, high = orbit.brush_columns((F.col("id") % 1009 + 0.5) / 1009, (F.col("id") % 997 + 0.5) / 997)
+    return orbits(spark, d).select("id", low.alias("low"), high.alias("high"))
 
 
 @query(
@@ -229,41 +229,55 @@ def scene_points(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", *[c.alias(n) for c, n in zip(scene, "xyz")], *[c.alias(n) for c, n in zip(frames.nadir(F.col("a"), F.col("b"), F.col("c")), ("nx", "ny", "nz"))])
 
 
-#: Lenses and their labels.
-_LABELS = [
-    (Lens(), "All active satellites"), (Lens(blocs=("CN",), missions=("military",)), "China · Military"), (Lens(altitude=(500, 600)), "500 km – 600 km"), (Lens(ids=(25544,)), "#25544"), (Lens(ids=(1, 2, 3)), "3 satellites"),
-    (Lens(countries=("KR", "JP", "US")), "South Korea, Japan +1"), (Lens(constellations=("starlink", "oneweb"), launched_within_days=365), "Starlink + OneWeb · Launched in last 12 months"), (Lens(sectors=("civil",), launched_within_days=30), "Civil · Launched in last 30 days"),
-]
+_COUNTRY = "(case country " + " ".join(f"when '{c}' then '{n}'" for c, n, _ in vocab.COUNTRIES) + " else country end)"
+_MISSION = "(case mission " + " ".join(f"when '{i}' then '{short}'" for i, _, short in vocab.MISSIONS) + " end)"
+_PRESET_OF = "case mission when 'nav' then 'gnss' when 'human' then 'stations' when 'eo' then 'eo' when 'military' then 'military' end"
 
 
 @query(
     "lens_labels",
-    "select * from (values " + ", ".join(f"({i}, '{text}', {str(i == 0).lower()}, null::varchar)" for i, (_, text) in enumerate(_LABELS)) + ", (100, 'Navigation', false, 'gnss'), (101, 'GEO', false, 'geo'), (102, 'Starlink', false, 'starlink')) as t(place, label, is_empty, preset)",
+    "select count(*) as n, country || ' ' || regime as key, " + _COUNTRY + " || ' · ' || regime as label, false as is_empty, null::varchar as preset from cat group by country, regime "
+    "union all select count(*), regime, regime, false, case regime when 'GEO' then 'geo' end from cat group by regime "
+    f"union all select count(*), mission, {_MISSION}, false, {_PRESET_OF} from cat group by mission union all select count(*), '', 'All active satellites', true, null from cat",
 )
 def lens_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Labels, emptiness and presets of lenses; order and repeats in a list don't matter."""
-    lenses = [(i, x) for i, (x, _) in enumerate(_LABELS)] + [(100, Lens(missions=("nav", "nav"), blocs=()).normalized()), (101, Lens().refined(regimes=("GEO",))), (102, Lens(constellations=("starlink",), sectors=("civil",)).refined(sectors=None))]
-    rows = [(i, x.label(), x.is_empty(), p.id if (p := preset_for_lens(x)) else None) for i, x in lenses]
-    return spark.createDataFrame(rows, "place int, label string, is_empty boolean, preset string")
+    """Labels, emptiness and presets of the lenses that the catalogue's own values make: a country in a regime, a regime, a mission,
+    nothing. A set of values is a lens: as many as the vocabularies have."""
+    cat = catalog(spark, d)
+    sets = cat.groupingSets([["country", "regime"], ["regime"], ["mission"], []], "country", "regime", "mission").agg(F.count("*").alias("n")).collect()
+    rows = []
+    for r in sets:
+        # Order and repeats in a list don't matter, nor does a field that is set and taken out again.
+        lens = Lens(countries=(r["country"],) * 2 if r["country"] else None, missions=(r["mission"],) if r["mission"] else (), sectors=("civil",)).refined(regimes=(r["regime"],) if r["regime"] else None, sectors=None)
+        preset = preset_for_lens(lens)
+        rows.append((r["n"], " ".join(x for x in (r["country"], r["regime"], r["mission"]) if x), lens.label(), lens.is_empty(), preset.id if preset else None))
+    return spark.createDataFrame(rows, "n long, key string, label string, is_empty boolean, preset string")
 
 
-#: URLs, and what a view that is read from one is written as.
-_URLS = [
-    ("?cs=starlink,oneweb&cc=kr", "?cs=oneweb,starlink&cc=KR"), ("?alt=500-600&new=365&only=1", "?alt=500-600&new=365&only=1"), ("?bloc=XX,CN&mission=nope", "?bloc=CN"), ("?sat=25544&follow=1&warp=60", "?sat=25544&follow=1&warp=60"),
-    ("?sat=-1&follow=1", ""), ("?vs.regime=geo&color=owner&warp=9999", "?vs.regime=GEO&color=owner"), ("?alt=600-500", ""), ("?cam=1.25,2.5,3&junk=1", "?cam=1.2,2.5,3.00"),
-]
+_URL = "'?cc=' || lower(country) || '&mission=nope,' || mission || '&regime=' || lower(regime) || '&alt=' || (id % 900 + 100) || '-' || (id % 700 + 300) || '&only=1&sat=' || (id % 50 - 3) || '&follow=1&color=' || case when id % 2 = 0 then 'owner' else 'mission' end || '&warp=' || (id % 5000) || '&junk=1'"
 
 
-@query("url_states", "select * from (values " + ", ".join(f"('{a}', '{b}')" for a, b in _URLS) + ") as t(url, written)")
+@query(
+    "url_states",
+    f"select id, {_URL} as url, '?cc=' || country || '&mission=' || mission || '&regime=' || regime || case when id % 700 + 300 > id % 900 + 100 then '&alt=' || (id % 900 + 100) || '-' || (id % 700 + 300) else '' end || '&only=1' "
+    "|| case when id % 50 - 3 > 0 then '&sat=' || (id % 50 - 3) || '&follow=1' else '' end || case when id % 2 = 0 then '&color=owner' else '' end || case when id % 5000 between 2 and 3600 then '&warp=' || (id % 5000) else '' end as written from cat",
+)
 def url_states(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(a, viewstate.serialize(viewstate.parse(a))) for a, _ in _URLS], "url string, written string")
+    """Each satellite's view as a URL with faults, and what the view that is read from it is written as."""
+    url = catalog(spark, d).select("id", F.expr(_URL).alias("url"))
+    written = F.pandas_udf(lambda urls: urls.map(lambda u: viewstate.serialize(viewstate.parse(u))), "string")
+    return url.select("id", "url", written("url").alias("written"))
+
+
+_SUGGESTED = [(i, k, v, json.dumps(search.result_lens(k, v).to_json())) for i, (k, v) in enumerate(search.suggestions())]
 
 
-@query("search_start", "select * from (values " + ", ".join(f"({i}, '{k}', '{v}', '{f}')" for i, (k, v, f) in enumerate([("preset", "starlink", '{"constellations": ["starlink"]}'), ("preset", "gnss", '{"missions": ["nav"]}'), ("preset", "stations", '{"missions": ["human"]}'), ("preset", "korea", '{"countries": ["KR"]}'), ("preset", "china", '{"blocs": ["CN"]}'), ("preset", "new", '{"launchedWithinDays": 365}'), ("satellite", "25544", '{"ids": [25544]}'), ("satellite", "48274", '{"ids": [48274]}'), ("satellite", "20580", '{"ids": [20580]}')])) + ") as t(place, kind, key, lens)")
+@query("search_start", " union all ".join(f"select {i} as place, '{k}' as kind, '{v}' as key, '{f}' as lens, count(*) as n from cat where {_PRESET_SQL[v] if k == 'preset' else f'id = {v}'}" for i, k, v, f in _SUGGESTED))
 def search_start(spark: SparkSession, d: str) -> DataFrame:
-    """What an empty search suggests, and the lens that each suggestion applies."""
-    rows = [(i, k, v, json.dumps(search.result_lens(k, v).to_json())) for i, (k, v) in enumerate(search.suggestions())]
-    return spark.createDataFrame(rows, "place int, kind string, key string, lens string")
+    """What an empty search suggests, the lens that each suggestion applies, and how many satellites that lens has."""
+    counted = catalog(spark, d).agg(*[F.count_if(search.result_lens(k, v).to_column(NOW_MS)).alias(f"n{i}") for i, k, v, _ in _SUGGESTED])
+    each = [F.struct(F.lit(i).alias("place"), F.lit(k).alias("kind"), F.lit(v).alias("key"), F.lit(f).alias("lens"), F.col(f"n{i}").alias("n")) for i, k, v, f in _SUGGESTED]
+    return counted.select(F.inline(F.array(*each)))
 
 
 _STAR = _NAMED.replace("COSMOS 2", "STAR")

@@ -83,6 +83,16 @@ def brush_band(u0: float, u1: float) -> tuple[int, int]:
     return math.floor(at(lo)), math.ceil(at(hi))
 
 
+def brush_columns(u0: Column, u1: Column) -> tuple[Column, Column]:
+    """`brush_band` of columns."""
+    low, high = (f(*[F.least(F.greatest(u, F.lit(0.0)), F.lit(1.0)) for u in (u0, u1)]) for f in (F.least, F.greatest))
+    within = (high - low) * ALT_BINS < 1
+    b = F.least(F.lit(ALT_BINS - 1), F.floor(low * ALT_BINS))
+    low, high = F.when(within, b / ALT_BINS).otherwise(low), F.when(within, (b + 1) / ALT_BINS).otherwise(high)
+    at = lambda u: F.pow(F.lit(10.0), _LOG_MIN + u * _LOG_SPAN)
+    return F.floor(at(low)).cast("int"), F.ceil(at(high)).cast("int")
+
+
 def focus_scale(count: Column) -> Column:
     """Point size by the number of focused rows."""
     return F.when(count == 0, 1.0).when(count < 120, 1.8).when(count < 1500, 1.3).otherwise(1.0)

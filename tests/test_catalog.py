@@ -274,3 +274,26 @@ def test_tick_positions(spark):
     finally:
         stream.stop()
     assert len(seen) >= 2 and seen[0]["id"] == 1 and seen[0]["x"] != seen[1]["x"]
+
+
+#: Lenses and their labels; URLs, and what a view that is read from one is written as.
+_LABELS = [
+    (Lens(), "All active satellites"), (Lens(blocs=("CN",), missions=("military",)), "China · Military"), (Lens(altitude=(500, 600)), "500 km – 600 km"), (Lens(ids=(25544,)), "#25544"), (Lens(ids=(1, 2, 3)), "3 satellites"),
+    (Lens(countries=("KR", "JP", "US")), "South Korea, Japan +1"), (Lens(constellations=("starlink", "oneweb"), launched_within_days=365), "Starlink + OneWeb · Launched in last 12 months"), (Lens(sectors=("civil",), launched_within_days=30), "Civil · Launched in last 30 days"),
+]
+_URLS = [
+    ("?cs=starlink,oneweb&cc=kr", "?cs=oneweb,starlink&cc=KR"), ("?alt=500-600&new=365&only=1", "?alt=500-600&new=365&only=1"), ("?bloc=XX,CN&mission=nope", "?bloc=CN"), ("?sat=25544&follow=1&warp=60", "?sat=25544&follow=1&warp=60"),
+    ("?sat=-1&follow=1", ""), ("?vs.regime=geo&color=owner&warp=9999", "?vs.regime=GEO&color=owner"), ("?alt=600-500", ""), ("?cam=1.25,2.5,3&junk=1", "?cam=1.2,2.5,3.00"),
+]
+
+
+def test_labels_and_urls():
+    assert [x.label() for x, _ in _LABELS] == [text for _, text in _LABELS] and [x.is_empty() for x, _ in _LABELS] == [True] + [False] * (len(_LABELS) - 1)
+    assert [viewstate.serialize(viewstate.parse(url)) for url, _ in _URLS] == [written for _, written in _URLS]
+
+
+def test_brush_columns(spark):
+    places = [(i / 23, j / 23) for i in range(-1, 25) for j in range(-1, 25)]
+    df = spark.createDataFrame(places, "a double, b double")
+    low, high = orbit.brush_columns(F.col("a"), F.col("b"))
+    assert [tuple(r) for r in df.select(low, high).collect()] == [orbit.brush_band(a, b) for a, b in places]
