@@ -16,7 +16,7 @@ from .plans.lens import PRESETS, Lens, preset_for_lens
 from .queries import _BIN, _ENTRIES, _NAMED, _PRESET_SQL, ORACLES, _orbits, query
 from .session import scratch
 from .sources import catalog as sources
-from .sources import files, store
+from .sources import chunks, files, store
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -412,6 +412,15 @@ def read_registry(spark: SparkSession, d: str) -> DataFrame:
     return files.read_registry(spark, _registry_file(spark, d))
 
 
+@query("registry_last_wins", "select id, ['PRC', 'CIS', 'US'][(id % 3 + 1)::int] as owner, '1998-07-0' || (id % 3) as registered, 'PAY' as object_type from el")
+def registry_last_wins(spark: SparkSession, d: str) -> DataFrame:
+    """A registry that names an id up to three times, in files that later versions of a row stand further down in: the last one wins."""
+    rows = elements(spark, d).select("id", F.explode(F.sequence(F.lit(0), (F.col("id") % 3).cast("int"))).alias("v"))
+    cells = {"OBJECT_NAME": F.repeat(F.lit("x"), 9 - 4 * F.col("v")), "NORAD_CAT_ID": F.col("id").cast("string"), "OBJECT_TYPE": F.lit("PAY"), "OWNER": _nth(["PRC", "CIS", "US"], F.col("v")), "LAUNCH_DATE": F.concat(F.lit("1998-07-0"), F.col("v").cast("string"))}
+    ordered = rows.repartitionByRange(16, "v", "id").sortWithinPartitions("v", "id")
+    return files.read_registry(spark, _csv(ordered.select(*[c.alias(n) for n, c in cells.items()]), "satcat.csv"))
+
+
 @query("general_registry", "select id, case when id % 2 = 0 then 'Org A' else 'Org B' end as g_owner_name, 'J' as g_state, '1999-01-05' as g_date, 12.5e0 as g_mass, 'IMG' as g_category, 'D' as g_class from el where id % 3 = 0 and id > 0")
 def general_registry(spark: SparkSession, d: str) -> DataFrame:
     """Three TSV files joined: owners by their whole code, or the part before a slash; placeholders are no names."""
@@ -443,13 +452,32 @@ def resolve(spark: SparkSession, d: str) -> DataFrame:
     return sources.resolve(read, known, files.read_registry(spark, _registry_file(spark, d))).select("id", "operator", "country", "constellation", "mission", "sector", "launch_date")
 
 
-@query("payload_roundtrip", "select m.*, e.epoch_ms, e.mean_motion, e.ecc as eccentricity from (select id, name, operator, country, constellation, mission, sector, launch_date, floor(mass + 0.5) as mass from m) m join e on e.id = m.id", _META)
+_ROUNDTRIP = "select m.*, e.epoch_ms, e.mean_motion, e.ecc as eccentricity from (select id, name, operator, country, constellation, mission, sector, launch_date, floor(mass + 0.5) as mass from m) m join e on e.id = m.id"
+_TRIP = ["id", "name", "operator", "country", "constellation", "mission", "sector", "launch_date", F.col("mass_kg").cast("double").alias("mass"), "epoch_ms", "mean_motion", "eccentricity"]
+
+
+@query("payload_roundtrip", _ROUNDTRIP, _META)
 def payload_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """An enriched catalogue as one columnar document, and as rows again."""
     path = f"{scratch(spark)}/payload.json"
     files.write_payload(_enriched(spark, d), {"mode": "live"}, "2001-08-01T00:00:00Z").write.option("ignoreNullFields", False).json(path)
     rows = files.payload_rows(files.read_payload(spark, path))
-    return rows.select("id", "name", "operator", "country", "constellation", "mission", "sector", "launch_date", F.col("mass_kg").cast("double").alias("mass"), "epoch_ms", "mean_motion", "eccentricity")
+    return rows.select(*_TRIP)
+
+
+@query("payload_chunks", _ROUNDTRIP, _META)
+def payload_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The same catalogue in parts of up to 5,000 rows, and as rows again."""
+    folder = scratch(spark)
+    _enriched(spark, d).write.parquet(f"{folder}/catalogue")
+    chunks.write_chunks(spark.read.parquet(f"{folder}/catalogue"), f"{folder}/payload", {"mode": "live"}, "2001-08-01T00:00:00Z", 5000)
+    return chunks.read_chunks(spark, f"{folder}/payload").select(*_TRIP)
+
+
+@query("payload_dictionaries", "select 'operators' as dict, value, (row_number() over (order by first) - 1)::int as code from (select operator as value, min(id) as first from m group by 1) union all select 'countries', value, (row_number() over (order by first) - 1)::int from (select country as value, min(id) as first from m group by 1) union all select 'constellations', value, (row_number() over (order by first) - 1)::int from (select constellation as value, min(id) as first from m where constellation is not null group by 1)", _META)
+def payload_dictionaries(spark: SparkSession, d: str) -> DataFrame:
+    """Codes of operators, countries and constellations in the order in which they are first seen."""
+    return chunks.dictionaries(_enriched(spark, d))
 
 
 @query("decode", f"select m.id, m.country, m.launch_date, case when launch_date = '' then null else (launch_date::date - date '1970-01-01')::bigint * 86400000 end as launch_ms, upper(m.name) as search_name, case when m.country in ('XX') then 'OT' when m.country = 'HK' then 'CN' when m.country in ('GB', 'EU', 'FR', 'DE') then 'EU' when m.country in ('US', 'CN', 'RU', 'JP', 'IN', 'KR') then m.country else 'OT' end as bloc from m", _META)

@@ -30,9 +30,9 @@ def general_registry(satcat: DataFrame, payloads: DataFrame, orgs: DataFrame, na
     spark = satcat.sparkSession
     names = names if names is not None else spark.createDataFrame([], "code string, name string")
     rows = files.last_by(satcat.withColumn("id", F.col("Satcat").try_cast("int")).filter("id > 0"), "id")
-    kinds = files.last_by(payloads.select("JCAT", F.col("Category").alias("g_category"), F.col("Class").alias("g_class")), "JCAT")
+    kinds = files.last_by(payloads.select("JCAT", F.col("Category").alias("g_category"), F.col("Class").alias("g_class"), *files.placed(payloads)), "JCAT")
     plain = lambda c: F.nullif(filled(F.trim(F.col(c))), F.lit("-"))
-    listed = files.last_by(orgs.select(F.col("Code").alias("code"), F.coalesce(plain("ShortEName"), plain("EName"), plain("ShortName"), plain("Name")).alias("listed")), "code")
+    listed = files.last_by(orgs.select(F.col("Code").alias("code"), F.coalesce(plain("ShortEName"), plain("EName"), plain("ShortName"), plain("Name")).alias("listed"), *files.placed(orgs)), "code")
     part = F.split(F.regexp_replace("Owner", r"\?\z", ""), "/")[0]
     out = rows.withColumn("part", part).join(kinds, "JCAT", "left")
     out = out.join(names.select(F.col("code").alias("Owner"), F.col("name").alias("whole_name")), "Owner", "left").join(names.select(F.col("code").alias("part"), F.col("name").alias("part_name")), "part", "left")
