@@ -477,7 +477,9 @@ def payload_chunks(spark: SparkSession, d: str) -> DataFrame:
 @query("payload_dictionaries", "select 'operators' as dict, value, (row_number() over (order by first) - 1)::int as code from (select operator as value, min(id) as first from m group by 1) union all select 'countries', value, (row_number() over (order by first) - 1)::int from (select country as value, min(id) as first from m group by 1) union all select 'constellations', value, (row_number() over (order by first) - 1)::int from (select constellation as value, min(id) as first from m where constellation is not null group by 1)", _META)
 def payload_dictionaries(spark: SparkSession, d: str) -> DataFrame:
     """Codes of operators, countries and constellations in the order in which they are first seen."""
-    return chunks.dictionaries(_enriched(spark, d))
+    folder = scratch(spark)
+    _enriched(spark, d).write.parquet(f"{folder}/catalogue")
+    return chunks.dictionaries(spark.read.parquet(f"{folder}/catalogue"))
 
 
 @query("decode", f"select m.id, m.country, m.launch_date, case when launch_date = '' then null else (launch_date::date - date '1970-01-01')::bigint * 86400000 end as launch_ms, upper(m.name) as search_name, case when m.country in ('XX') then 'OT' when m.country = 'HK' then 'CN' when m.country in ('GB', 'EU', 'FR', 'DE') then 'EU' when m.country in ('US', 'CN', 'RU', 'JP', 'IN', 'KR') then m.country else 'OT' end as bloc from m", _META)
