@@ -453,7 +453,7 @@ def resolve(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ROUNDTRIP = "select m.*, e.epoch_ms, e.mean_motion, e.ecc as eccentricity from (select id, name, operator, country, constellation, mission, sector, launch_date, floor(mass + 0.5) as mass from m) m join e on e.id = m.id"
-_TRIP = ["id", "name", "operator", "country", "constellation", "mission", "sector", "launch_date", F.col("mass_kg").cast("double").alias("mass"), "epoch_ms", "mean_motion", "eccentricity"]
+_TRIP = ["id", "name", "operator", "country", "constellation", "mission", "sector", "launch_date", "cast(mass_kg as double) as mass", "epoch_ms", "mean_motion", "eccentricity"]
 
 
 @query("payload_roundtrip", _ROUNDTRIP, _META)
@@ -462,7 +462,7 @@ def payload_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     path = f"{scratch(spark)}/payload.json"
     files.write_payload(_enriched(spark, d), {"mode": "live"}, "2001-08-01T00:00:00Z").write.option("ignoreNullFields", False).json(path)
     rows = files.payload_rows(files.read_payload(spark, path))
-    return rows.select(*_TRIP)
+    return rows.selectExpr(*_TRIP)
 
 
 @query("payload_chunks", _ROUNDTRIP, _META)
@@ -471,7 +471,7 @@ def payload_chunks(spark: SparkSession, d: str) -> DataFrame:
     folder = scratch(spark)
     _enriched(spark, d).write.parquet(f"{folder}/catalogue")
     chunks.write_chunks(spark.read.parquet(f"{folder}/catalogue"), f"{folder}/payload", {"mode": "live"}, "2001-08-01T00:00:00Z", 5000)
-    return chunks.read_chunks(spark, f"{folder}/payload").select(*_TRIP)
+    return chunks.read_chunks(spark, f"{folder}/payload").selectExpr(*_TRIP)
 
 
 @query("payload_dictionaries", "select 'operators' as dict, value, (row_number() over (order by first) - 1)::int as code from (select operator as value, min(id) as first from m group by 1) union all select 'countries', value, (row_number() over (order by first) - 1)::int from (select country as value, min(id) as first from m group by 1) union all select 'constellations', value, (row_number() over (order by first) - 1)::int from (select constellation as value, min(id) as first from m where constellation is not null group by 1)", _META)
