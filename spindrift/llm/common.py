@@ -56,16 +56,13 @@ def held_out(doc_id: Column) -> Column:
 def bucket_of(key: Column, splits: list) -> Column:
     """Number of `splits` (sorted, bounded in number by the caller) that are at most `key`.
 
-    A binary search: the splits are one constant of the plan, of which a row looks at as many as their number has bits.
+    A binary search over the splits, which are one constant of the plan: a row looks at as many as their number has bits,
+    and the plan has them once.
     """
     if not splits:
         return F.lit(0)
     table = F.lit(splits)
-    size, found = len(splits), F.lit(0)
-    step = 1 << (size.bit_length() - 1)
-    while step:
-        # `found` splits are known to be at most the key; are `step` more?
-        ahead = found + step
-        found = F.when(F.coalesce(F.get(table, ahead - 1) <= key, F.lit(False)), ahead).otherwise(found)
-        step >>= 1
-    return found
+    steps = [1 << i for i in reversed(range(len(splits).bit_length()))]
+    # `found` splits are known to be at most the key; are `step` more?
+    ahead = lambda found, step: F.when(F.coalesce(F.get(table, found + step - 1) <= key, F.lit(False)), found + step).otherwise(found)
+    return F.aggregate(F.lit(steps), F.lit(0), ahead)

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from bisect import bisect_right
 
 import corpus_pipeline
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from spindrift.llm import bpe, language, line_dedup, near_dedup, packing, pii, quality, simhash, topk, url_filter
+from spindrift.llm.common import bucket_of
 from spindrift.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, score double"
@@ -244,6 +246,19 @@ def test_simhash(spark):
     assert single[0]["near_next"] == 1.0
 
 
+def test_bucket_of(spark):
+    rng = np.random.default_rng(6)
+    splits = sorted({int(x) for x in rng.integers(-(2**62), 2**62, 60)})
+    keys = [None, -(2**63), 2**63 - 1, *splits, *(x - 1 for x in splits), *(int(x) for x in rng.integers(-(2**63), 2**63 - 1, 200))]
+    rows = spark.createDataFrame([(x,) for x in keys], "k long")
+    for n in (0, 1, 2, 3, 7, 8, 60):
+        got = rows.select("k", bucket_of(F.col("k"), splits[:n]).alias("b")).collect()
+        assert all(r["b"] == (0 if r["k"] is None else bisect_right(splits[:n], r["k"])) for r in got)
+    # The plan has the splits a few times at most: with each step of the search tripled, it filled the driver.
+    plan = rows.select(bucket_of(F.col("k"), splits).alias("b"))._jdf.queryExecution().optimizedPlan()
+    assert len(plan.expressions().mkString()) < 10 * sum(len(str(x)) for x in splits)
+
+
 def test_near_pairs(spark):
     rng = np.random.default_rng(2)
     base = rng.integers(-(2**63), 2**63, 40)
