@@ -9,7 +9,7 @@ A node's comparison on sketches splits it into bundles: what its candidate pairs
 one task, where every pair is counted exactly and the links that join its sets are given out: one less than sets, however
 many pairs there are. Bundles with the same sets, as small groups have in every tree, count once.
 
-Of nodes that are large after the first levels, one in some is dealt to blocks and linked within these, which joins most
+Of nodes that are large at the first level, one in some is dealt to blocks and linked within these, which joins most
 of a large group of near copies. Then only nodes with sets of several components branch on, and only pairs of different
 components count. A node in which few sets lie outside the largest component, or which stays large at the last depth, is
 dealt to tasks of these sets against all of its sets: no pair of a node is left out.
@@ -32,11 +32,13 @@ from .components import components
 SHINGLE = 5
 #: A link takes 100 * intersection >= percent * union; this is op4's percent.
 PERCENT = 85
-K, LEAF, MAX_DEPTH = 128, 1000, 12
+K, LEAF, MAX_DEPTH = 128, 2500, 12
 #: The least probability that a pair at the threshold meets in a node at the last depth, where most pairs meet before.
 RECALL = 0.99998
 #: Levels after which large nodes, one in the second number, are linked within blocks; items of the sets of a task.
-FIRST_DEPTH, FIRST_NODES, TASK_ITEMS = 3, 6, 4_000_000
+FIRST_DEPTH, FIRST_NODES, TASK_ITEMS = 1, 4, 4_000_000
+#: Keys of nodes, or ids of documents to be read again, that a broadcast takes at most (8 bytes each); with more, the join shuffles.
+BROADCAST_KEYS = 1_000_000
 _rng = np.random.default_rng(20260)
 _A = _rng.integers(0, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**64, K, dtype=np.uint64)
@@ -133,12 +135,18 @@ def _roots(reps: DataFrame, trees: int) -> DataFrame:
     return reps.select("id", F.explode(roots).alias("key"), F.col("id").alias("label"))
 
 
+def _few(keys: DataFrame) -> DataFrame:
+    """Distinct keys, stored, to be broadcast if they are few enough: then what they pick out is not shuffled to be picked."""
+    keys = stash(keys)
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def _level(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """The rows of nodes to compare, and those of larger nodes; nodes of one component are left out. `rows` is computed often."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
     sizes = stash(sizes.filter("size > 1 and low < high").select("key", "size", "members"))
     # One of the nodes with the same members will do.
-    keep = sizes.filter(F.col("size") <= LEAF).groupBy("size", "members").agg(F.min("key").alias("key")).select("key")
+    keep = _few(sizes.filter(F.col("size") <= LEAF).groupBy("size", "members").agg(F.min("key").alias("key")).select("key"))
     small, above = rows.join(keep, "key").select("key", "id", "label"), sizes.filter(F.col("size") > LEAF).select("key", "size")
     return small, rows.join(above, "key") if above.head(1) else None
 
@@ -303,7 +311,7 @@ def _links(tasks: DataFrame, reps: DataFrame, docs: DataFrame, text: str, percen
     whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
     rows = bundles.join(weights, "bundle").select("id", "bundle", F.explode(F.when(F.col("blocks") > 2, pairs).otherwise(whole)).alias("t"))
     rows = rows.select("id", F.xxhash64("bundle", "t.i", "t.j").alias("task"))
-    texts = docs.select("doc_id", text).join(bundles.select(F.col("id").alias("doc_id")).distinct(), "doc_id")
+    texts = docs.select("doc_id", text).join(_few(bundles.select(F.col("id").alias("doc_id")).distinct()), "doc_id")
     sets = stash(texts.mapInArrow(_set_rows, "id long, items binary").dropDuplicates(["id", "items"]))
     met = rows.join(sets, "id").select("task", "id", "items").repartition("task").sortWithinPartitions("task")
     return stash(met.mapInArrow(lambda batches: _link_rows(batches, percent), "u long, v long"))

@@ -191,6 +191,40 @@ def test_near_dedup_pairs_at_the_threshold_meet_in_large_groups(spark, monkeypat
     assert [i for i in range(0, 600, 2) if not nodes.get(i, set()) & nodes.get(i + 1, set())] == []
 
 
+def test_near_dedup_links_a_large_group_before_it_branches(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    words = [f"w{k}" for k in range(200)]
+    docs = []
+    for i in range(300):  # any two have 0.9 of their shingles in common
+        own = list(words)
+        own[int(rng.integers(5, 195))] = f"x{i}"
+        docs.append((i, " ".join(own)))
+    branched, branch = [], near_dedup._branched
+    monkeypatch.setattr(near_dedup, "_branched", lambda *a: branched.append(branch(*a)) or branched[-1])
+    monkeypatch.setattr(near_dedup, "LEAF", 40)
+    got = near_dedup.link_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {0}
+    assert sum(x.count() for x in branched) < 300 * 24 / 10  # rows of the children of a tenth of the roots
+
+
+def test_near_dedup_reads_few_documents_again_without_a_shuffle(spark, monkeypatch):
+    words = [f"w{k}" for k in range(60)]
+    docs = [(i, " ".join([*words[: 60 - i % 2], *[f"y{i}"] * (i % 2)])) for i in range(8)] + [(20 + i, " ".join(f"v{i}-{k}" for k in range(30))) for i in range(40)]
+    expected = brute_components(docs)
+    plans, stash = [], near_dedup.stash
+    monkeypatch.setattr(near_dedup, "stash", lambda df: df.columns == ["id", "items"] and plans.append(df._jdf.queryExecution().executedPlan().toString()) or stash(df))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (near_dedup.BROADCAST_KEYS, 0):  # with more keys than that, the joins shuffle and give the same
+            monkeypatch.setattr(near_dedup, "BROADCAST_KEYS", most)
+            got = near_dedup.link_documents(spark.createDataFrame(docs, "doc_id long, text string"))
+            assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert ["SortMergeJoin" in x for x in plans] == [False, True]
+
+
 def test_near_dedup_stage_links_from_80_on(spark):
     words = [f"w{k}" for k in range(100)]
     near = [f"x{k}" if k in (30, 60) else w for k, w in enumerate(words)]  # 86 of 106 shingles in common: 0.81
