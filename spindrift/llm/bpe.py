@@ -25,6 +25,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import claim
+
 #: Entries of a worker's tables of pieces and of pairs.
 CACHE_ENTRIES = 1_200_000
 
@@ -245,7 +247,8 @@ _codecs: dict[str, TextCodec] = {}
 
 
 def codec(path: str) -> TextCodec:
-    """One per process and file."""
+    """One per process and file, until a task of another operator claims the worker."""
+    claim("bpe", _codecs)
     if path not in _codecs:
         _codecs[path] = TextCodec(path)
     return _codecs[path]

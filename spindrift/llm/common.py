@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -44,6 +45,23 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Tables that this Python worker keeps from task to task, by the operator that they serve.
+_held: dict[str, tuple] = {}
+
+
+def claim(owner: str, *tables) -> None:
+    """At the start of an operator's task: empties what tasks of others left in this worker; `tables` stay for its own.
+
+    Workers live on from stage to stage, so that a run of several operators would fill them with the tables of all.
+    """
+    others = [x for x in _held if x != owner]
+    for table in (t for x in others for t in _held.pop(x)):
+        table.clear()
+    if others:
+        gc.collect()
+    _held[owner] = tables
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

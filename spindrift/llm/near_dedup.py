@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import claim, stash
 from .components import components
 
 SHINGLE = 5
@@ -93,6 +93,7 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("near_dedup", _words)
     for batch in batches:
         n, h1, h2, sketches = [], [], [], []
         for x in batch.column(1):
@@ -214,6 +215,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def _bundles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """For each task, the sets that candidate pairs of different components join: bundle (a hash of the members), id and n."""
+    claim("near_dedup", _words)
     least = _candidate(percent)
     for table in _groups(batches):
         ids, at = np.unique(table.column("id").to_numpy(), return_index=True)
@@ -251,6 +253,7 @@ def _blocks(dealt: DataFrame) -> DataFrame:
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("near_dedup", _words)
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x.as_py()).tobytes() for x in batch.column(1)], pa.binary())], ["id", "items"])
 
@@ -278,6 +281,7 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
 
 def _link_rows(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """For each task, links that join those of its sets which links join, and no other."""
+    claim("near_dedup", _words)
     for table in _groups(batches):
         ids = table.column("id").to_numpy()
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("items")]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from .common import held_out
+from .common import claim, held_out
 
 #: Labelled documents that a model is fitted on at most: those whose ids have the smallest hashes.
 TRAIN_ROWS = 20_000
@@ -119,6 +119,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Forest:
 
 
 def _statistics_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("quality")
     for batch in batches:
         rows = [statistics(x.as_py()) for x in batch.column(0)]
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], ["x", "quality"])
@@ -156,6 +157,7 @@ def score_documents(docs: DataFrame, forest: Forest, text: str = "text", score:
     at = names.index(text)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         forest = shared.value
         for batch in batches:
             x = np.array([statistics(t.as_py()) for t in batch.column(at)], dtype=np.float64).reshape(-1, FEATURES)

@@ -2,12 +2,14 @@
 
 import hashlib
 import re
+import weakref
 import zlib
 from bisect import bisect_right
 
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -293,6 +295,21 @@ def test_bucket_of(spark):
     assert len(plan.expressions().mkString()) < 10 * sum(len(str(x)) for x in splits)
 
 
+def test_a_worker_holds_the_tables_of_one_operator():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array([PROSE, None])], ["doc_id", "text"])
+    gone = weakref.ref(bpe.codec(path))
+    assert bpe.codec(path) is gone()
+    first = next(near_dedup._sketch_rows(iter([texts])))
+    assert not bpe._codecs and gone() is None and near_dedup._words
+    next(near_dedup._set_rows(iter([texts])))
+    assert near_dedup._words
+    assert bpe.codec(path).encode(PROSE) and not near_dedup._words and bpe._codecs
+    next(quality._statistics_of(iter([pa.RecordBatch.from_arrays([texts.column(1), pa.array([1.0, 0.0])], ["text", "quality"])])))
+    assert not bpe._codecs
+    assert next(near_dedup._sketch_rows(iter([texts]))).equals(first)  # nothing but time depends on what is held
+
+
 def test_near_pairs(spark):
     rng = np.random.default_rng(2)
     base = rng.integers(-(2**63), 2**63, 40)
