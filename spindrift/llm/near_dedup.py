@@ -5,9 +5,10 @@ independent trees, sets branch by a selected token of their sketch. Nodes of up
 larger ones branch again, by as many selected tokens as leave a pair at the threshold one common child on average, so that
 pairs at the threshold keep meeting at every depth while others part. The number of trees follows from the target recall.
 
-A node's comparison on sketches splits it into bundles: what its candidate pairs join. The full sets of a bundle meet in
-one task, where every pair is counted exactly and the links that join its sets are given out: one less than sets, however
-many pairs there are. Bundles with the same sets, as small groups have in every tree, count once.
+A node's comparison on sketches (a byte of each token) splits it into bundles: what its candidate pairs join. The full sets
+of a bundle meet in one task, where every pair is counted exactly and the links that join its sets are given out: one less
+than sets, however many pairs there are. Bundles that share sets, as those of a group do in every tree, are one bundle while
+that fits a task, so that a set goes to one task and not to one for each tree.
 
 Of nodes that are large at the first level, one in some is dealt to blocks and linked within these, which joins most
 of a large group of near copies. Then only nodes with sets of several components branch on, and only pairs of different
@@ -37,7 +38,7 @@ K, LEAF, MAX_DEPTH = 128, 2500, 12
 RECALL = 0.99998
 #: Levels after which large nodes, one in the second number, are linked within blocks; items of the sets of a task.
 FIRST_DEPTH, FIRST_NODES, TASK_ITEMS = 1, 4, 4_000_000
-#: Keys of nodes, or ids of documents to be read again, that a broadcast takes at most (8 bytes each); with more, the join shuffles.
+#: Keys of nodes, or ids of sets or documents to be picked, that a broadcast takes at most (8 or 16 bytes each); with more, the join shuffles.
 BROADCAST_KEYS = 1_000_000
 _rng = np.random.default_rng(20260)
 _A = _rng.integers(0, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -130,26 +131,43 @@ def _children(node: Column, percent: int) -> Column:
     return F.transform(_coordinates(node, percent), lambda c: F.xxhash64(node, c, F.get("sketch", c.cast("int"))))
 
 
-def _roots(reps: DataFrame, trees: int) -> DataFrame:
-    """Rows (key, id, label) of the nodes at the first depth; each set is its own component."""
+def _marked(reps: DataFrame) -> DataFrame:
+    """Sets with a byte of each token, which comparisons take: equal tokens have equal bytes, and few others have."""
+    return reps.withColumn("marks", F.transform("sketch", lambda x: (x.bitwiseAND(F.lit(255)) - 128).cast("tinyint")))
+
+
+def _roots(reps: DataFrame, trees: int, *carried: str) -> DataFrame:
+    """Rows (key, id, label) of the nodes at the first depth, and columns of the sets; each set is its own component."""
     roots = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.get("sketch", F.pmod(F.xxhash64(t, F.lit(0)), F.lit(K)).cast("int"))))
-    return reps.select("id", F.explode(roots).alias("key"), F.col("id").alias("label"))
+    return reps.select("id", *carried, F.explode(roots).alias("key"), F.col("id").alias("label"))
+
 
+def _few(keys: DataFrame) -> tuple[DataFrame, bool]:
+    """Stored keys, and whether they are few enough to be broadcast: then what they pick out is not shuffled to be picked."""
+    few = keys.count() <= BROADCAST_KEYS
+    return F.broadcast(keys) if few else keys, few
 
-def _few(keys: DataFrame) -> DataFrame:
-    """Distinct keys, stored, to be broadcast if they are few enough: then what they pick out is not shuffled to be picked."""
-    keys = stash(keys)
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
+def _of(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """`reps` without sets that no row has, where those of the rows are few: so a join with the rows shuffles no others."""
+    ids, few = _few(stash(rows.select("id").distinct()))
+    return reps.join(ids, "id") if few else reps
 
-def _level(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """The rows of nodes to compare, and those of larger nodes; nodes of one component are left out. `rows` is computed often."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
-    sizes = stash(sizes.filter("size > 1 and low < high").select("key", "size", "members"))
+
+def _level(rows: DataFrame, *carried: str, own: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of nodes to compare, and those of larger nodes; nodes of one component are left out. `rows` is computed often.
+
+    carried: columns of the sets that rows keep where they are picked without a shuffle. own: each set is its own component.
+    """
+    ends = [] if own else [F.min("label").alias("low"), F.max("label").alias("high")]
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("members"), *ends)
+    sizes = stash(sizes.filter("size > 1" if own else "size > 1 and low < high").select("key", "size", "members"))
     # One of the nodes with the same members will do.
-    keep = _few(sizes.filter(F.col("size") <= LEAF).groupBy("size", "members").agg(F.min("key").alias("key")).select("key"))
-    small, above = rows.join(keep, "key").select("key", "id", "label"), sizes.filter(F.col("size") > LEAF).select("key", "size")
-    return small, rows.join(above, "key") if above.head(1) else None
+    keep, few = _few(stash(sizes.filter(F.col("size") <= LEAF).groupBy("size", "members").agg(F.min("key").alias("key")).select("key")))
+    small = rows.join(keep, "key").select("key", "id", "label", *carried[: few * len(carried)])
+    above, few = _few(sizes.filter(F.col("size") > LEAF).select("key", "size"))
+    large = rows.join(above, "key").select("key", "id", "label", "size", *carried[: few * len(carried)])
+    return small, large if above.head(1) else None
 
 
 def _shares(large: DataFrame) -> DataFrame:
@@ -161,14 +179,17 @@ def _shares(large: DataFrame) -> DataFrame:
 
 def _branched(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The rows of the children of nodes."""
-    return stash(rows.join(reps.select("id", "sketch"), "id").select("id", "label", F.explode(_children(F.col("key"), percent)).alias("key")))
+    return stash(rows.join(_of(rows, reps.select("id", "sketch")), "id").select("id", "label", F.explode(_children(F.col("key"), percent)).alias("key")))
 
 
-def _first_nodes(reps: DataFrame, percent: int, recall: float, depths: int) -> tuple[list[DataFrame], DataFrame | None]:
-    """Rows (key, id, label) of the nodes to compare in the first levels, and those of larger nodes at the last of them."""
-    small, rows = [], _roots(reps, trees_for(recall, percent))
+def _first_nodes(reps: DataFrame, percent: int, recall: float, depths: int, *carried: str) -> tuple[list[DataFrame], DataFrame | None]:
+    """Rows (key, id, label) of the nodes to compare in the first levels, and those of larger nodes at the last of them.
+
+    carried: columns of the sets that the rows of the first level keep, if they are picked without a shuffle.
+    """
+    small = []
     for depth in range(depths):
-        found, large = _level(_branched(large, reps, percent) if depth else rows)
+        found, large = _level(_branched(large, reps, percent)) if depth else _level(_roots(reps, trees_for(recall, percent), *carried), *carried, own=True)
         small.append(found)
         if large is None:
             break
@@ -214,15 +235,16 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _bundles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """For each task, the sets that candidate pairs of different components join: bundle (a hash of the members), id and n."""
+    """For each task, the sets that candidate pairs of different components join: bundle (a hash of the members), first (the
+    smallest id), id and n."""
     claim("near_dedup", _words)
     least = _candidate(percent)
     for table in _groups(batches):
         ids, at = np.unique(table.column("id").to_numpy(), return_index=True)
         n, label = table.column("n").to_numpy()[at], table.column("label").to_numpy()[at]
-        tokens = table.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), K)[at]
+        tokens = table.column("marks").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), K)[at]
         todo = np.ones(len(ids), dtype=bool)
-        bundles, members, sizes = [], [], []
+        bundles, firsts, members, sizes = [], [], [], []
         while todo.any():
             own, new = [], [int(todo.argmax())]
             todo[new] = False
@@ -235,11 +257,12 @@ def _bundles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
             if len(own) > 1:
                 own.sort()  # so are their ids
                 found = ids[own]
+                firsts.append(np.full(len(found), found[0]))
                 members.append(found)
                 sizes.append(n[own])
                 bundles.append(np.full(len(found), np.uint64(xxhash.xxh3_64_intdigest(found.tobytes()))).view(np.int64))
         if members:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (bundles, members, sizes)], ["bundle", "id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (bundles, firsts, members, sizes)], ["bundle", "first", "id", "n"])
 
 
 def _blocks(dealt: DataFrame) -> DataFrame:
@@ -304,19 +327,33 @@ def _link_rows(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def _links(tasks: DataFrame, reps: DataFrame, docs: DataFrame, text: str, percent: int) -> DataFrame:
-    """Links (u, v) that join whatever links of the tasks (columns task, id, label) join; between components alone."""
-    dealt = tasks.join(reps.select("id", "n", "sketch"), "id").select("task", "id", "n", "sketch", "label")
-    bundles = stash(dealt.repartition("task").sortWithinPartitions("task").mapInArrow(lambda batches: _bundles(batches, percent), "bundle long, id long, n long").distinct())
+def _merged(bundles: DataFrame) -> DataFrame:
+    """Bundles that share sets as one, if that is no more than a task takes; else as they are. Columns bundle, id and n."""
+    joined = bundles.join(components(bundles.select(F.col("id").alias("u"), F.col("first").alias("v"))), "id", "left")
+    joined = stash(joined.select("bundle", "id", "n", F.coalesce("component", "id").alias("all")))
+    sums = joined.select("all", "id", "n").distinct().groupBy("all").agg(F.count("*").alias("sets"), F.sum("n").alias("items"))
+    over, few = _few(stash(sums.filter((F.col("sets") > LEAF) | (F.col("items") > TASK_ITEMS)).select("all", F.lit(True).alias("over"))))
+    return stash(joined.join(over, "all", "left").select(F.when(F.col("over"), F.col("bundle")).otherwise(F.xxhash64("all")).alias("bundle"), "id", "n").distinct())
+
+
+def _links(tasks: list[DataFrame], reps: DataFrame, docs: DataFrame, text: str, percent: int, repeated: bool) -> DataFrame:
+    """Links (u, v) that join whatever links of the tasks (columns task, id, label; maybe n and marks) join; between components alone.
+
+    repeated: several rows of `docs` have one id.
+    """
+    told = lambda rows: rows if "marks" in rows.columns else rows.join(_marked(_of(rows, reps)), "id")
+    dealt = reduce(DataFrame.unionByName, [told(rows).select("task", "id", "n", "marks", "label") for rows in tasks])
+    bundles = _merged(stash(dealt.repartition("task").sortWithinPartitions("task").mapInArrow(lambda batches: _bundles(batches, percent), "bundle long, first long, id long, n long").distinct()))
     # A bundle whose sets are too much for a task is dealt to tasks for each two blocks of it.
     weights = bundles.groupBy("bundle").agg(F.ceil(F.sum("n") * 2 / TASK_ITEMS).cast("int").alias("blocks"))
     of = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, of).alias("i"), F.greatest(k, of).alias("j")))
     whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
     rows = bundles.join(weights, "bundle").select("id", "bundle", F.explode(F.when(F.col("blocks") > 2, pairs).otherwise(whole)).alias("t"))
-    rows = rows.select("id", F.xxhash64("bundle", "t.i", "t.j").alias("task"))
-    texts = docs.select("doc_id", text).join(_few(bundles.select(F.col("id").alias("doc_id")).distinct()), "doc_id")
-    sets = stash(texts.mapInArrow(_set_rows, "id long, items binary").dropDuplicates(["id", "items"]))
+    rows, _ = _few(stash(rows.select("id", F.xxhash64("bundle", "t.i", "t.j").alias("task"))))
+    ids, _ = _few(stash(bundles.select(F.col("id").alias("doc_id")).distinct()))
+    sets = docs.select("doc_id", text).join(ids, "doc_id").mapInArrow(_set_rows, "id long, items binary")
+    sets = stash(sets.dropDuplicates(["id", "items"]) if repeated else sets)
     met = rows.join(sets, "id").select("task", "id", "items").repartition("task").sortWithinPartitions("task")
     return stash(met.mapInArrow(lambda batches: _link_rows(batches, percent), "u long, v long"))
 
@@ -333,19 +370,20 @@ def link_documents(docs: DataFrame, text: str = "text", percent: int = PERCENT,
     rows = stash(docs.select("doc_id", text).mapInArrow(_sketch_rows, "doc_id long, n long, h1 long, h2 long, sketch array<int>"))
     real = rows.filter("n > 0 and doc_id is not null")
     reps = stash(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")))
-    small, large = _first_nodes(reps, percent, recall, FIRST_DEPTH)
-    tasks = [level.select(F.col("key").alias("task"), "id", "label") for level in small]
+    repeated = bool(rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").head(1))
+    small, large = _first_nodes(_marked(reps), percent, recall, FIRST_DEPTH, "n", "marks")
+    tasks = [level.withColumnRenamed("key", "task") for level in small]
     if large is not None:
-        large = stash(large)
         block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / (LEAF // 2)))
-        tasks.append(large.filter(F.pmod("key", F.lit(FIRST_NODES)) == 0).select(F.xxhash64("key", block).alias("task"), "id", "label"))
-    links = _links(reduce(DataFrame.unionByName, tasks), reps, docs, text, percent)
+        tasks.append(large.filter(F.pmod("key", F.lit(FIRST_NODES)) == 0).withColumn("task", F.xxhash64("key", block)).drop("key", "size"))
+        large = stash(large.select("key", "id", "label", "size"))
+    links = _links(tasks, reps, docs, text, percent, repeated)
     linked = components(links)
     if large is not None:
         large = stash(large.join(linked, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label")))
         small, dealt = _mixed_nodes(large, reps, percent)
         tasks = [_blocks(dealt), *(level.select(F.col("key").alias("task"), "id", "label") for level in small)]
-        links = links.unionByName(_links(reduce(DataFrame.unionByName, tasks), reps, docs, text, percent))
+        links = links.unionByName(_links(tasks, reps, docs, text, percent, repeated))
         linked = components(links)
     classes = reps.join(linked, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component_id"))
     found = rows.join(classes, ["h1", "h2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))))

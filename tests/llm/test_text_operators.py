@@ -227,6 +227,34 @@ def test_near_dedup_reads_few_documents_again_without_a_shuffle(spark, monkeypat
     assert ["SortMergeJoin" in x for x in plans] == [False, True]
 
 
+def test_near_dedup_moves_a_set_once_and_not_for_every_tree(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    docs = []
+    for g in range(30):  # copies near the threshold: each tree has others of a group together
+        words = [f"g{g}-{k}" for k in range(400)]
+        for _ in range(8):
+            own = list(words)
+            for k in rng.choice(400, 4, replace=False):
+                own[k] = f"x{len(docs)}-{k}"
+            docs.append((len(docs), " ".join(own)))
+    expected = brute_components(docs)
+    context = spark.sparkContext._jsc.sc()
+
+    def written() -> int:
+        context.listenerBus().waitUntilEmpty()
+        found = context.statusStore().executorList(True)
+        return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+    moved = []
+    for items in (near_dedup.TASK_ITEMS, 2500):  # groups of more than 2,500 items stay in bundles
+        monkeypatch.setattr(near_dedup, "TASK_ITEMS", items)
+        before = written()
+        got = near_dedup.link_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        moved.append(written() - before)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == expected
+    assert moved[0] < 2 * 8 * sum(n for n, _ in expected.values()) < moved[1]  # twice the bytes of all sets
+
+
 def test_near_dedup_stage_links_from_80_on(spark):
     words = [f"w{k}" for k in range(100)]
     near = [f"x{k}" if k in (30, 60) else w for k, w in enumerate(words)]  # 86 of 106 shingles in common: 0.81
