@@ -165,6 +165,7 @@ def _level(rows: DataFrame, *carried: str, own: bool = False) -> tuple[DataFrame
     # One of the nodes with the same members will do.
     keep, few = _few(stash(sizes.filter(F.col("size") <= LEAF).groupBy("size", "members").agg(F.min("key").alias("key")).select("key")))
     small = rows.join(keep, "key").select("key", "id", "label", *carried[: few * len(carried)])
+    small = small if few else stash(small)  # else every reading of it would shuffle the rows
     above, few = _few(sizes.filter(F.col("size") > LEAF).select("key", "size"))
     large = rows.join(above, "key").select("key", "id", "label", "size", *carried[: few * len(carried)])
     return small, large if above.head(1) else None
