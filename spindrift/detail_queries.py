@@ -16,7 +16,7 @@ from .plans.lens import PRESETS, Lens, preset_for_lens
 from .queries import _BIN, _ENTRIES, _NAMED, _PRESET_SQL, ORACLES, _orbits, query
 from .session import scratch
 from .sources import catalog as sources
-from .sources import chunks, files, store
+from .sources import chunks, document, files, store
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -459,10 +459,10 @@ _TRIP = ["id", "name", "operator", "country", "constellation", "mission", "secto
 @query("payload_roundtrip", _ROUNDTRIP, _META)
 def payload_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """An enriched catalogue as one columnar document, and as rows again."""
-    path = f"{scratch(spark)}/payload.json"
-    files.write_payload(_enriched(spark, d), {"mode": "live"}, "2001-08-01T00:00:00Z").write.option("ignoreNullFields", False).json(path)
-    rows = files.payload_rows(files.read_payload(spark, path))
-    return rows.selectExpr(*_TRIP)
+    folder = scratch(spark)
+    _enriched(spark, d).write.parquet(f"{folder}/catalogue")
+    path = document.write_document(spark.read.parquet(f"{folder}/catalogue"), f"{folder}/payload", {"mode": "live"}, "2001-08-01T00:00:00Z", compression="gzip")
+    return document.read_document(spark, path).selectExpr(*_TRIP)
 
 
 @query("payload_chunks", _ROUNDTRIP, _META)

@@ -47,7 +47,8 @@ def _unnamed(name: Column) -> Column:
 
 def enrich(elements: DataFrame, registry: DataFrame, general: DataFrame) -> DataFrame:
     """Elements with metadata. What wins: for a named constellation its rule; else general catalogue, registry, rule."""
-    rows = classify.with_rule(elements).join(registry, "id", "left").join(general, "id", "left")
+    # After the joins: tried in the pass that reads a file, the rules take longer.
+    rows = classify.with_rule(elements.join(registry, "id", "left").join(general, "id", "left"))
     rule = lambda f: F.col(f"rule_{f}")
     crewed = rule("constellation").isNotNull() | (rule("mission") == "human")
     return rows.select(

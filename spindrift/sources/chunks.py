@@ -7,6 +7,8 @@ one that doesn't agree with the chunks, a folder is no payload. No task holds mo
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,20 +45,30 @@ def write_chunks(catalog: DataFrame, folder: str, source: dict[str, str], genera
     """
     spark, folder = catalog.sparkSession, folder.rstrip("/")
     dictionaries(catalog).write.json(f"{folder}/dict")
-    coded = catalog
-    for c, (d, _) in _DICTS.items():
-        coded = coded.join(_dictionary(spark, folder, d).select(F.col("value").alias(c), F.col("code").alias(f"{c}_code")), c, "left")
-    order = ("id", "__tie")
-    sorted_rows = coded.withColumn("__tie", F.xxhash64(*catalog.columns)).repartitionByRange(*order).sortWithinPartitions(*order)
-    at = sorted_rows.select(F.monotonically_increasing_id().alias("at"), *[v.alias(c) for c, v in files.encoded().items()])
-    part = [F.shiftright("at", 33).alias("range"), F.floor(F.col("at").bitwiseAND(F.lit(_ROW_BITS)) / rows).alias("part")]
-    chunks = at.groupBy(*part).agg(F.array_sort(F.collect_list(F.struct("at", *files.PAYLOAD))).alias("r"))  # a group has at most `rows`
+    chunks = grouped(coded(catalog, lambda d: _dictionary(spark, folder, d)), rows)
     chunks.select(F.struct(*[F.col(f"r.{c}").alias(c) for c in files.PAYLOAD]).alias("cols")).write.option("ignoreNullFields", False).json(f"{folder}/chunks")
     count = _held(spark, folder)["n"]  # of what was written, whatever tasks ran twice
     spark.range(1).select(*files.head(source, generated_at), F.lit(count).cast("long").alias("count")).coalesce(1).write.json(f"{folder}/head")
     return count
 
 
+def coded(catalog: DataFrame, words: Callable[[str], DataFrame]) -> DataFrame:
+    """The catalogue with the codes of its values and __tie; words(dictionary): its code and value."""
+    found = catalog
+    for c, (d, _) in _DICTS.items():
+        found = found.join(words(d).select(F.col("value").alias(c), F.col("code").alias(f"{c}_code")), c, "left")
+    return found.withColumn("__tie", F.xxhash64(*catalog.columns))
+
+
+def grouped(coded: DataFrame, rows: int) -> DataFrame:
+    """range, part, r: the rows by id, in the payload's columns, up to so many in an array; arrays go by range and part."""
+    order = ("id", "__tie")
+    sorted_rows = coded.repartitionByRange(*order).sortWithinPartitions(*order)
+    at = sorted_rows.select(F.monotonically_increasing_id().alias("at"), *[v.alias(c) for c, v in files.encoded().items()])
+    part = [F.shiftright("at", 33).alias("range"), F.floor(F.col("at").bitwiseAND(F.lit(_ROW_BITS)) / rows).alias("part")]
+    return at.groupBy(*part).agg(F.array_sort(F.collect_list(F.struct("at", *files.PAYLOAD))).alias("r"))  # a group has at most `rows`
+
+
 def _dictionary(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema("dict string, code int, value string").json(f"{folder}/dict").filter(F.col("dict") == name)
 

@@ -148,6 +148,7 @@ PAYLOAD = {
     "ndot": "double", "nddot": "double", "esn": "int", "rev": "int", "op": "int", "cc": "int", "cs": "int", "mi": "int", "se": "int", "ld": "string", "ms": "double",
 }
 _SOURCE = "mode string, elementsFetchedAt string, newestEpoch string, elementsProvider string, metadataProvider string, metadataUpdatedAt string, note string"
+SOURCE = [x.split(" ")[0] for x in _SOURCE.split(", ")]
 HEAD_SCHEMA = f"version int, generatedAt string, source struct<{', '.join(x.replace(' ', ':', 1) for x in _SOURCE.split(', '))}>"
 PAYLOAD_SCHEMA = f"{HEAD_SCHEMA}, count int, dict struct<operators:array<string>,countries:array<string>,constellations:array<string>>, cols struct<{','.join(f'{c}:array<{t}>' for c, t in PAYLOAD.items())}>"
 
@@ -189,15 +190,14 @@ def encoded() -> dict[str, Column]:
 
 def head(source: dict[str, str], generated_at: str) -> list[Column]:
     """The columns of HEAD_SCHEMA."""
-    fields = [x.split(" ")[0] for x in _SOURCE.split(", ")]
-    return [F.lit(1).alias("version"), F.lit(generated_at).alias("generatedAt"), F.struct(*[F.lit(source.get(f)).cast("string").alias(f) for f in fields]).alias("source")]
+    return [F.lit(1).alias("version"), F.lit(generated_at).alias("generatedAt"), F.struct(*[F.lit(source.get(f)).cast("string").alias(f) for f in SOURCE]).alias("source")]
 
 
 def write_payload(catalog: DataFrame, source: dict[str, str], generated_at: str) -> DataFrame:
     """The columnar payload as one row of PAYLOAD_SCHEMA, for exchange; a catalogue itself is kept as Parquet.
 
-    The payload is one document by its format, so its arrays meet in one task: the format bounds it, not this function. `chunks`
-    has the same columns in parts.
+    As one row its arrays meet in one task, which bounds it to what a task holds. `document` writes and reads the same document in
+    lines, which no task holds; `chunks` has the same columns in parts.
     """
     order = Window.partitionBy("c").orderBy("first")
     ords = {}
