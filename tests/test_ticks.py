@@ -57,3 +57,16 @@ def test_groups_of_ticks_of_any_size_give_the_same(monkeypatch):
         monkeypatch.setattr(ticks, "POINTS", points)
         found = list(block().handleInputRows(0, iter([TICKS]), Handle()))
         assert len(found) == frames and np.array_equal(pd.concat(found).to_numpy(), whole.to_numpy(), equal_nan=True)
+
+
+def test_stores_share_their_memory_unless_the_session_says_otherwise(spark):
+    key = "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB"
+    catalogue, stream = spark.createDataFrame(CATALOGUE.astype({"epoch_ms": "int64"})), spark.readStream.format("rate").load().selectExpr("value as tick", "0D as ms", "1D as warp", "0 as clock_epoch", "false as paused")
+    before = {k: spark.conf.get(k, None) for k in ticks._BOUNDS}
+    try:
+        spark.conf.set(key, "300")
+        ticks.interpolated_ticks(stream, catalogue, 2)
+        assert spark.conf.get(key) == "300" and spark.conf.get("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage") == "true"
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
